@@ -582,3 +582,215 @@ FILL_COLS = (KEY, GENDER, AGE, INCOME, TARGET)
 def ordered_fill(spark, sf):
     """FILL1 + FILL2: forward then backward fill in key order."""
     return fill.ffill_bfill(_gaps(spark, sf), KEY)
+
+
+# ------------------------------------------------------------ closed-form models
+OLS_MODELS = {"ols_age": (AGE,), "ols_income": (INCOME,), "ols_age_income": (AGE, INCOME)}
+KEEP = (KEY, GENDER, AGE, INCOME, "split")
+
+
+def _ols(spark, sf):
+    """Split, fit the three closed-form models on the training side, predict every customer."""
+    from spendlens.operators import models
+    df = split.hash_split(_customers(spark, sf), KEY)
+    coefs = models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train")
+    pred = models.closed_form_predictions(df, coefs, TARGET, OLS_MODELS, keep=KEEP)
+    return coefs, pred
+
+
+def _best_pred(spark, sf):
+    """Predictions of the model with the highest test R2."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    best = models.best_model(models.model_comparison(models.regression_metrics(pred)))
+    return pred.join(best.select("model"), "model", "left_semi")
+
+
+def _ols_sql_ctes() -> list[str]:
+    """base -> mom -> coef -> pred -> met -> cmp -> best -> bp (best model's predictions)."""
+    oks = {m: " AND ".join(["spending_score IS NOT NULL"] + [f"{x} IS NOT NULL" for x in xs])
+           for m, xs in OLS_MODELS.items()}
+    moms, coefs, preds = [], [], []
+    for k, (m, xs) in enumerate(OLS_MODELS.items()):
+        ok = oks[m]
+
+        def f(c):
+            return f"(CASE WHEN {ok} THEN CAST({c} AS DOUBLE) END)"
+        moms.append(f"AVG({f('spending_score')}) AS {m}__my")
+        for i, x in enumerate(xs):
+            moms.append(f"AVG({f(x)}) AS {m}__m{i}")
+            moms.append(f"COVAR_POP({f(x)}, {f('spending_score')}) AS {m}__c{i}y")
+            for j in range(i, len(xs)):
+                moms.append(f"COVAR_POP({f(x)}, {f(xs[j])}) AS {m}__c{i}{j}")
+        if len(xs) == 1:
+            b = [f"({m}__c0y / {m}__c00)"]
+        else:
+            det = f"({m}__c00 * {m}__c11 - {m}__c01 * {m}__c01)"
+            b = [f"(({m}__c11 * {m}__c0y - {m}__c01 * {m}__c1y) / {det})",
+                 f"(({m}__c00 * {m}__c1y - {m}__c01 * {m}__c0y) / {det})"]
+        b0 = f"{m}__my"
+        for i, bi in enumerate(b):
+            b0 = f"({b0} - {bi} * {m}__m{i})"
+        coefs.append(f"{b0} AS {m}_b0")
+        coefs += [f"{bi} AS {m}_b{i + 1}" for i, bi in enumerate(b)]
+        p = f"coef.{m}_b0"
+        for i, x in enumerate(xs):
+            p = f"({p} + coef.{m}_b{i + 1} * CAST(b.{x} AS DOUBLE))"
+        preds.append(f"SELECT '{m}' AS model, CAST({k} AS BIGINT) AS model_order, b.customer_id, b.gender, b.age, "
+                     f"b.annual_income_k, b.split, CAST(b.spending_score AS DOUBLE) AS actual, {p} AS predicted "
+                     f"FROM base b CROSS JOIN coef")
+    r2 = "CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - sse / sst END"
+    return [
+        f"base AS (SELECT c.*, {S.split('c.customer_id')} AS split FROM customers c)",
+        f"mom AS (SELECT {', '.join(moms)} FROM base WHERE split = 'train')",
+        f"coef AS (SELECT {', '.join(coefs)} FROM mom)",
+        "pred AS (" + " UNION ALL ".join(preds) + ")",
+        f"""met AS (SELECT model, model_order, split, n, {S.r6('SQRT(mse)')} AS rmse, {S.r6('mae')} AS mae,
+                 {S.r6(r2)} AS r2
+          FROM (SELECT model, model_order, split, CAST(COUNT(*) AS BIGINT) AS n,
+                       AVG((actual - predicted) * (actual - predicted)) AS mse, AVG(ABS(actual - predicted)) AS mae,
+                       SUM((actual - predicted) * (actual - predicted)) AS sse, VAR_POP(actual) * COUNT(actual) AS sst
+                FROM pred WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY model, model_order, split) t)""",
+        """cmp AS (SELECT model, model_order,
+                 MAX(CASE WHEN split = 'train' THEN rmse END) AS train_rmse, MAX(CASE WHEN split = 'test' THEN rmse END) AS test_rmse,
+                 MAX(CASE WHEN split = 'train' THEN mae END) AS train_mae, MAX(CASE WHEN split = 'test' THEN mae END) AS test_mae,
+                 MAX(CASE WHEN split = 'train' THEN r2 END) AS train_r2, MAX(CASE WHEN split = 'test' THEN r2 END) AS test_r2
+          FROM met GROUP BY model, model_order)""",
+        "best AS (SELECT * FROM cmp ORDER BY test_r2 DESC NULLS LAST, model_order LIMIT 1)",
+        "bp AS (SELECT p.* FROM pred p WHERE p.model IN (SELECT model FROM best))",
+    ]
+
+
+def ols_sql(final: str, *extra: str) -> str:
+    return S.with_customers(*_ols_sql_ctes(), *extra) + "\n" + final
+
+
+@query("ols_two_vars", ols_sql("""
+SELECT model, term, ROUND(coefficient, 6) + 0.0 AS coefficient FROM (
+  SELECT 'ols_age' AS model, 'intercept' AS term, ols_age_b0 AS coefficient FROM coef
+  UNION ALL SELECT 'ols_age', 'age', ols_age_b1 FROM coef
+  UNION ALL SELECT 'ols_income', 'intercept', ols_income_b0 FROM coef
+  UNION ALL SELECT 'ols_income', 'annual_income_k', ols_income_b1 FROM coef
+  UNION ALL SELECT 'ols_age_income', 'intercept', ols_age_income_b0 FROM coef
+  UNION ALL SELECT 'ols_age_income', 'age', ols_age_income_b1 FROM coef
+  UNION ALL SELECT 'ols_age_income', 'annual_income_k', ols_age_income_b2 FROM coef) t"""))
+def ols_two_vars(spark, sf):
+    """MOD1 (closed form): least squares of the score on age, on income and on both, training side."""
+    coefs, _ = _ols(spark, sf)
+    structs = []
+    for m, xs in OLS_MODELS.items():
+        structs.append(F.struct(F.lit(m).alias("model"), F.lit("intercept").alias("term"),
+                                r6(F.col(f"{m}_b0")).alias("coefficient")))
+        structs += [F.struct(F.lit(m).alias("model"), F.lit(x).alias("term"),
+                             r6(F.col(f"{m}_b{i + 1}")).alias("coefficient")) for i, x in enumerate(xs)]
+    return coefs.select(F.inline(F.array(*structs)))
+
+
+@query("regression_metrics", ols_sql("SELECT * FROM met"))
+def regression_metrics(spark, sf):
+    """MOD9 / MOD10: RMSE, MAE, R2 per model and split."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    return models.regression_metrics(pred)
+
+
+@query("model_comparison", ols_sql("SELECT * FROM cmp"))
+def model_comparison(spark, sf):
+    """MOD11: one row per model, train and test metrics side by side."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    return models.model_comparison(models.regression_metrics(pred))
+
+
+@query("best_model", ols_sql(f"""
+SELECT model, test_r2, test_rmse, test_mae,
+       CASE WHEN test_r2 > 0.7 THEN 'Excellent' WHEN test_r2 > 0.5 THEN 'Good' WHEN test_r2 > 0.3 THEN 'Moderate' ELSE 'Poor' END AS performance,
+       {S.r6('test_r2 * 100')} AS explained_variance_pct,
+       CASE WHEN test_r2 > 0.5 THEN 'good' ELSE 'moderate' END AS alignment
+FROM best"""))
+def best_model(spark, sf):
+    """MOD12 / MOD17 / MOD18: best model by test R2 with its labels."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    b = models.best_model(models.model_comparison(models.regression_metrics(pred)))
+    r2 = F.col("test_r2")
+    return b.select("model", "test_r2", "test_rmse", "test_mae", models.performance_label(r2).alias("performance"),
+                    r6(r2 * 100).alias("explained_variance_pct"), models.alignment_label(r2).alias("alignment"))
+
+
+@query("performance_labels", ols_sql("""
+SELECT model, test_r2,
+       CASE WHEN test_r2 > 0.7 THEN 'excellent' WHEN test_r2 > 0.5 THEN 'good' WHEN test_r2 > 0.3 THEN 'moderate' ELSE 'acceptable' END AS performance,
+       CASE WHEN test_r2 > 0.5 THEN 'good' ELSE 'moderate' END AS alignment
+FROM cmp"""))
+def performance_labels(spark, sf):
+    """MOD17 / MOD18 for every model, with the report's lower-case label set (D8)."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    c = models.model_comparison(models.regression_metrics(pred))
+    r2 = F.col("test_r2")
+    return c.select("model", "test_r2",
+                    F.lower(models.performance_label(r2, lowest="acceptable")).alias("performance"),
+                    models.alignment_label(r2).alias("alignment"))
+
+
+@query("residuals", ols_sql(f"""
+SELECT customer_id, {S.r6('actual')} AS actual, {S.r6('predicted')} AS predicted, {S.r6('actual - predicted')} AS residual
+FROM bp WHERE split = 'test'"""))
+def residuals_q(spark, sf):
+    """RES1 / RES3 / RES7: residuals of the best model on the test side."""
+    from spendlens.operators import residuals
+    r = residuals.residuals(_best_pred(spark, sf).filter(F.col("split") == "test"))
+    return r.select(KEY, r6("actual").alias("actual"), r6("predicted").alias("predicted"),
+                    r6("residual").alias("residual"))
+
+
+@query("perfect_fit_line", ols_sql(f"""
+SELECT {S.r6('LEAST(MIN(actual), MIN(predicted))')} AS line_min, {S.r6('GREATEST(MAX(actual), MAX(predicted))')} AS line_max,
+       CAST(COUNT(*) AS BIGINT) AS n
+FROM bp WHERE split = 'test'"""))
+def perfect_fit_line(spark, sf):
+    """RES2: ends of the perfect-prediction line over actual and predicted."""
+    from spendlens.operators import residuals
+    return residuals.perfect_fit_line(_best_pred(spark, sf).filter(F.col("split") == "test"))
+
+
+@query("residual_histogram", S.with_customers(
+    *_ols_sql_ctes(), "rv AS (SELECT actual - predicted AS residual FROM bp WHERE split = 'test')")
+    + _hist_sql("rv", "residual"))
+def residual_histogram(spark, sf):
+    """RES4: residual histogram, 20 bins."""
+    from spendlens.operators import residuals
+    return residuals.residual_histogram(_best_pred(spark, sf).filter(F.col("split") == "test"))
+
+
+@query("residual_bias", ols_sql(f"""
+SELECT CAST(COUNT(actual - predicted) AS BIGINT) AS n, {S.r6('AVG(actual - predicted)')} AS mean_residual,
+       CASE WHEN ABS(AVG(actual - predicted)) < 5 THEN 'random' ELSE 'some systematic' END AS pattern,
+       CASE WHEN ABS(AVG(actual - predicted)) < 3 THEN 'normal' ELSE 'some deviation' END AS shape
+FROM bp WHERE split = 'test'"""))
+def residual_bias(spark, sf):
+    """RES6: mean residual and bias labels."""
+    from spendlens.operators import residuals
+    return residuals.residual_bias(_best_pred(spark, sf).filter(F.col("split") == "test"))
+
+
+@query("test_series", ols_sql(f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS row_number, customer_id,
+       {S.r6('actual')} AS actual, {S.r6('predicted')} AS predicted
+FROM bp WHERE split = 'test'"""))
+def test_series(spark, sf):
+    """RES5: actual and predicted over the test row number (key order)."""
+    t = _best_pred(spark, sf).filter(F.col("split") == "test")
+    t = fill.with_row_number(t, KEY)
+    return t.select("row_number", KEY, r6("actual").alias("actual"), r6("predicted").alias("predicted"))
+
+
+@query("topk_abs", ols_sql(f"""
+SELECT customer_id, {S.r6('actual - predicted')} AS residual FROM bp WHERE split = 'test' AND actual IS NOT NULL
+ORDER BY ABS(actual - predicted) DESC, customer_id LIMIT 5"""))
+def topk_abs(spark, sf):
+    """SRT2 / SRT3: the five largest absolute test residuals (top-k is the feature)."""
+    t = _best_pred(spark, sf).filter((F.col("split") == "test") & F.col("actual").isNotNull())
+    e = F.col("actual") - F.col("predicted")
+    return t.orderBy(F.abs(e).desc(), KEY).limit(5).select(KEY, r6(e).alias("residual"))
