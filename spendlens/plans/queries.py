@@ -794,3 +794,194 @@ def topk_abs(spark, sf):
     t = _best_pred(spark, sf).filter((F.col("split") == "test") & F.col("actual").isNotNull())
     e = F.col("actual") - F.col("predicted")
     return t.orderBy(F.abs(e).desc(), KEY).limit(5).select(KEY, r6(e).alias("residual"))
+
+
+# ------------------------------------------------------------ scoring and segments
+def _scored(spark, sf):
+    """Every customer scored by the best model, with spending category and segment."""
+    from spendlens.operators import segments
+    p = _best_pred(spark, sf)
+    return p.withColumns({"spending_category": segments.segment("predicted", "cut", "category"),
+                          "customer_segment": segments.segment("predicted", "cut", "segment")})
+
+
+SCORED_CTE = (f"sc AS (SELECT bp.*, {S.cut('bp.predicted', bands.SCORE_EDGES, bands.CATEGORY_LABELS)} AS spending_category, "
+              f"{S.cut('bp.predicted', bands.SCORE_EDGES, bands.SEGMENT_LABELS)} AS customer_segment FROM bp)")
+
+
+def scored_sql(final: str, *extra: str) -> str:
+    return S.with_customers(*_ols_sql_ctes(), SCORED_CTE, *extra) + "\n" + final
+
+
+@query("segments_cut", scored_sql(f"""
+SELECT customer_id, {S.r6('predicted')} AS predicted, spending_category, customer_segment FROM sc"""))
+def segments_cut(spark, sf):
+    """SEG1-SEG3: score every customer, right-closed category and segment (null outside (0, 100])."""
+    s = _scored(spark, sf)
+    return s.select(KEY, r6("predicted").alias("predicted"), "spending_category", "customer_segment")
+
+
+@query("segments_threshold", scored_sql(f"""
+SELECT customer_id, {S.r6('predicted')} AS predicted,
+       {S.threshold('predicted', bands.THRESHOLD_CUTS, bands.THRESHOLD_LABELS)} AS category FROM bp"""))
+def segments_threshold(spark, sf):
+    """SEG4: left-closed threshold category, never null."""
+    from spendlens.operators import segments
+    p = _best_pred(spark, sf)
+    return p.select(KEY, r6("predicted").alias("predicted"), segments.segment("predicted", "threshold").alias("category"))
+
+
+@query("segment_profile", scored_sql(f"""
+SELECT l.position, l.spending_category, {S.r6('g.ma')} AS mean_age, {S.r6('g.mi')} AS mean_income,
+       COALESCE(md.gender, 'N/A') AS top_gender
+FROM {S.labels_table('spending_category', bands.CATEGORY_LABELS)} l
+LEFT JOIN g ON g.spending_category = l.spending_category
+LEFT JOIN md ON md.spending_category = l.spending_category""",
+    """g AS (SELECT spending_category, ROUND_EVEN(AVG(CAST(age AS DOUBLE)), 2) AS ma,
+             ROUND_EVEN(AVG(CAST(annual_income_k AS DOUBLE)), 2) AS mi
+      FROM sc WHERE spending_category IS NOT NULL GROUP BY spending_category)""",
+    """md AS (SELECT spending_category, gender FROM (
+        SELECT spending_category, gender, ROW_NUMBER() OVER (PARTITION BY spending_category ORDER BY COUNT(*) DESC, gender) AS rn
+        FROM sc WHERE spending_category IS NOT NULL AND gender IS NOT NULL GROUP BY spending_category, gender) t WHERE rn = 1)"""))
+def segment_profile(spark, sf):
+    """AGG7: mean age, mean income and most frequent gender per spending category."""
+    from spendlens.operators import segments
+    return segments.segment_profile(_scored(spark, sf), "spending_category", bands.CATEGORY_LABELS)
+
+
+@query("segment_counts", scored_sql(f"""
+SELECT l.position, l.customer_segment, CAST(COALESCE(g.c, 0) AS BIGINT) AS count,
+       {S.r6('COALESCE(g.c, 0) * 100.0 / (SELECT SUM(c) FROM g)')} AS pct
+FROM {S.labels_table('customer_segment', bands.SEGMENT_LABELS)} l LEFT JOIN g ON g.customer_segment = l.customer_segment""",
+    "g AS (SELECT customer_segment, COUNT(*) AS c FROM sc WHERE customer_segment IS NOT NULL GROUP BY 1)"))
+def segment_counts(spark, sf):
+    """SEG5: customers per segment, empty segments kept, with shares."""
+    from spendlens.operators import segments
+    return segments.segment_counts(_scored(spark, sf), "customer_segment", bands.SEGMENT_LABELS)
+
+
+@query("segment_by_gender", scored_sql("""
+SELECT customer_segment, CAST(SUM(CASE WHEN gender = 'Female' THEN 1 ELSE 0 END) AS BIGINT) AS Female,
+       CAST(SUM(CASE WHEN gender = 'Male' THEN 1 ELSE 0 END) AS BIGINT) AS Male
+FROM sc WHERE customer_segment IS NOT NULL AND gender IS NOT NULL GROUP BY customer_segment"""))
+def segment_by_gender(spark, sf):
+    """SEG7 / AGG10: segment x gender counts."""
+    return eda.crosstab(_scored(spark, sf), "customer_segment", GENDER, ["Female", "Male"])
+
+
+@query("segment_box", S.with_customers(*_ols_sql_ctes(), SCORED_CTE) + _box_sql("sc", AGE, "customer_segment"))
+def segment_box(spark, sf):
+    """SEG6: box statistics of age per segment."""
+    return eda.box_stats(_scored(spark, sf), AGE, by="customer_segment")
+
+
+@query("high_low_summary", scored_sql(f"""
+SELECT 'high' AS "group", CAST(COALESCE(SUM(CASE WHEN spending_category IN ('High', 'Very High') THEN 1 ELSE 0 END), 0) AS BIGINT) AS customers,
+       {S.r6("AVG(CASE WHEN spending_category IN ('High', 'Very High') THEN CAST(age AS DOUBLE) END)")} AS mean_age,
+       {S.r6("AVG(CASE WHEN spending_category IN ('High', 'Very High') THEN CAST(annual_income_k AS DOUBLE) END)")} AS mean_income,
+       'Premium products, loyalty programs, exclusive offers' AS focus FROM sc
+UNION ALL
+SELECT 'low', CAST(COALESCE(SUM(CASE WHEN spending_category = 'Low' THEN 1 ELSE 0 END), 0) AS BIGINT),
+       {S.r6("AVG(CASE WHEN spending_category = 'Low' THEN CAST(age AS DOUBLE) END)")},
+       {S.r6("AVG(CASE WHEN spending_category = 'Low' THEN CAST(annual_income_k AS DOUBLE) END)")},
+       'Discount campaigns, budget-friendly options, value propositions' FROM sc"""))
+def high_low_summary(spark, sf):
+    """AGG9 + SEG11: high and low spenders with their marketing focus."""
+    from spendlens.operators import segments
+    return segments.high_low_summary(_scored(spark, sf), "spending_category")
+
+
+@query("marketing_focus", scored_sql("""
+SELECT customer_id, spending_category,
+       CASE WHEN spending_category IN ('High', 'Very High') THEN 'Premium products, loyalty programs, exclusive offers'
+            WHEN spending_category = 'Low' THEN 'Discount campaigns, budget-friendly options, value propositions' END AS focus
+FROM sc"""))
+def marketing_focus(spark, sf):
+    """SEG11: focus text per customer from its spending category."""
+    from spendlens.operators import segments
+    return segments.marketing_focus(_scored(spark, sf).select(KEY, "spending_category"), "spending_category")
+
+
+@query("prediction_table", S.with_customers(*_ols_sql_ctes(), SCORED_CTE) + f"""
+SELECT customer_id AS CustomerID, age AS Age, gender AS Gender, annual_income_k AS Annual_Income_k,
+       CAST(actual AS BIGINT) AS Actual_Spending_Score, {S.r6('predicted')} AS Predicted_Spending_Score,
+       customer_segment AS Customer_Segment, {S.r6('ABS(actual - predicted)')} AS Prediction_Error
+FROM sc""")
+def prediction_table(spark, sf):
+    """SEG8 / PRJ5: the exported per-customer prediction table."""
+    from spendlens.operators import segments
+    s = _scored(spark, sf).withColumn(TARGET, F.col("actual").cast("long"))
+    return segments.prediction_table(s, "predicted", "customer_segment")
+
+
+@query("gender_mean_prediction", scored_sql(f"""
+SELECT gender, {S.r6('AVG(predicted)')} AS mean_predicted FROM bp WHERE gender IS NOT NULL GROUP BY gender"""))
+def gender_mean_prediction(spark, sf):
+    """AGG8: mean predicted score per gender."""
+    p = _best_pred(spark, sf)
+    return p.filter(F.col(GENDER).isNotNull()).groupBy(GENDER).agg(r6(F.avg("predicted")).alias("mean_predicted"))
+
+
+def _facts_sql() -> str:
+    def f(section, metric, value, label="NULL"):
+        return (f"SELECT {S.q(section)} AS section, {metric} AS metric, {S.r6(value)} AS value, "
+                f"CAST({label} AS VARCHAR) AS label")
+    strength = ("(CASE WHEN ABS({x}) < 0.3 THEN 'weak' WHEN ABS({x}) < 0.7 THEN 'moderate' ELSE 'strong' END || ' ' || "
+                "CASE WHEN {x} < 0 THEN 'negative' ELSE 'positive' END)")
+    perf = ("CASE WHEN test_r2 > 0.7 THEN 'Excellent' WHEN test_r2 > 0.5 THEN 'Good' WHEN test_r2 > 0.3 THEN 'Moderate' "
+            "ELSE 'Poor' END")
+    y = "CAST(spending_score AS DOUBLE)"
+    parts = [
+        f("dataset", "'total_customers'", "n", "NULL") + " FROM d",
+        f("dataset", "'features'", "4") + " FROM d",
+        f("dataset", "'mean_spending_score'", "my") + " FROM d",
+        f("dataset", "'median_spending_score'", "md") + " FROM d",
+        f("dataset", "'std_spending_score'", "sd") + " FROM d",
+        f("dataset", "'mean_age'", "ma") + " FROM d",
+        f("dataset", "'mean_annual_income'", "mi") + " FROM d",
+        f("correlation", "'age'", "ca", strength.format(x="ca")) + " FROM d",
+        f("correlation", "'annual_income_k'", "ci", strength.format(x="ci")) + " FROM d",
+        f("age_band", "l.band", "g.m") + f" FROM {S.labels_table('band', bands.AGE_LABELS)} l LEFT JOIN ab g ON g.band = l.band",
+        f("income_band", "l.band", "g.m") + f" FROM {S.labels_table('band', bands.INCOME_LABELS)} l LEFT JOIN ib g ON g.band = l.band",
+        f("gender", "gender || '_mean'", f"AVG({y})") + " FROM customers WHERE gender IS NOT NULL GROUP BY gender",
+        f("gender", "gender || '_count'", f"COUNT({y})") + " FROM customers WHERE gender IS NOT NULL GROUP BY gender",
+    ]
+    parts += [f("model", S.q(m), m, "model") + " FROM best" for m in
+              ("train_rmse", "test_rmse", "train_mae", "test_mae", "train_r2", "test_r2")]
+    parts.append(f("model", "'performance'", "test_r2 * 100", perf) + " FROM best")
+    parts.append(f("residuals", "'mean_residual'", "AVG(actual - predicted)",
+                   "(CASE WHEN ABS(AVG(actual - predicted)) < 5 THEN 'random' ELSE 'some systematic' END || ', ' || "
+                   "CASE WHEN ABS(AVG(actual - predicted)) < 3 THEN 'normal' ELSE 'some deviation' END)")
+                 + " FROM bp WHERE split = 'test'")
+    parts.append(f("segments", "l.customer_segment", "COALESCE(g.c, 0)")
+                 + f" FROM {S.labels_table('customer_segment', bands.SEGMENT_LABELS)} l LEFT JOIN sg g "
+                   "ON g.customer_segment = l.customer_segment")
+    hi = "spending_category IN ('High', 'Very High')"
+    lo = "spending_category = 'Low'"
+    for g, cond, focus in (("high", hi, "'Premium products, loyalty programs, exclusive offers'"),
+                           ("low", lo, "'Discount campaigns, budget-friendly options, value propositions'")):
+        parts.append(f("spenders", S.q(f"{g}_customers"), f"COALESCE(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END), 0)", focus)
+                     + " FROM sc")
+        parts.append(f("spenders", S.q(f"{g}_mean_age"), f"AVG(CASE WHEN {cond} THEN CAST(age AS DOUBLE) END)") + " FROM sc")
+        parts.append(f("spenders", S.q(f"{g}_mean_income"),
+                       f"AVG(CASE WHEN {cond} THEN CAST(annual_income_k AS DOUBLE) END)") + " FROM sc")
+    ctes = [
+        f"""d AS (SELECT COUNT(*) AS n, AVG({y}) AS my, QUANTILE_CONT({y}, 0.5) AS md, STDDEV_SAMP({y}) AS sd,
+                AVG(CAST(age AS DOUBLE)) AS ma, AVG(CAST(annual_income_k AS DOUBLE)) AS mi,
+                CORR(CAST(age AS DOUBLE), {y}) AS ca, CORR(CAST(annual_income_k AS DOUBLE), {y}) AS ci FROM customers)""",
+        f"ab AS (SELECT {S.cut('age', bands.AGE_EDGES, bands.AGE_LABELS, True)} AS band, AVG({y}) AS m FROM customers GROUP BY 1)",
+        f"ib AS (SELECT {S.cut('annual_income_k', bands.INCOME_EDGES, bands.INCOME_LABELS, True)} AS band, AVG({y}) AS m "
+        "FROM customers GROUP BY 1)",
+        "sg AS (SELECT customer_segment, COUNT(*) AS c FROM sc WHERE customer_segment IS NOT NULL GROUP BY 1)",
+    ]
+    return S.with_customers(*_ols_sql_ctes(), SCORED_CTE, *ctes) + "\n" + "\n UNION ALL ".join(parts)
+
+
+@query("report_facts", _facts_sql())
+def report_facts(spark, sf):
+    """SEG12: the report's fact table."""
+    from spendlens.operators import facts, models
+    _, pred = _ols(spark, sf)
+    cmp = models.model_comparison(models.regression_metrics(pred))
+    best_pred = pred.join(models.best_model(cmp).select("model"), "model", "left_semi")
+    return facts.report_facts(_customers(spark, sf), best_pred, cmp)
