@@ -985,3 +985,116 @@ def report_facts(spark, sf):
     cmp = models.model_comparison(models.regression_metrics(pred))
     best_pred = pred.join(models.best_model(cmp).select("model"), "model", "left_semi")
     return facts.report_facts(_customers(spark, sf), best_pred, cmp)
+
+
+# ------------------------------------------------------------ the same operators on the large tables
+LI_NUM = ("l_quantity", "l_discount", "l_tax")
+
+
+def _lineitem(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet")
+
+
+def _events(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+LI_VIEW = "lineitem"
+
+
+@query("lineitem_describe", "\n UNION ALL ".join(
+    f"SELECT l_returnflag AS \"group\", {S.q(c)} AS \"column\", CAST(COUNT({c}) AS BIGINT) AS count, "
+    f"{S.r6(f'AVG(CAST({c} AS DOUBLE))')} AS mean, {S.r6(f'STDDEV_SAMP(CAST({c} AS DOUBLE))')} AS std, "
+    f"{S.r6(f'MIN({c})')} AS min, {S.r6(f'QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25)')} AS p25, "
+    f"{S.r6(f'QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5)')} AS p50, {S.r6(f'QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75)')} AS p75, "
+    f"{S.r6(f'MAX({c})')} AS max FROM lineitem GROUP BY l_returnflag" for c in LI_NUM))
+def lineitem_describe(spark, sf):
+    """PROF5 / AGG4 on lineitem: per return flag, exact quartiles of bounded-domain columns."""
+    li = _lineitem(spark, sf).withColumnRenamed("l_returnflag", "group")
+    return profile.describe(li, LI_NUM, by="group")
+
+
+@query("lineitem_histogram", "WITH x AS (SELECT 1)" + _hist_sql("lineitem", "l_extendedprice"))
+def lineitem_histogram(spark, sf):
+    """AGG11 on lineitem: 20-bin histogram of the extended price."""
+    return eda.histogram(_lineitem(spark, sf), "l_extendedprice", 20)
+
+
+@query("lineitem_box", "WITH x AS (SELECT 1)" + _box_sql("lineitem", "l_quantity", "l_returnflag"))
+def lineitem_box(spark, sf):
+    """AGG13 on lineitem: box statistics of the quantity per return flag."""
+    return eda.box_stats(_lineitem(spark, sf), "l_quantity", by="l_returnflag")
+
+
+@query("lineitem_corr", _corr_sql("lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def lineitem_corr(spark, sf):
+    """AGG1 on lineitem."""
+    return eda.corr_matrix(_lineitem(spark, sf), ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+@query("lineitem_frequencies", f"""
+WITH g AS (SELECT l_linestatus AS value, COUNT(*) AS c FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY 1)
+SELECT value, CAST(c AS BIGINT) AS count, {S.r6('c * 100.0 / (SELECT SUM(c) FROM g)')} AS pct FROM g""")
+def lineitem_frequencies(spark, sf):
+    """PROF6 / PROF7 on lineitem: line status frequencies."""
+    return profile.value_counts(_lineitem(spark, sf), "l_linestatus")
+
+
+LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query("lineitem_missing", "WITH x AS (SELECT 1)" + _missing_sql("lineitem", LI_COLS))
+def lineitem_missing(spark, sf):
+    """PROF2 on lineitem: one aggregate pass over all eleven columns."""
+    return profile.missing_profile(_lineitem(spark, sf).select(*LI_COLS))
+
+
+@query("lineitem_duplicates", """
+SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT COUNT(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount, l_tax) g""")
+def lineitem_duplicates(spark, sf):
+    """PROF4 on lineitem: repeated rows over five low-cardinality columns (heavy repeats)."""
+    return profile.duplicate_count(_lineitem(spark, sf), ["l_returnflag", "l_linestatus", "l_quantity", "l_discount",
+                                                          "l_tax"])
+
+
+@query("lineitem_trend", f"""
+SELECT 'l_quantity' AS x_column, {S.r6('REGR_SLOPE(l_extendedprice, l_quantity)')} AS slope,
+       {S.r6('REGR_INTERCEPT(l_extendedprice, l_quantity)')} AS intercept, {S.r6('REGR_R2(l_extendedprice, l_quantity)')} AS r2,
+       CAST(REGR_COUNT(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem""")
+def lineitem_trend(spark, sf):
+    """AGG15 on lineitem: price on quantity."""
+    return eda.trend_line(_lineitem(spark, sf), ("l_quantity",), "l_extendedprice")
+
+
+@query("lineitem_grid", "WITH x AS (SELECT 1)" + _grid_sql("lineitem", ("l_quantity", "l_discount"), "l_extendedprice"))
+def lineitem_grid(spark, sf):
+    """AGG17 on lineitem: quantity x discount cells with mean price."""
+    return eda.grid_counts(_lineitem(spark, sf), ("l_quantity", "l_discount"), "l_extendedprice", 10)
+
+
+@query("events_by_type", f"""
+SELECT event_type, {S.r6('AVG(value)')} AS mean, CAST(COUNT(value) AS BIGINT) AS count, {S.r6('STDDEV_SAMP(value)')} AS std
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type""")
+def events_by_type(spark, sf):
+    """AGG5 on events: mean, count, sd of the value per event type."""
+    return eda.group_spread(_events(spark, sf), "event_type", "value")
+
+
+@query("events_density", "WITH x AS (SELECT 1)" + _density_sql("events", "value", "event_type"))
+def events_density(spark, sf):
+    """AGG14 on events: kernel density of the value per event type."""
+    return eda.density(_events(spark, sf), "value", by="event_type")
+
+
+@query("events_fill", """
+SELECT event_id,
+  COALESCE(LAST_VALUE(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           FIRST_VALUE(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS value
+FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) t""")
+def events_fill(spark, sf):
+    """FILL1 + FILL2 on events: value blanked on every seventh id, filled in id order."""
+    ev = _events(spark, sf).select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit(None))
+                                   .otherwise(F.col("value")).alias("value"))
+    return fill.ffill_bfill(ev, "event_id")
