@@ -237,10 +237,9 @@ def grid_search(train: DataFrame, est, param_maps: list[dict], label: str, fold_
 
 
 def coefficient_table(model, features: Sequence[str]) -> DataFrame:
-    """MOD13: linear coefficients, largest absolute value first."""
-    spark = model.coefficients  # noqa: F841 (kept for clarity of source)
-    rows = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
+    """MOD13: linear coefficients, largest absolute value first (12 rows)."""
     from pyspark.sql import SparkSession
+    rows = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
     df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, coefficient double")
     return df.orderBy(F.abs("coefficient").desc(), "feature")
 

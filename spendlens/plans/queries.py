@@ -1098,3 +1098,74 @@ def events_fill(spark, sf):
     ev = _events(spark, sf).select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit(None))
                                    .otherwise(F.col("value")).alias("value"))
     return fill.ffill_bfill(ev, "event_id")
+
+
+# ------------------------------------------------------------ pyspark.ml models (rows-only checks)
+SMALL_PARAMS = {"forest": {"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 1},
+                "boosting": {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1}}
+
+
+def _fit(spark, sf, which):
+    from spendlens.plans import pipeline
+    return pipeline.fit(_customers(spark, sf), which=which, params=SMALL_PARAMS)
+
+
+@query("ols_full")
+def ols_full(spark, sf):
+    """MOD1 / MOD13: least squares on the twelve scaled features; coefficients by absolute size."""
+    from spendlens.operators import models
+    fitted, _, _ = _fit(spark, sf, ("linear",))
+    return models.coefficient_table(fitted.models["linear"], fitted.feature_cols)
+
+
+@query("forest_fit")
+def forest_fit(spark, sf):
+    """MOD2 / MOD9 / MOD10: random forest (fixed small setting), train and test metrics."""
+    _, _, metrics = _fit(spark, sf, ("forest",))
+    return metrics
+
+
+@query("boosting_fit")
+def boosting_fit(spark, sf):
+    """MOD3 / MOD9 / MOD10: gradient boosting from the mean (fixed small setting), metrics."""
+    _, _, metrics = _fit(spark, sf, ("boosting",))
+    return metrics
+
+
+@query("ml_model_comparison")
+def ml_model_comparison(spark, sf):
+    """MOD11 / MOD12 over the three pyspark.ml models."""
+    from spendlens.operators import models
+    _, _, metrics = _fit(spark, sf, ("linear", "forest", "boosting"))
+    return models.model_comparison(metrics)
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    """MOD4-MOD8: forest grid search on three hash folds (a two-setting grid), results per setting."""
+    from spendlens.operators import models
+    from spendlens.plans import pipeline
+    fitted, _, _ = pipeline.fit(_customers(spark, sf), which=("linear",))
+    df = split.hash_split(_customers(spark, sf), KEY)
+    df = pipeline.assembled(df, fitted).withColumn("fold", split.fold_of(KEY, 3))
+    train = df.filter((F.col("split") == "train") & F.col("label").isNotNull())
+    est = models.forest_estimator("label")
+    grid = {"n_estimators": [10], "max_depth": [3, 5]}
+    _, res = models.grid_search(train, est, models.forest_param_maps(est, grid), "label", "fold", parallelism=2)
+    return res
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """MOD14 / MOD15 / MOD16: forest importances with rank (sum to 1)."""
+    from spendlens.operators import models
+    fitted, _, _ = _fit(spark, sf, ("forest",))
+    return models.importance_table(fitted.models["forest"], fitted.feature_cols)
+
+
+@query("batch_score")
+def batch_score(spark, sf):
+    """SEG9 / SEG10: fit on the complete view, score the view with gaps (filled in key order)."""
+    from spendlens.plans import pipeline
+    fitted, _, _ = _fit(spark, sf, ("linear",))
+    return pipeline.score(_gaps(spark, sf), fitted)
