@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.util import small
 
 BUCKET = "__bucket"
+MAX_BUCKETS = 100000
 
 
 def key_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err: float = 0.001) -> DataFrame:
@@ -30,11 +31,15 @@ def key_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err:
     never lands in an earlier bucket.
     """
     if n_buckets is None:
-        n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                        df.rdd.getNumPartitions())
+        # About one bucket per input split, at most MAX_BUCKETS: the carry table
+        # (one row per bucket) stays small whatever the table size.
+        n_buckets = min(MAX_BUCKETS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                                         df.rdd.getNumPartitions()))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(key, probs, rel_err) if probs else []
     splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(BUCKET, F.lit(0))
     tmp = "__key_d"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(key).cast("double")))

@@ -142,8 +142,68 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES_COL) -> Dat
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
+class OlsModel:
+    """Least squares on named columns: prediction = intercept + sum(coef * column).
+
+    Fitted from one aggregate pass (means and population co-moments of the
+    k inputs and the label, k*(k+3)/2 + 2 numbers) and a k x k minimum-norm
+    solve on the driver: the SVD least-squares answer, so exactly collinear
+    inputs share their weight equally. The matrix grows with the number of
+    features, not rows.
+    """
+
+    def __init__(self, features: Sequence[str], coefficients, intercept: float, label: str = "label"):
+        self.features = list(features)
+        self.coefficients = [float(c) for c in coefficients]
+        self.intercept = float(intercept)
+        self.label = label
+
+    def predict_col(self) -> Column:
+        expr = F.lit(self.intercept)
+        for f, c in zip(self.features, self.coefficients):
+            expr = expr + F.lit(c) * F.col(f).cast("double")
+        return expr
+
+    def transform(self, df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
+        return df.withColumn(prediction_col, self.predict_col())
+
+    def to_dict(self) -> dict:
+        return {"features": self.features, "coefficients": self.coefficients, "intercept": self.intercept,
+                "label": self.label}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> "OlsModel":
+        return cls(d["features"], d["coefficients"], d["intercept"], d.get("label", "label"))
+
+
+def fit_ols(train: DataFrame, features: Sequence[str], label: str, rcond: float = 1e-10) -> OlsModel:
+    """MOD1: ordinary least squares with intercept (sklearn's LinearRegression)."""
+    import numpy as np
+    k = len(features)
+    ok = F.col(label).isNotNull()
+    for f in features:
+        ok = ok & F.col(f).isNotNull()
+    src = train.filter(ok)
+    x = [F.col(f).cast("double") for f in features]
+    y = F.col(label).cast("double")
+    aggs = [F.avg(y).alias("my")] + [F.avg(xi).alias(f"m{i}") for i, xi in enumerate(x)]
+    aggs += [F.covar_pop(x[i], y).alias(f"cy{i}") for i in range(k)]
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    r = src.agg(*aggs).first()
+    cxx = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            cxx[i, j] = cxx[j, i] = r[f"c{i}_{j}"] or 0.0
+    cxy = np.array([r[f"cy{i}"] or 0.0 for i in range(k)])
+    b = np.linalg.lstsq(cxx, cxy, rcond=rcond)[0] if k else np.zeros(0)
+    intercept = (r["my"] or 0.0) - float(sum(b[i] * (r[f"m{i}"] or 0.0) for i in range(k)))
+    return OlsModel(features, b, intercept, label)
+
+
 def fit_linear(train: DataFrame, label: str, features: str = FEATURES_COL):
-    """MOD1: ordinary least squares; l-bfgs gives collinear columns equal weights."""
+    """MOD1 with pyspark.ml on a vector column: l-bfgs, which also splits
+    collinear weights equally (one Spark job per iteration; ``fit_ols`` is
+    one pass)."""
     lr = LinearRegression(featuresCol=features, labelCol=label, solver="l-bfgs", regParam=0.0,
                           elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
     return lr.fit(train)
@@ -236,10 +296,15 @@ def grid_search(train: DataFrame, est, param_maps: list[dict], label: str, fold_
     return m, res
 
 
+def _coefs(model) -> list[float]:
+    c = model.coefficients
+    return list(c.toArray()) if hasattr(c, "toArray") else list(c)
+
+
 def coefficient_table(model, features: Sequence[str]) -> DataFrame:
     """MOD13: linear coefficients, largest absolute value first (12 rows)."""
     from pyspark.sql import SparkSession
-    rows = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
+    rows = [(f, float(c)) for f, c in zip(features, _coefs(model))]
     df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, coefficient double")
     return df.orderBy(F.abs("coefficient").desc(), "feature")
 
@@ -251,7 +316,7 @@ def importance_table(model, features: Sequence[str]) -> DataFrame:
     if hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray()
     else:
-        vals = [abs(v) for v in model.coefficients.toArray()]
+        vals = [abs(v) for v in _coefs(model)]
     rows = [(f, float(v)) for f, v in zip(features, vals)]
     df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
     from pyspark.sql import Window

@@ -47,19 +47,23 @@ class FittedPipeline:
         return {"key": self.key, "target": self.target, "feature_cols": self.feature_cols,
                 "income_min": self.income_min, "income_max": self.income_max, "codes": self.codes,
                 "scaler": {k: list(v) for k, v in self.scaler.items()}, "offsets": self.offsets,
-                "best": self.best, "params": self.params, "models": sorted(self.models)}
+                "best": self.best, "params": self.params,
+                "models": sorted(n for n, m in self.models.items() if not isinstance(m, models.OlsModel)),
+                "ols": {n: m.to_dict() for n, m in self.models.items() if isinstance(m, models.OlsModel)}}
 
     def save(self, spark, path: str) -> None:
         """State as one JSON line through Spark's writer (any shared file system), models beside it."""
         spark.createDataFrame([(json.dumps(self.state()),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/state")
         for name, m in self.models.items():
-            m.write().overwrite().save(f"{path}/models/{name}")
+            if not isinstance(m, models.OlsModel):
+                m.write().overwrite().save(f"{path}/models/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> "FittedPipeline":
         st = json.loads(spark.read.text(f"{path}/state").first()[0])
         ms = {n: _LOADERS[n].load(f"{path}/models/{n}") for n in st.pop("models")}
+        ms.update({n: models.OlsModel.from_dict(d) for n, d in st.pop("ols", {}).items()})
         st["scaler"] = {k: tuple(v) for k, v in st["scaler"].items()}
         return cls(models=ms, **st)
 
@@ -84,7 +88,8 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     """
     spark = df.sparkSession
     base = fill.ffill_bfill(df, key, n_buckets=n_buckets) if do_fill else df
-    base = split.hash_split(base, key, test_fraction, seed)
+    # Several small statistics are read from the filled table: keep it for them.
+    base = split.hash_split(base, key, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
     src = base.filter(F.col("split") == "train") if fit_on == "train" else base
     mm = src.agg(F.min(INCOME).alias("lo"), F.max(INCOME).alias("hi")).first()
     stats = {"income_min": mm["lo"], "income_max": mm["hi"]}
@@ -98,17 +103,19 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     data = models.assemble(scale.standardise(enc, feature_cols, stats=scaler), feature_cols)
     data = data.withColumn("label", F.col(target).cast("double")) \
         .withColumn("fold", split.fold_of(key, models.FOLDS.get(preset or "fast", 3), test_fraction, seed)) \
-        .select(key, "split", "fold", "label", models.FEATURES_COL, GENDER, AGE, INCOME)
+        .select(key, "split", "fold", "label", models.FEATURES_COL, GENDER, AGE, INCOME, *feature_cols)
     # Model fits read the training rows many times: keep them, spill if needed.
     # Row order inside partitions is fixed by a sort on the key (tree fits depend on layout).
     data = data.filter(F.col("label").isNotNull()).repartition(key).sortWithinPartitions(key) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    base.unpersist()
     train = data.filter(F.col("split") == "train")
     params = params or {}
     mean_y = train.agg(F.avg("label")).first()[0]
     for name in which:
         if name == "linear":
-            fitted.models[name] = models.fit_linear(train, "label")
+            fitted.models[name] = models.fit_ols(train, feature_cols, "label")
             fitted.offsets[name] = 0.0
         elif name == "forest":
             est = models.forest_estimator("label", seed=seed)
@@ -129,10 +136,11 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
             else:
                 fitted.models[name] = est.setParams(**params.get("boosting", {})).fit(tr)
             fitted.offsets[name] = float(mean_y)
-        fitted.params[name] = {p.name: (v if isinstance(v, (int, float, str, bool)) else str(v))
-                               for p, v in fitted.models[name].extractParamMap().items()
-                               if p.name in ("numTrees", "maxDepth", "minInstancesPerNode", "maxIter",
-                                             "stepSize", "subsamplingRate", "regParam")}
+        if hasattr(fitted.models[name], "extractParamMap"):
+            fitted.params[name] = {p.name: (v if isinstance(v, (int, float, str, bool)) else str(v))
+                                   for p, v in fitted.models[name].extractParamMap().items()
+                                   if p.name in ("numTrees", "maxDepth", "minInstancesPerNode", "maxIter",
+                                                 "stepSize", "subsamplingRate")}
     pred = predictions(data, fitted)
     metrics = models.regression_metrics(pred)
     cmp = models.model_comparison(metrics)
@@ -186,11 +194,15 @@ def score(df: DataFrame, fitted: FittedPipeline, model: str | None = None, segme
     feat = feat.withColumnsRenamed({d: f"{pfx}{d}" for d in DERIVED})
     codes = {f"{pfx}{c}": v for c, v in fitted.codes.items()}
     enc = encode.apply_codes(feat, codes, list(codes), unseen=unseen)
-    vec = _vector(enc, fitted, pfx)
     m = fitted.models[name]
-    m = m.copy()
-    m.setFeaturesCol(f"{pfx}features").setPredictionCol(f"{pfx}prediction")
-    scored = m.transform(vec)
+    if isinstance(m, models.OlsModel):
+        cols = [f"{pfx}{c}" for c in fitted.feature_cols]
+        scaled = scale.standardise(enc, cols, stats={f"{pfx}{c}": fitted.scaler[c] for c in fitted.feature_cols})
+        scored = models.OlsModel(cols, m.coefficients, m.intercept).transform(scaled, f"{pfx}prediction")
+    else:
+        m = m.copy()
+        m.setFeaturesCol(f"{pfx}features").setPredictionCol(f"{pfx}prediction")
+        scored = m.transform(_vector(enc, fitted, pfx))
     p = F.col(f"{pfx}prediction") + F.lit(fitted.offsets.get(name, 0.0))
     seg = segments.segment(p, segment_mode, labels)
     return scored.select(*df.columns, p.alias("Predicted_Spending_Score"), seg.alias("Customer_Segment"))

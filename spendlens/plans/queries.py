@@ -1068,10 +1068,10 @@ def lineitem_trend(spark, sf):
     return eda.trend_line(_lineitem(spark, sf), ("l_quantity",), "l_extendedprice")
 
 
-@query("lineitem_grid", "WITH x AS (SELECT 1)" + _grid_sql("lineitem", ("l_quantity", "l_discount"), "l_extendedprice"))
+@query("lineitem_grid", "WITH x AS (SELECT 1)" + _grid_sql("lineitem", ("l_discount", "l_tax"), "l_quantity"))
 def lineitem_grid(spark, sf):
-    """AGG17 on lineitem: quantity x discount cells with mean price."""
-    return eda.grid_counts(_lineitem(spark, sf), ("l_quantity", "l_discount"), "l_extendedprice", 10)
+    """AGG17 on lineitem: discount x tax cells with row count and mean quantity."""
+    return eda.grid_counts(_lineitem(spark, sf), ("l_discount", "l_tax"), "l_quantity", 10)
 
 
 @query("events_by_type", f"""
