@@ -44,3 +44,12 @@ def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach a one-row statistics frame to every row (broadcast nested-loop
     join against one row: no shuffle of ``df``)."""
     return df.crossJoin(small(stats))
+
+
+def freeze(one_row: DataFrame) -> dict:
+    """Turn a one-row statistics frame into Python literals (one small action).
+
+    Later plans then carry the numbers as constants instead of re-running the
+    aggregate inside every plan that uses them."""
+    r = one_row.first()
+    return r.asDict() if r is not None else {}

@@ -27,19 +27,29 @@ def _rows(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
-def report_facts(customers: DataFrame, pred: DataFrame, comparison: DataFrame) -> DataFrame:
+def report_facts(customers: DataFrame, pred: DataFrame, best: DataFrame) -> DataFrame:
     """``customers``: the base table; ``pred``: long predictions of the chosen
-    model (split, actual, predicted, gender, age, income); ``comparison``:
-    one row per model (MOD11) of which the best row is reported."""
+    model (split, actual, predicted, age, income); ``best``: the chosen model's
+    row of the comparison table (MOD11/MOD12).
+
+    Three passes in all: one conditional aggregate over the customers (dataset
+    facts, correlations, open-ended band means), one grouped by gender, one
+    conditional aggregate over the predictions (residual bias, segment sizes,
+    high and low spenders).
+    """
     y = F.col(TARGET).cast("double")
-    parts = []
-    # Dataset (PROF9).
+    a, inc = F.col(AGE).cast("double"), F.col(INCOME).cast("double")
+    age_band = bands.cut(AGE, bands.AGE_EDGES, bands.AGE_LABELS, open_ends=True)
+    inc_band = bands.cut(INCOME, bands.INCOME_EDGES, bands.INCOME_LABELS, open_ends=True)
+    band_aggs = [F.avg(F.when(age_band == lab, y)).alias(f"ab{i}") for i, lab in enumerate(bands.AGE_LABELS)]
+    band_aggs += [F.avg(F.when(inc_band == lab, y)).alias(f"ib{i}") for i, lab in enumerate(bands.INCOME_LABELS)]
     one = customers.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.percentile(y, 0.5).alias("md"),
-                        F.stddev_samp(y).alias("sd"), F.avg(F.col(AGE).cast("double")).alias("ma"),
-                        F.avg(F.col(INCOME).cast("double")).alias("mi"),
-                        F.corr(F.col(AGE).cast("double"), y).alias("ca"),
-                        F.corr(F.col(INCOME).cast("double"), y).alias("ci"))
-    parts.append(_rows(one, [
+                        F.stddev_samp(y).alias("sd"), F.avg(a).alias("ma"), F.avg(inc).alias("mi"),
+                        F.corr(a, y).alias("ca"), F.corr(inc, y).alias("ci"), *band_aggs)
+
+    def corr_label(c):
+        return F.concat_ws(" ", eda.strength_label(F.col(c)), F.when(F.col(c) < 0, "negative").otherwise("positive"))
+    parts = [_rows(one, [
         fact("dataset", "total_customers", F.col("n")),
         fact("dataset", "features", F.lit(len(customers.columns) - 1)),
         fact("dataset", "mean_spending_score", F.col("my")),
@@ -47,42 +57,42 @@ def report_facts(customers: DataFrame, pred: DataFrame, comparison: DataFrame) -
         fact("dataset", "std_spending_score", F.col("sd")),
         fact("dataset", "mean_age", F.col("ma")),
         fact("dataset", "mean_annual_income", F.col("mi")),
-        # Correlation wording (AGG3).
-        fact("correlation", "age", F.col("ca"), F.concat_ws(" ", eda.strength_label(F.col("ca")),
-                                                             F.when(F.col("ca") < 0, "negative").otherwise("positive"))),
-        fact("correlation", "annual_income_k", F.col("ci"),
-             F.concat_ws(" ", eda.strength_label(F.col("ci")), F.when(F.col("ci") < 0, "negative").otherwise("positive"))),
-    ]))
-    # Band means with open ends (AGG6).
-    for name, c, edges, labels in (("age_band", AGE, bands.AGE_EDGES, bands.AGE_LABELS),
-                                   ("income_band", INCOME, bands.INCOME_EDGES, bands.INCOME_LABELS)):
-        bm = eda.band_means(customers, bands.cut(c, edges, labels, open_ends=True), labels, TARGET, "band")
-        parts.append(bm.select(fact(name, F.col("band"), F.col("mean")).alias("f")).select("f.*"))
+        fact("correlation", "age", F.col("ca"), corr_label("ca")),
+        fact("correlation", "annual_income_k", F.col("ci"), corr_label("ci")),
+    ] + [fact("age_band", lab, F.col(f"ab{i}")) for i, lab in enumerate(bands.AGE_LABELS)]
+      + [fact("income_band", lab, F.col(f"ib{i}")) for i, lab in enumerate(bands.INCOME_LABELS)])]
     # Gender (AGG5).
     gs = eda.group_spread(customers, GENDER, TARGET)
     parts.append(gs.select(F.inline(F.array(fact("gender", F.concat(F.col(GENDER), F.lit("_mean")), F.col("mean")),
                                             fact("gender", F.concat(F.col(GENDER), F.lit("_count")), F.col("count"))))))
     # Best model (MOD10-MOD12, MOD17).
-    best = models.best_model(comparison)
     r2 = F.col("test_r2")
     parts.append(_rows(best, [fact("model", m, F.col(m), F.col("model")) for m in
                               ("train_rmse", "test_rmse", "train_mae", "test_mae", "train_r2", "test_r2")] +
                        [fact("model", "performance", r2 * 100, models.performance_label(r2))]))
-    # Residuals of the test side (RES6).
-    rb = residuals.residual_bias(pred.filter(F.col("split") == "test"))
-    parts.append(_rows(rb, [fact("residuals", "mean_residual", F.col("mean_residual"),
-                                 F.concat_ws(", ", F.col("pattern"), F.col("shape")))]))
-    # Segments (SEG5) and high/low spenders (AGG9).
-    sc = pred.withColumns({"customer_segment": segments.segment("predicted", "cut", "segment"),
-                           "spending_category": segments.segment("predicted", "cut", "category")})
-    sg = segments.segment_counts(sc, "customer_segment", bands.SEGMENT_LABELS)
-    parts.append(sg.select(fact("segments", F.col("customer_segment"), F.col("count")).alias("f")).select("f.*"))
-    hl = segments.high_low_summary(sc, "spending_category")
-    parts.append(hl.select(F.inline(F.array(
-        fact("spenders", F.concat(F.col("group"), F.lit("_customers")), F.col("customers"), F.col("focus")),
-        fact("spenders", F.concat(F.col("group"), F.lit("_mean_age")), F.col("mean_age")),
-        fact("spenders", F.concat(F.col("group"), F.lit("_mean_income")), F.col("mean_income"))))))
+    # Predictions: residual bias (RES6), segment sizes (SEG5), high/low spenders (AGG9).
+    p = F.col("predicted")
+    seg = segments.segment(p, "cut", "segment")
+    cat = segments.segment(p, "cut", "category")
+    hi, lo = cat.isin(*segments.HIGH_CATEGORIES), cat.isin(*segments.LOW_CATEGORIES)
+    res = F.when(F.col("split") == "test", F.col("actual") - p)
+    pa = pred.agg(F.avg(res).alias("mres"),
+                  *[F.sum((seg == lab).cast("long")).alias(f"s{i}") for i, lab in enumerate(bands.SEGMENT_LABELS)],
+                  F.sum(hi.cast("long")).alias("hn"), F.avg(F.when(hi, a)).alias("ha"), F.avg(F.when(hi, inc)).alias("hi"),
+                  F.sum(lo.cast("long")).alias("ln"), F.avg(F.when(lo, a)).alias("la"), F.avg(F.when(lo, inc)).alias("li"))
+    m = F.abs(F.col("mres"))
+    bias = F.concat_ws(", ", F.when(m < residuals.RANDOM_BELOW, "random").otherwise("some systematic"),
+                       F.when(m < residuals.NORMAL_BELOW, "normal").otherwise("some deviation"))
+    parts.append(_rows(pa, [fact("residuals", "mean_residual", F.col("mres"), bias)]
+                       + [fact("segments", lab, F.coalesce(F.col(f"s{i}"), F.lit(0)))
+                          for i, lab in enumerate(bands.SEGMENT_LABELS)]
+                       + [fact("spenders", "high_customers", F.coalesce(F.col("hn"), F.lit(0)), F.lit(segments.HIGH_FOCUS)),
+                          fact("spenders", "high_mean_age", F.col("ha")),
+                          fact("spenders", "high_mean_income", F.col("hi")),
+                          fact("spenders", "low_customers", F.coalesce(F.col("ln"), F.lit(0)), F.lit(segments.LOW_FOCUS)),
+                          fact("spenders", "low_mean_age", F.col("la")),
+                          fact("spenders", "low_mean_income", F.col("li"))]))
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -69,16 +69,20 @@ def closed_form_coefficients(df: DataFrame, y: str, models: Mapping[str, Sequenc
     return src.agg(*aggs).select(*outs)
 
 
-def closed_form_predictions(df: DataFrame, coefs: DataFrame, y: str, models: Mapping[str, Sequence[str]],
+def closed_form_predictions(df: DataFrame, coefs: DataFrame | dict, y: str, models: Mapping[str, Sequence[str]],
                             keep: Sequence[str] = ()) -> DataFrame:
     """Long predictions (model, model_order, *keep, actual, predicted): one scan
-    of ``df`` computes every model, ``inline`` unpivots them."""
-    j = df.crossJoin(small(coefs))
+    of ``df`` computes every model, ``inline`` unpivots them. ``coefs`` is the
+    one-row frame (joined as a broadcast) or its frozen values (literals)."""
+    if isinstance(coefs, dict):
+        j, b = df, (lambda n: F.lit(coefs[n]).cast("double"))
+    else:
+        j, b = df.crossJoin(small(coefs)), (lambda n: F.col(n))
     structs = []
     for k, (m, xs) in enumerate(models.items()):
-        p = F.col(f"{m}_b0")
+        p = b(f"{m}_b0")
         for i, x in enumerate(xs):
-            p = p + F.col(f"{m}_b{i + 1}") * F.col(x).cast("double")
+            p = p + b(f"{m}_b{i + 1}") * F.col(x).cast("double")
         structs.append(F.struct(F.lit(m).alias("model"), F.lit(k).cast("long").alias("model_order"),
                                 p.alias("predicted")))
     return j.select(*keep, F.col(y).cast("double").alias("actual"), F.inline(F.array(*structs))) \

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import r6
+from spendlens.functions.util import freeze, r6
 from spendlens.operators import eda, encode, features, fill, profile, scale, split
 from spendlens.plans import sqltext as S
 from spendlens.schema import AGE, GENDER, INCOME, KEY, TARGET
@@ -292,8 +292,11 @@ SCALED = ("gender", "age", "annual_income_k", "age_group", "income_group", "inco
 
 
 def _encoded_features(spark, sf) -> DataFrame:
-    df = _features(spark, sf)
-    codes = encode.fit_label_codes(df, ["gender", "age_group", "income_group"])
+    """Features with frozen min/max and frozen code tables (each one small action)."""
+    base = _customers(spark, sf)
+    stats = freeze(base.agg(F.min(INCOME).alias("income_min"), F.max(INCOME).alias("income_max")))
+    df = features.derive_features(base, stats=stats)
+    codes = encode.collect_codes(encode.fit_label_codes(df, ["gender", "age_group", "income_group"]))
     return encode.apply_codes(df, codes, ["gender", "age_group", "income_group"])
 
 
@@ -328,7 +331,8 @@ SELECT e.customer_id, {sel} FROM enc e CROSS JOIN st"""
 def standardise(spark, sf):
     """FEA17: the twelve encoded features scaled with train-side mean and population sd."""
     df = _encoded_features(spark, sf)
-    out = scale.standardise(df, SCALED, where=~split.is_test(KEY))
+    stats = scale.collect_scaler(df, SCALED, where=~split.is_test(KEY))
+    out = scale.standardise(df, SCALED, stats=stats)
     return out.select(KEY, *[r6(c).alias(c) for c in SCALED])
 
 
@@ -590,20 +594,22 @@ KEEP = (KEY, GENDER, AGE, INCOME, "split")
 
 
 def _ols(spark, sf):
-    """Split, fit the three closed-form models on the training side, predict every customer."""
+    """Split, fit the three closed-form models on the training side (one
+    aggregate, frozen as literals), predict every customer."""
     from spendlens.operators import models
     df = split.hash_split(_customers(spark, sf), KEY)
-    coefs = models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train")
+    coefs = freeze(models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train"))
     pred = models.closed_form_predictions(df, coefs, TARGET, OLS_MODELS, keep=KEEP)
     return coefs, pred
 
 
 def _best_pred(spark, sf):
-    """Predictions of the model with the highest test R2."""
+    """Predictions of the model with the highest test R2 (the choice is one
+    small action over the metrics; the plan then filters on a literal)."""
     from spendlens.operators import models
     _, pred = _ols(spark, sf)
-    best = models.best_model(models.model_comparison(models.regression_metrics(pred)))
-    return pred.join(best.select("model"), "model", "left_semi")
+    best = models.best_model(models.model_comparison(models.regression_metrics(pred))).first()["model"]
+    return pred.filter(F.col("model") == best)
 
 
 def _ols_sql_ctes() -> list[str]:
@@ -677,13 +683,14 @@ SELECT model, term, ROUND(coefficient, 6) + 0.0 AS coefficient FROM (
 def ols_two_vars(spark, sf):
     """MOD1 (closed form): least squares of the score on age, on income and on both, training side."""
     coefs, _ = _ols(spark, sf)
+    one = spark.range(1)
     structs = []
     for m, xs in OLS_MODELS.items():
         structs.append(F.struct(F.lit(m).alias("model"), F.lit("intercept").alias("term"),
-                                r6(F.col(f"{m}_b0")).alias("coefficient")))
+                                r6(F.lit(coefs[f"{m}_b0"])).alias("coefficient")))
         structs += [F.struct(F.lit(m).alias("model"), F.lit(x).alias("term"),
-                             r6(F.col(f"{m}_b{i + 1}")).alias("coefficient")) for i, x in enumerate(xs)]
-    return coefs.select(F.inline(F.array(*structs)))
+                             r6(F.lit(coefs[f"{m}_b{i + 1}"])).alias("coefficient")) for i, x in enumerate(xs)]
+    return one.select(F.inline(F.array(*structs)))
 
 
 @query("regression_metrics", ols_sql("SELECT * FROM met"))
@@ -983,8 +990,9 @@ def report_facts(spark, sf):
     from spendlens.operators import facts, models
     _, pred = _ols(spark, sf)
     cmp = models.model_comparison(models.regression_metrics(pred))
-    best_pred = pred.join(models.best_model(cmp).select("model"), "model", "left_semi")
-    return facts.report_facts(_customers(spark, sf), best_pred, cmp)
+    best = models.best_model(cmp).first()
+    best_pred = pred.filter(F.col("model") == best["model"])
+    return facts.report_facts(_customers(spark, sf), best_pred, spark.createDataFrame([best]))
 
 
 # ------------------------------------------------------------ the same operators on the large tables
