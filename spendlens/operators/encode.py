@@ -33,14 +33,13 @@ def as_text(c: str) -> Column:
 def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Code table (column, value, code) from the distinct values of ``cols``.
 
-    The distinct step is a partial + final aggregate; the rank runs per
-    column over the distinct values only.
+    One scan of ``df``; the distinct step is a partial + final aggregate (a
+    value repeated a billion times leaves each map task once); the rank runs
+    per column over the distinct values only.
     """
-    parts = [df.select(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols]
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
-    vals = vals.distinct()
+    # One scan: every row emits (column, value) for each text column.
+    vals = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value"))
+                                        for c in cols]))).distinct()
     w = Window.partitionBy("column").orderBy("value")
     return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("long"))
 
