@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.joins import join_group_stats
 from spendlens.functions.util import r6, rows_from_one_row, small, with_stats
 
 
@@ -129,8 +130,13 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
     """AGG12 / AGG13: quartiles (linear interpolation), IQR, whiskers at the
     most extreme values within ``whis`` IQR, outlier count; per group if ``by``.
 
-    Pass 1 aggregates quartiles per group; pass 2 joins them back and takes the
-    whisker extremes in one conditional aggregate.
+    The rows are first counted per (group, value): a partial + final
+    aggregate, so a hot group leaves every map task as one row per distinct
+    value. Exact quartiles are then ``percentile`` with those counts as
+    frequencies; ``method="approx"`` takes ``percentile_approx`` over the
+    rows instead (bounded memory for wide continuous columns). The fences go
+    back onto the counted values (broadcast behind a row-count check, salted
+    shuffle join beyond it) for the whisker and outlier pass.
     """
     x = F.col(value).cast("double")
     cols = [x.alias("__x")]
@@ -142,29 +148,35 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
     src = df.select(*cols).filter(F.col("__x").isNotNull())
     if keys:
         src = src.filter(F.col("group").isNotNull())
-    q = (F.percentile("__x", [0.25, 0.5, 0.75]) if method == "exact"
-         else F.percentile_approx("__x", [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
-    aggs = [F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.min("__x").alias("min"),
-            F.max("__x").alias("max"), q.alias("__q")]
-    st = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
+    vc = src.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    if method == "exact":
+        q = F.percentile("__x", [0.25, 0.5, 0.75], F.col("__c"))
+        aggs = [F.sum("__c").alias("n"), (F.sum(F.col("__x") * F.col("__c")) / F.sum("__c")).alias("mean"),
+                F.min("__x").alias("min"), F.max("__x").alias("max"), q.alias("__q")]
+        st = vc.groupBy(*keys).agg(*aggs) if keys else vc.agg(*aggs)
+    else:
+        q = F.percentile_approx("__x", [0.25, 0.5, 0.75], accuracy).cast("array<double>")
+        aggs = [F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.min("__x").alias("min"),
+                F.max("__x").alias("max"), q.alias("__q")]
+        st = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
     st = st.select(*keys, "n", "mean", "min", "max", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                    F.col("__q")[2].alias("q3"))
     st = st.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("__lf", F.col("q1") - whis * F.col("iqr")) \
         .withColumn("__uf", F.col("q3") + whis * F.col("iqr"))
-    fences = st.select(*keys, "__lf", "__uf")
-    joined = src.join(fences, keys, "inner") if keys else with_stats(src, fences)
+    joined = join_group_stats(vc, st, keys)
     xx = F.col("__x")
-    w = joined.groupBy(*keys).agg(
+    aggs = [F.first(c).alias(c) for c in ("n", "mean", "min", "max", "q1", "median", "q3", "iqr")] + [
         F.min(F.when(xx >= F.col("__lf"), xx)).alias("lower_whisker"),
         F.max(F.when(xx <= F.col("__uf"), xx)).alias("upper_whisker"),
-        F.sum(((xx < F.col("__lf")) | (xx > F.col("__uf"))).cast("long")).alias("n_outliers"))
-    out = st.join(w, keys, "inner") if keys else st.crossJoin(w)
-    return out.select(*keys, F.col("n").cast("long"), r6("mean").alias("mean"), r6("min").alias("min"),
-                      r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
-                      r6("iqr").alias("iqr"), r6("lower_whisker").alias("lower_whisker"),
-                      r6("upper_whisker").alias("upper_whisker"), F.col("n_outliers").cast("long"),
-                      r6("max").alias("max"))
+        F.sum(F.when((xx < F.col("__lf")) | (xx > F.col("__uf")), F.col("__c")).otherwise(0)).alias("n_outliers")]
+    w = joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
+    w = w.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
+    return w.select(*keys, F.col("n").cast("long"), r6("mean").alias("mean"), r6("min").alias("min"),
+                    r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
+                    r6("iqr").alias("iqr"), r6("lower_whisker").alias("lower_whisker"),
+                    r6("upper_whisker").alias("upper_whisker"), F.col("n_outliers").cast("long"),
+                    r6("max").alias("max"))
 
 
 # --------------------------------------------------------------------- density
@@ -189,7 +201,7 @@ def density(df: DataFrame, value: str, by: str | None = None, gridsize: int = 10
     st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))) \
         .withColumn("__lo", F.col("__mn") - cut * F.col("__h")) \
         .withColumn("__step", (F.col("__mx") + cut * F.col("__h") - F.col("__lo")) / (gridsize - 1))
-    j = vc.join(st, keys, "inner") if keys else with_stats(vc, st)
+    j = join_group_stats(vc, st, keys)
     pts = F.sequence(F.lit(0), F.lit(gridsize - 1))
     j = j.select(*keys, "__x", "__c", "__n", "__h", "__lo", "__step", F.posexplode(pts).alias("point", "__p"))
     gx = F.col("__lo") + F.col("point").cast("double") * F.col("__step")

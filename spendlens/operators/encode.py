@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.functions.joins import join_group_stats
 from spendlens.functions.util import small
 
 NULL_TEXT = "nan"
@@ -74,12 +75,17 @@ def apply_codes(df: DataFrame, codes: DataFrame | dict, cols: Sequence[str] | No
             looked[c] = m[as_text(c)].cast("long")
         out = df.withColumns({f"__code_{c}": v for c, v in looked.items()})
     else:
+        # A code table as a DataFrame: one row per level, size unknown. Each
+        # column's table is broadcast only after its row count is checked;
+        # beyond the cap it is a salted shuffle join (a level holding a third
+        # of all rows is split over several tasks).
         cols = list(cols)
         out = df
         for c in cols:
-            cc = small(codes.filter(F.col("column") == c).select(
-                F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}")))
-            out = out.withColumn(f"__v_{c}", as_text(c)).join(cc, f"__v_{c}", "left").drop(f"__v_{c}")
+            cc = codes.filter(F.col("column") == c).select(
+                F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}"))
+            out = join_group_stats(out.withColumn(f"__v_{c}", as_text(c)), cc, [f"__v_{c}"], "left") \
+                .drop(f"__v_{c}")
     if unseen == "zero_column":
         flags = out.agg(*[F.max(F.col(f"__code_{c}").isNull().cast("int")).alias(f"__any_{c}") for c in cols])
         out = out.crossJoin(small(flags))

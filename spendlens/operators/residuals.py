@@ -12,7 +12,8 @@ from spendlens.operators import eda
 def choose(pred: DataFrame, model: str | DataFrame, split: str | None = "test") -> DataFrame:
     """RES7: the rows of one model (by name, or the one-row best-model frame)."""
     if isinstance(model, DataFrame):
-        out = pred.join(model.select("model"), "model", "left_semi")
+        # One row (a top-1 frame), capped again here: the broadcast is bounded.
+        out = pred.join(F.broadcast(model.select("model").limit(1)), "model", "left_semi")
     else:
         out = pred.filter(F.col("model") == model)
     return out.filter(F.col("split") == split) if split else out
