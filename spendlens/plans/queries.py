@@ -682,15 +682,18 @@ SELECT model, term, ROUND(coefficient, 6) + 0.0 AS coefficient FROM (
   UNION ALL SELECT 'ols_age_income', 'annual_income_k', ols_age_income_b2 FROM coef) t"""))
 def ols_two_vars(spark, sf):
     """MOD1 (closed form): least squares of the score on age, on income and on both, training side."""
-    coefs, _ = _ols(spark, sf)
-    one = spark.range(1)
+    from spendlens.functions.util import rows_from_one_row
+    from spendlens.operators import models
+    df = split.hash_split(_customers(spark, sf), KEY)
+    # The one-row aggregate stays lazy here: the result is its unpivot.
+    one = models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train")
     structs = []
     for m, xs in OLS_MODELS.items():
         structs.append(F.struct(F.lit(m).alias("model"), F.lit("intercept").alias("term"),
-                                r6(F.lit(coefs[f"{m}_b0"])).alias("coefficient")))
+                                r6(F.col(f"{m}_b0")).alias("coefficient")))
         structs += [F.struct(F.lit(m).alias("model"), F.lit(x).alias("term"),
-                             r6(F.lit(coefs[f"{m}_b{i + 1}"])).alias("coefficient")) for i, x in enumerate(xs)]
-    return one.select(F.inline(F.array(*structs)))
+                             r6(F.col(f"{m}_b{i + 1}")).alias("coefficient")) for i, x in enumerate(xs)]
+    return rows_from_one_row(one, structs)
 
 
 @query("regression_metrics", ols_sql("SELECT * FROM met"))
