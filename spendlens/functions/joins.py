@@ -33,6 +33,14 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def settle(stats: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A statistics table used more than once: its rows as a literal table
+    when there are at most ``max_rows`` (computed once, checked size), else
+    the lazy frame itself."""
+    rows = bounded_rows(stats, MAX_BROADCAST_ROWS if max_rows is None else max_rows)
+    return stats.sparkSession.createDataFrame(rows, stats.schema) if rows is not None else stats
+
+
 def salted_join(big: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner",
                 salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """Shuffle join of ``big`` with a table that has one row per key, hot keys

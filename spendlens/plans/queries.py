@@ -1093,6 +1093,33 @@ def events_by_type(spark, sf):
     return eda.group_spread(_events(spark, sf), "event_type", "value")
 
 
+def _density_binned_sql(view: str, col: str, by: str, bins: int = 4096, gridsize: int = 100,
+                        cut: float = 2.0) -> str:
+    w = f"((st.mx - st.mn) / {bins})"
+    return f""",
+src AS (SELECT {by} AS g, CAST({col} AS DOUBLE) AS x FROM {view} WHERE {col} IS NOT NULL AND {by} IS NOT NULL),
+st0 AS (SELECT g, COUNT(x) AS n, STDDEV_SAMP(x) AS sd, MIN(x) AS mn, MAX(x) AS mx FROM src GROUP BY g),
+st AS (SELECT g, n, sd * POW(CAST(n AS DOUBLE), -0.2) AS h, mn, mx FROM st0),
+bn AS (SELECT src.g, CASE WHEN st.mx = st.mn THEN 0
+                          ELSE CAST(LEAST(FLOOR((src.x - st.mn) / {w}), {bins - 1}) AS BIGINT) END AS b,
+              st.mn, st.mx FROM src JOIN st ON st.g = src.g),
+vc AS (SELECT g, CASE WHEN mx = mn THEN mn ELSE mn + (CAST(b AS DOUBLE) + 0.5) * ((mx - mn) / {bins}) END AS x,
+              COUNT(*) AS c FROM bn GROUP BY 1, 2),
+st2 AS (SELECT g, n, h, mn - {cut!r} * h AS lo, (mx + {cut!r} * h - (mn - {cut!r} * h)) / {gridsize - 1} AS step FROM st),
+pts AS (SELECT CAST(range AS BIGINT) AS point FROM range({gridsize})),
+j AS (SELECT vc.g, p.point, st2.lo + CAST(p.point AS DOUBLE) * st2.step AS gx, vc.x, vc.c, st2.n, st2.h
+      FROM vc JOIN st2 ON st2.g = vc.g CROSS JOIN pts p)
+SELECT g AS {by}, point, {S.r6('MIN(gx)')} AS x,
+       {S.r6('SUM(c * EXP(-0.5 * ((gx - x) / h) * ((gx - x) / h))) / (MIN(n) * MIN(h) * 2.5066282746310002)')} AS density
+FROM j GROUP BY g, point"""
+
+
+@query("events_density_binned", "WITH x AS (SELECT 1)" + _density_binned_sql("events", "value", "event_type"))
+def events_density_binned(spark, sf):
+    """AGG14 at scale on a continuous column: binned kernel density of the event value per type."""
+    return eda.density(_events(spark, sf), "value", by="event_type", method="binned")
+
+
 @query("events_density", "WITH x AS (SELECT 1)" + _density_sql("events", "value", "event_type"))
 def events_density(spark, sf):
     """AGG14 on events: kernel density of the value per event type."""

@@ -90,3 +90,22 @@ def test_grid_counts_add_up(spark):
     got = eda.grid_counts(df, ["a", "b"], "v", 10).toPandas()
     assert got["count"].sum() == len(VALS)
     assert got["bin_a"].between(0, 9).all() and got["bin_b"].between(0, 9).all()
+
+
+def test_binned_density_close_to_exact(spark):
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(0, 1, 3000), rng.normal(5, 0.5, 1000)])
+    df = spark.createDataFrame([(("a" if i % 4 else "b"), float(v)) for i, v in enumerate(vals)], "g string, x double")
+    exact = {(r["g"], r["point"]): r["density"] for r in eda.density(df, "x", by="g").collect()}
+    binned = {(r["g"], r["point"]): r["density"] for r in eda.density(df, "x", by="g", method="binned").collect()}
+    assert exact.keys() == binned.keys() and len(exact) == 200
+    peak = max(exact.values())
+    assert max(abs(exact[k] - binned[k]) for k in exact) < 1e-3 * peak
+
+
+def test_binned_density_constant_column(spark):
+    df = spark.createDataFrame([(2.0,)] * 5 + [(None,)], "x double")
+    out = eda.density(df, "x", method="binned").collect()
+    # sd = 0: the bandwidth is 0 and the density is undefined, exactly as in the exact method.
+    assert len(out) == 100
+    assert [r["density"] for r in out] == [r["density"] for r in eda.density(df, "x").collect()]
