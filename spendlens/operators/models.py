@@ -215,15 +215,17 @@ def fit_linear(train: DataFrame, label: str, features: str = FEATURES_COL):
 
 def forest_estimator(label: str, features: str = FEATURES_COL, seed: int = 42, **kw) -> RandomForestRegressor:
     """MOD2: bootstrap forest over all features at each split."""
+    # Node ids cached and checkpointed every 10 iterations (when the cluster names a
+    # checkpoint folder): deep trees keep a short lineage and survive lost executors.
     est = RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed, featureSubsetStrategy="all",
-                                maxBins=kw.pop("maxBins", 256))
+                                maxBins=kw.pop("maxBins", 256), cacheNodeIds=True, checkpointInterval=10)
     return est.setParams(**kw) if kw else est
 
 
 def boosting_estimator(label: str, features: str = FEATURES_COL, seed: int = 42, **kw) -> GBTRegressor:
     """MOD3: squared-loss boosting. Fit on the label minus its mean (see fit_boosting)."""
     est = GBTRegressor(featuresCol=features, labelCol=label, seed=seed, lossType="squared",
-                       maxBins=kw.pop("maxBins", 256))
+                       maxBins=kw.pop("maxBins", 256), cacheNodeIds=True, checkpointInterval=10)
     return est.setParams(**kw) if kw else est
 
 

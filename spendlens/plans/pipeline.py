@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.util import r6
 from spendlens.operators import encode, features, fill, models, projections, scale, segments, split
 from spendlens.schema import AGE, GENDER, INCOME, KEY, MODEL_FEATURES, REQUIRED_FOR_SCORING, TARGET
+from spendlens.session import checkpoint_dir
 
 MODEL_ORDER = ("linear", "forest", "boosting")
 MODEL_NAMES = {"linear": "Linear Regression", "forest": "Random Forest", "boosting": "Gradient Boosting"}
@@ -87,6 +88,7 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     reference's order); ``"train"`` on the training side only.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)  # the cluster's folder, when it names one; never a local default
     base = fill.ffill_bfill(df, key, n_buckets=n_buckets) if do_fill else df
     # Several small statistics are read from the filled table: keep it for them.
     base = split.hash_split(base, key, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
@@ -106,8 +108,12 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
         .select(key, "split", "fold", "label", models.FEATURES_COL, GENDER, AGE, INCOME, *feature_cols)
     # Model fits read the training rows many times: keep them, spill if needed.
     # Row order inside partitions is fixed by a sort on the key (tree fits depend on layout).
-    data = data.filter(F.col("label").isNotNull()).repartition(key).sortWithinPartitions(key) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.filter(F.col("label").isNotNull()).repartition(key).sortWithinPartitions(key)
+    if spark.sparkContext.getCheckpointDir():
+        # Written to the cluster's shared checkpoint folder: the fits no longer
+        # depend on the fill / encode lineage, and a lost executor costs a re-read.
+        data = data.checkpoint(eager=True)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
     base.unpersist()
     train = data.filter(F.col("split") == "train")
