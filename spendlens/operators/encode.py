@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.joins import join_group_stats
+from spendlens.operators.fill import ordered_positions
 from spendlens.functions.util import small
 
 NULL_TEXT = "nan"
@@ -35,14 +36,15 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Code table (column, value, code) from the distinct values of ``cols``.
 
     One scan of ``df``; the distinct step is a partial + final aggregate (a
-    value repeated a billion times leaves each map task once); the rank runs
-    per column over the distinct values only.
+    value repeated a billion times leaves each map task once); the codes are
+    positions in a range-partitioned sort of the distinct values.
     """
     # One scan: every row emits (column, value) for each text column.
     vals = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value"))
                                         for c in cols]))).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("long"))
+    # Codes are positions in sorted order, numbered across range partitions:
+    # no task holds all the levels of a column.
+    return ordered_positions(vals, "column", "value", "code")
 
 
 def collect_codes(codes: DataFrame, max_levels: int = 10000) -> dict[str, dict[str, int]]:

@@ -91,3 +91,25 @@ def with_row_number(df: DataFrame, key: str, name: str = "row_number", n_buckets
     j = local.join(small(offs), BUCKET, "left")
     return j.withColumn(name, (F.col("__off") + F.col("__rn") - 1 + start).cast("long")) \
         .drop(BUCKET, "__rn", "__off")
+
+
+def ordered_positions(df: DataFrame, by: str, value: str, name: str = "position",
+                      n_parts: int | None = None) -> DataFrame:
+    """0-based position of each row in ``value`` order within its ``by`` group,
+    without a window that holds a whole group in one task (label codes over a
+    column with any number of distinct values).
+
+    ``repartitionByRange`` on (by, value) sorts the rows across partitions
+    (bounds from Spark's sampling); rows are numbered inside each
+    (partition, by) part, and each part adds the row count of the earlier
+    partitions of its group: a table with one row per (partition, by),
+    broadcast. Values must be unique within a group for the order to be total.
+    """
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, by, value).withColumn("__pid", F.spark_partition_id())
+    local = r.withColumn("__pos", F.row_number().over(Window.partitionBy("__pid", by).orderBy(value)) - 1)
+    sizes = r.groupBy("__pid", by).agg(F.count(F.lit(1)).alias("__sz"))
+    before = Window.partitionBy(by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("__pid", by, F.coalesce(F.sum("__sz").over(before), F.lit(0)).alias("__off"))
+    return local.join(small(offs), ["__pid", by], "left") \
+        .withColumn(name, (F.col("__off") + F.col("__pos")).cast("long")).drop("__pid", "__pos", "__off")

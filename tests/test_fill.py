@@ -46,3 +46,18 @@ def test_row_number(spark, n_buckets):
     df = spark.createDataFrame([(int(k),) for k in keys], "k long")
     got = fill.with_row_number(df, "k", n_buckets=n_buckets).orderBy("k").collect()
     assert [r["row_number"] for r in got] == list(range(len(keys)))
+
+
+def test_ordered_positions_across_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from spendlens.operators import fill
+    # Two groups, one much larger, values spread over many range partitions.
+    df = spark.range(5000).select(F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("g"),
+                                  F.format_string("v%06d", (F.col("id") * 7919) % 100003).alias("v")).distinct()
+    got = {(r["g"], r["v"]): r["pos"] for r in fill.ordered_positions(df, "g", "v", "pos", n_parts=7).collect()}
+    want = {}
+    for g in ("a", "b"):
+        vals = sorted(v for (gg, v) in got if gg == g)
+        want.update({(g, v): i for i, v in enumerate(vals)})
+    assert got == want
