@@ -328,3 +328,13 @@ def importance_table(model, features: Sequence[str]) -> DataFrame:
     from pyspark.sql import Window
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # 12 rows: one small task
     return df.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+# The original inputs the report names when it reads the importance table.
+ORIGINAL_INPUTS = ("age", "annual_income_k", "gender")
+
+
+def original_input_importance(importance: DataFrame, inputs: Sequence[str] = ORIGINAL_INPUTS) -> DataFrame:
+    """MOD16: the rows of the importance table for the original inputs, with
+    their overall rank kept."""
+    return importance.filter(F.col("feature").isin(*inputs))

@@ -101,3 +101,11 @@ def test_grid_search_small(spark):
     assert len(rows) == 2 and sum(r["best"] for r in rows) == 1
     best = max(rows, key=lambda r: r["mean_neg_mse"])
     assert best["best"]
+
+
+def test_original_input_importance_keeps_rank(spark):
+    from spendlens.operators import models
+    imp = spark.createDataFrame([("age", 0.5, 1), ("age_squared", 0.3, 2), ("gender", 0.2, 3)],
+                                "feature string, importance double, rank long")
+    got = [(r["feature"], r["rank"]) for r in models.original_input_importance(imp).orderBy("rank").collect()]
+    assert got == [("age", 1), ("gender", 3)]
