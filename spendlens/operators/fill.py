@@ -31,10 +31,11 @@ def key_buckets(df: DataFrame, key: str, n_buckets: int | None = None, rel_err:
     never lands in an earlier bucket.
     """
     if n_buckets is None:
-        # About one bucket per input split, at most MAX_BUCKETS: the carry table
-        # (one row per bucket) stays small whatever the table size.
-        n_buckets = min(MAX_BUCKETS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                                         df.rdd.getNumPartitions()))
+        # About one bucket per shuffle partition (sized for the data), at most
+        # MAX_BUCKETS: the carry table (one row per bucket) stays small.
+        spark = df.sparkSession
+        n_buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                         spark.sparkContext.defaultParallelism))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(key, probs, rel_err) if probs else []
     splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
@@ -59,8 +60,10 @@ def ffill_bfill(df: DataFrame, key: str, cols: Sequence[str] | None = None,
     b = key_buckets(df, key, n_buckets)
     w = Window.partitionBy(BUCKET).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.withColumns({f"__ff_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
-    # Per bucket: the (key, value) of its first and last non-null value.
-    ends = b.groupBy(BUCKET).agg(
+    # Per bucket: the (key, value) of its first and last non-null value. Taken
+    # from the window's output, which is already partitioned by bucket: no
+    # second shuffle, and the window's shuffle is reused by the join below.
+    ends = local.groupBy(BUCKET).agg(
         *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(key).alias("k"), F.col(c).alias("v"))))
           .getField("v").alias(f"__last_{c}") for c in cols],
         *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(key).alias("k"), F.col(c).alias("v"))))
@@ -85,7 +88,7 @@ def with_row_number(df: DataFrame, key: str, name: str = "row_number", n_buckets
     b = key_buckets(df, key, n_buckets)
     w = Window.partitionBy(BUCKET).orderBy(key)
     local = b.withColumn("__rn", F.row_number().over(w))
-    sizes = b.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__sz"))
+    sizes = local.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__sz"))  # same shuffle as the window
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(BUCKET, F.coalesce(F.sum("__sz").over(before), F.lit(0)).alias("__off"))
     j = local.join(small(offs), BUCKET, "left")
