@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.functions.joins import join_group_stats
+from spendlens.functions.joins import bounded_rows, join_group_stats
 from spendlens.operators.fill import ordered_positions
 from spendlens.functions.util import small
 
@@ -32,18 +32,23 @@ def as_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT))
 
 
-def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def fit_label_codes(df: DataFrame, cols: Sequence[str], max_levels: int = 10000) -> DataFrame:
     """Code table (column, value, code) from the distinct values of ``cols``.
 
     One scan of ``df``; the distinct step is a partial + final aggregate (a
-    value repeated a billion times leaves each map task once); the codes are
-    positions in a range-partitioned sort of the distinct values.
+    value repeated a billion times leaves each map task once). Up to
+    ``max_levels`` levels in all (checked with a capped fetch) the codes are
+    numbered on that small table; beyond it they are positions in a
+    range-partitioned sort, so no task holds every level of a column.
     """
     # One scan: every row emits (column, value) for each text column.
     vals = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value"))
                                         for c in cols]))).distinct()
-    # Codes are positions in sorted order, numbered across range partitions:
-    # no task holds all the levels of a column.
+    rows = bounded_rows(vals, max_levels)
+    if rows is not None:
+        levels = df.sparkSession.createDataFrame(rows, vals.schema)
+        w = Window.partitionBy("column").orderBy("value")
+        return levels.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
     return ordered_positions(vals, "column", "value", "code")
 
 

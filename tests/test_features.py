@@ -110,3 +110,11 @@ def test_standardise_population_sd(spark):
     arr = np.array(vals)
     assert got["x"].tolist() == pytest.approx(((arr - arr.mean()) / arr.std(ddof=0)).tolist())
     assert got["c"].tolist() == [0.0] * 4
+
+
+def test_label_codes_same_on_both_paths(spark):
+    from spendlens.operators import encode
+    df = spark.range(300).selectExpr("format_string('k%03d', id % 120) AS a", "IF(id % 7 = 0, NULL, 'x') AS b")
+    small = sorted(tuple(r) for r in encode.fit_label_codes(df, ["a", "b"]).collect())
+    wide = sorted(tuple(r) for r in encode.fit_label_codes(df, ["a", "b"], max_levels=10).collect())
+    assert small == wide and len(small) == 122
