@@ -259,9 +259,11 @@ v AS (SELECT DISTINCT 'gender' AS "column", COALESCE(gender, 'nan') AS value FRO
       UNION SELECT DISTINCT 'income_group', COALESCE(income_group, 'nan') FROM feat)""") + """
 SELECT "column", value, CAST(DENSE_RANK() OVER (PARTITION BY "column" ORDER BY value) - 1 AS BIGINT) AS code FROM v""")
 def label_encode(spark, sf):
-    """FEA13 / FEA15: alphabetical codes of every text column."""
+    """FEA13 / FEA15: alphabetical codes of every text column. Registered on the
+    path for any number of levels (range-partitioned positions, a lazy plan over
+    the tables); the capped path is the same table (``test_features``)."""
     df = _features(spark, sf)
-    return encode.fit_label_codes(df, encode.text_columns(df))
+    return encode.fit_label_codes(df, encode.text_columns(df), max_levels=0)
 
 
 @query("encode_unseen", S.with_gaps("""
