@@ -606,12 +606,13 @@ def _ols(spark, sf):
 
 
 def _best_pred(spark, sf):
-    """Predictions of the model with the highest test R2 (the choice is one
-    small action over the metrics; the plan then filters on a literal)."""
-    from spendlens.operators import models
+    """Predictions of the model with the highest test R2. The choice stays in
+    the plan: a semi join with the one-row best-model frame (broadcast, one
+    row by construction), so no extra action runs before the query."""
+    from spendlens.operators import models, residuals
     _, pred = _ols(spark, sf)
-    best = models.best_model(models.model_comparison(models.regression_metrics(pred))).first()["model"]
-    return pred.filter(F.col("model") == best)
+    best = models.best_model(models.model_comparison(models.regression_metrics(pred)))
+    return residuals.choose(pred, best, split=None)
 
 
 def _ols_sql_ctes() -> list[str]:
