@@ -12,8 +12,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from spendlens.plans.queries import QUERIES
 
 MODEL_QUERIES = {"forest_fit", "boosting_fit", "ml_model_comparison", "grid_search", "feature_importance"}
 NEEDS_ALL_LINEITEM = {"lineitem_missing"}
@@ -41,9 +41,9 @@ def _scans(node, out):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - MODEL_QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_QUERIES))
 def test_plan_shape(spark, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = _plan(df)
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad} in plan"

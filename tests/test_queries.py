@@ -9,10 +9,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from spendlens.plans.queries import ORACLE, QUERIES
 
 TABLES = ("customer orders lineitem events").split()
-Q = entry.queries()
-SQL = entry.oracle_sql()
+Q, SQL = QUERIES, ORACLE
 
 
 @pytest.fixture(scope="module")
