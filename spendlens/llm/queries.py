@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import html_extract, mixing, packing, token_counts
+from spendlens.llm import html_extract, minhash, mixing, packing, simhash, token_counts
 from spendlens.llm.common import table
 
 #: Vocabulary of op7; a parameter of the operator.
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (five-word shingles, similarity 0.8 or more)."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of every document and of its edited text."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into bins of 2,048 tokens without source or duplicate conflicts."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
@@ -37,6 +47,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_token_counts, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op9_mixing, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {}
