@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import html_extract, minhash, mixing, packing, simhash, token_counts
+from spendlens.llm import html_extract, minhash, mixing, packing, quality, simhash, token_counts
 from spendlens.llm.common import table
 
 #: Vocabulary of op7; a parameter of the operator.
@@ -16,6 +16,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the risk-controlled quality rules for every document."""
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("lang", "text_hash")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of every document and of its edited text."""
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"), radius=3)
@@ -47,6 +53,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op9_mixing, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {}
