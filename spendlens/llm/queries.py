@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import html_extract, minhash, mixing, packing, quality, simhash, token_counts
+from spendlens.llm import html_extract, minhash, mixing, packing, quality, simhash, substring_dedup, token_counts
 from spendlens.llm.common import table
 
 #: Vocabulary of op7; a parameter of the operator.
@@ -39,6 +39,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=4096)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that occur before."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated to weights by the square root of the source's size, globally shuffled."""
     from pyspark.sql import functions as F
@@ -53,6 +58,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op8_substring_dedup, op9_mixing, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {}
