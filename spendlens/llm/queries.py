@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import html_extract, minhash, mixing, packing, quality, simhash, substring_dedup, token_counts
+from spendlens.llm import html_extract, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts, toxicity
 from spendlens.llm.common import table
 
 #: Vocabulary of op7; a parameter of the operator.
@@ -32,6 +32,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     import public_tokenizers
@@ -58,6 +68,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op7_token_counts, op8_substring_dedup, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op5_toxicity, op6_pii, op7_token_counts, op8_substring_dedup, op9_mixing, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {}
