@@ -1,15 +1,15 @@
 """Connected components of documents that share buckets, with every candidate link checked.
 
-``group_buckets`` gets memberships (bucket, node) and a check of candidate pairs. It
-finds the components of the graph whose edges are the pairs that share a bucket and pass
-the check, without ever forming all pairs of a bucket. It goes in rounds. In each round a
-bucket names a few centres, taken from its smallest classes, and only pairs of a centre with
-members of other classes are checked; a centre has then met everything in its bucket and
-leaves it. Links found are contracted to classes. A bucket whose members are all of one class
-is done, so a group of copies takes one round whatever its size, and no link between
-different classes is lost. The number of centres doubles from round to round.
-
-Nothing passes through the driver but row counts.
+``group_buckets`` gets buckets of nodes and a check of candidate pairs. It finds the components
+of the graph whose edges are the pairs that share a bucket and pass the check, without ever
+forming all pairs of a large bucket. It goes in rounds. In each round a bucket names a few
+centres, taken from its smallest classes, and only pairs of a centre with members of other
+classes are checked; a centre has then met everything in its bucket and leaves it. Links
+found are contracted to classes. A bucket whose members are all of one class is done, so a
+group of copies takes one round whatever its size, and no link between different classes is lost.
+
+The first round takes one centre (every member where there are at most ``SMALL``), later
+ones eight times as many each. Nothing passes through the driver but row counts.
 """
 
 from __future__ import annotations
@@ -21,56 +21,68 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialise
 
+#: Buckets up to this size are settled in the first round.
+SMALL = 8
+
 
 def connect(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the undirected links (a, b): the smallest node of its
-    component. Labels pass to neighbours and then to the label's own label (pointer jumping),
-    so the rounds grow with the logarithm of a component's diameter. Copies of a label meet in
-    a partial aggregate before the shuffle."""
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m"))
-                         .select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    component. A pass takes the smallest label among the neighbours, then the label's own
+    label (pointer jumping), so passes grow with the logarithm of a component's diameter; two
+    passes go into one job. Copies of a label meet in a partial aggregate before the shuffle."""
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+
+    def spread(labels: DataFrame) -> DataFrame:
+        near = (edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+                .agg(F.min("label").alias("near")))
+        return labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+
     while True:
-        near = (edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-                .withColumnRenamed("a", "node"))
-        met = labels.join(near, "node", "left").select("node", F.col("label").alias("old"),
-                                                       F.least("label", F.coalesce("near", "label")).alias("label"))
-        parent = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        moved = materialise(met.join(parent, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        first = spread(labels).select("node", "label")
+        up = first.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        jumped = first.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
+        moved = materialise(spread(jumped))
         labels = moved.select("node", "label")
         if moved.where(F.col("old") != F.col("label")).limit(1).count() == 0:
             return labels
 
 
-def group_buckets(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """(node, label) for every node that has a link; None if there is none.
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """bucket, node, size of the distinct members of buckets with at least two nodes."""
+    sizes = (members.distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
+    return materialise(members.distinct().join(sizes, "bucket"))
+
+
+def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, label) for every node that has a link; None if there is no shared bucket.
 
-    ``members``: bucket, node (both long, rows may repeat). ``check`` takes distinct pairs
-    (a, b) and returns those that are linked."""
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = sizes.where(F.col("lo") != F.col("hi")).select("bucket")
-    live = materialise(members.join(shared, "bucket").distinct().withColumn("class", F.col("node")))
-    links, labels, centres = None, None, 1
+    ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
+    pairs (a, b) and returns those that are linked."""
+    live, links, labels, centres = shared.withColumn("class", F.col("node")), None, None, 1
     while live.limit(1).count():
-        picks = _centres(live, centres, seed=centres)
+        picks = _centres(live, centres)
         pairs = (live.join(picks, "bucket").where(F.col("class") != F.col("centre_class"))
                  .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
         found = check(pairs).select("a", "b")
         links = materialise(found if links is None else links.unionByName(found))
         labels = connect(links)
         left = live.join(picks.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("class")
-        named = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("class"))
+        named = left.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
         mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                  .where(F.col("lo") != F.col("hi")).select("bucket"))
         live = materialise(named.join(mixed, "bucket"))
-        centres *= 2
+        centres *= 8
     return labels
 
 
-def _centres(live: DataFrame, n: int, seed: int) -> DataFrame:
-    """Up to ``n`` centres (bucket, centre, centre_class) per bucket, from its smallest classes."""
-    order = F.xxhash64("node", F.lit(seed))
-    classes = live.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", order).alias("centre"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.xxhash64("class", F.lit(seed)), "class"))
-    return (classes.withColumn("rank", rank).where(F.col("rank") <= n)
+def _centres(live: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` centres (bucket, centre, centre_class) per bucket, from its smallest classes; all
+    members of a small bucket in the first round. The order is the same in all buckets, so the
+    copies of a group meet the same centres in each."""
+    order = F.xxhash64("node")
+    classes = live.groupBy("bucket", "size", "class").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", order).alias("centre"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("members", F.xxhash64("class"), "class"))
+    most = F.when(F.col("size") <= SMALL, F.lit(max(n, SMALL))).otherwise(F.lit(n))
+    return (classes.withColumn("rank", rank).where((F.col("rank") <= max(n, SMALL)) & (F.col("rank") <= most))
             .select("bucket", "centre", F.col("class").alias("centre_class")))

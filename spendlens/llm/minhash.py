@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialise, text_of
-from spendlens.llm.grouping import group_buckets
+from spendlens.llm.grouping import group_buckets, shared_buckets
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
@@ -273,20 +273,18 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
                     shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id, kept, node of every row of ``docs``.
+    """doc_id, class_id, kept, text_hash of every row of ``docs``.
 
     Two documents are linked if the weighted Jaccard similarity of their shingles is at least
     ``threshold`` (a pair at 0.8 shares a band with probability above 0.9999); classes are the
-    connected components of the links, named by their smallest doc_id, whose rows are
-    kept. Texts with the same words are one node from the start. A null or empty text, or one
+    connected components of the links, named by their smallest doc_id, whose row is
+    kept (of several texts with that id the one of smallest hash). Texts with the same words are one node from the start. A null or empty text, or one
     of white space only, is a class of its own row (class_id is its doc_id); null ids lose to
     others in a class; repeated rows each get a row; an empty table gives an empty result;
-    other columns are ignored. ``node`` is a 64-bit hash."""
+    other columns are ignored. A word sequence is identified by a hash of 64 bits."""
     signed = materialise(signatures(docs, bands, rows, shingle))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = materialise(members.join(sizes.where(F.col("lo") != F.col("hi")).select("bucket"), "bucket"))
+    shared = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"))
     # Texts of the candidates only: one document of every node that shares a bucket.
     one = signed.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"))
     wanted = materialise(shared.select("node").distinct().join(one, "node").select(
@@ -298,9 +296,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     texts = materialise(rows_.join(wanted, mine).select("node", "text").dropDuplicates(["node"]))
     labels = group_buckets(shared, check_pairs(texts, threshold, shingle))
     if labels is None:
-        labelled = signed.select("doc_id", "node", F.col("node").alias("label"))
+        labelled = signed.withColumn("label", F.col("node"))
     else:
-        labelled = signed.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    first = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("first"))
-    named = labelled.join(first, "label", "left").withColumn("class_id", F.coalesce("first", "doc_id"))
-    return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
+        labelled = signed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = labelled.select("doc_id", "text_hash", "label")
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("lead")
+    named = labelled.join(labelled.where(F.col("label").isNotNull()).groupBy("label").agg(lead), "label", "left")
+    lone = F.col("lead").isNull()
+    leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))
+    return named.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"),
+                        F.when(lone, F.lit(True)).otherwise(leads).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of every class of ``near_duplicates``; of rows equal in id and text one stays."""
+    kept = (near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    rows = docs.withColumn("__text_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")

@@ -37,16 +37,17 @@ BROADCAST_STRATA = 10_000
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text_hash and the counts of every text: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_lines, n_capitals.
+    """doc_id, lang, row (the whole row as a struct) and the counts of every text: n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals.
 
     Repeated windows are found by sorting the hashes of a text's three-word windows with
     their positions, so the work grows as n log n whatever repeats."""
     text = F.col("text")
-    base = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
+    base = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.char_length(F.translate(x, BLANKS, "")) > 0)
     counted = base.select(
-        "doc_id", "lang", F.xxhash64(text).alias("text_hash"),
+        "doc_id", "lang", "row",
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
@@ -55,7 +56,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     window = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(
         F.xxhash64(F.element_at("__w", i), F.element_at("__w", i + 1), F.element_at("__w", i + 2)).alias("h"), i.alias("i")))
     sorted_ = counted.select(
-        "doc_id", "lang", "text_hash", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
+        "doc_id", "lang", "row", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, F.sort_array(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("__s"))
@@ -136,8 +137,29 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
 
 
+def fit_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The cutoffs of every stratum from the features of all documents and their labels."""
+    good = (labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+            .withColumnRenamed("doc_id", "__id"))
+    labelled = (features.withColumns(shares()).where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("__id"))
+                .select(_stratum().alias("stratum"), "good", *RULES))
+    return materialise(choose_cutoffs(labelled, alpha, delta))
+
+
+def _stratum() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+
+
+def judge(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``features`` with kept and failed_rule."""
+    judged = (features.withColumns(shares()).withColumn("stratum", _stratum())
+              .join(broadcast_if_small(cutoffs, BROADCAST_STRATA), "stratum", "left"))
+    failed = F.coalesce(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES])
+    return judged.withColumn("failed_rule", failed).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, lang, text_hash, the counts, base_failed, kept and failed_rule of every document.
+    """doc_id, the counts, base_failed, kept and failed_rule of every document.
 
     ``kept`` is false if ``base_failed`` (fewer than 50 words, or more than half of the words in
     repeated windows) or if a share exceeds its stratum's cutoff; ``failed_rule`` names the first
@@ -146,16 +168,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     a null or empty text has no words; a null language is a stratum of its own; rows with a null
     id are never labelled; repeated rows stay and count once each; without labels, or with an
     empty table, only the base rules act; other columns are ignored. The texts are read once."""
-    features = materialise(text_features(docs).withColumn("base_failed", base_failed()))
-    features = features.withColumns(shares())
-    good = (labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-            .withColumnRenamed("doc_id", "__id"))
-    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
-    labelled = (features.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("__id"))
-                .select(stratum.alias("stratum"), "good", *RULES))
-    cutoffs = materialise(choose_cutoffs(labelled, alpha, delta))
-    judged = features.withColumn("stratum", stratum).join(broadcast_if_small(cutoffs, BROADCAST_STRATA), "stratum", "left")
-    failed = F.coalesce(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RULES])
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & failed.isNull()).alias("kept"), failed.alias("failed_rule"), "lang", "text_hash")
+    slim = text_features(docs.select("doc_id", "lang", "text")).withColumn("base_failed", base_failed()).drop("row")
+    features = materialise(slim)
+    judged = judge(features, fit_cutoffs(features, labels, alpha, delta))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "failed_rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns. Counts are taken twice, once
+    for the cutoffs and once beside the text, so no text crosses a shuffle."""
+    slim = text_features(docs.select("doc_id", "lang", "text")).withColumn("base_failed", base_failed()).drop("row")
+    cutoffs = fit_cutoffs(materialise(slim), labels, alpha, delta)
+    judged = judge(text_features(docs).withColumn("base_failed", base_failed()), cutoffs)
+    return judged.where("kept").select("row.*")

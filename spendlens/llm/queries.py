@@ -13,13 +13,12 @@ TOKENIZER = "piece_bpe_32k.model"
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document (five-word shingles, similarity 0.8 or more)."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).drop("text_hash")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the risk-controlled quality rules for every document."""
-    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.drop("lang", "text_hash")
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialise, text_of, words_of
-from spendlens.llm.grouping import group_buckets
+from spendlens.llm.grouping import group_buckets, shared_buckets
 
 BITS = 128
 #: Expected documents per bucket of neighbouring ids, and buckets per group of the level above.
@@ -79,25 +79,20 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def _votes() -> list[Column]:
-    out = []
-    for h in ("h0", "h1"):
-        for s in range(32):
-            out.append(F.sum(F.shiftrightunsigned(F.col(h), s).bitwiseAND(F.lit(_PAIR)) * F.col("w")).alias(f"{h}_{s}"))
-    return out
+    """Sums of the weights that vote for bits s and s + 32, for every s and both hashes."""
+    return [F.expr(f"sum((shiftrightunsigned({h}, {s}) & {_PAIR}L) * w) AS {h}_{s}") for h in ("h0", "h1") for s in range(32)]
 
 
 def _half_print(h: str) -> Column:
     """64 bits from the sums of one hash: bit b is set if more than half of the weight voted for it."""
     bits = []
     for s in range(32):
-        c = F.col(f"{h}_{s}")
-        low, high = c.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(c, 32)
-        bits.append(F.when(low * 2 > F.col("weight"), F.lit(1 << s)).otherwise(F.lit(0)))
-        bits.append(F.when(high * 2 > F.col("weight"), F.shiftleft(F.lit(1).cast("long"), s + 32)).otherwise(F.lit(0)))
-    # A balanced sum keeps the generated code shallow; the bits do not overlap.
+        bits.append(f"CASE WHEN ({h}_{s} & 4294967295L) * 2 > weight THEN {1 << s}L ELSE 0L END")
+        bits.append(f"CASE WHEN shiftrightunsigned({h}_{s}, 32) * 2 > weight THEN shiftleft(1L, {s + 32}) ELSE 0L END")
+    # A balanced tree keeps the expression shallow; the bits do not overlap.
     while len(bits) > 1:
-        bits = [bits[i].bitwiseOR(bits[i + 1]) if i + 1 < len(bits) else bits[i] for i in range(0, len(bits), 2)]
-    return bits[0].cast("long")
+        bits = [f"({bits[i]} | {bits[i + 1]})" for i in range(0, len(bits), 2)]
+    return F.expr(bits[0])
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,7 +135,7 @@ def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
         near = distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) <= radius
         return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
-    labels = group_buckets(members, check)
+    labels = group_buckets(shared_buckets(members), check)
     if labels is None:
         return nodes.withColumn("label", F.col("node"))
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
