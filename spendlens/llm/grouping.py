@@ -23,6 +23,9 @@ from spendlens.llm.common import materialise
 
 #: Buckets up to this size are settled in the first round.
 SMALL = 8
+#: Joins of one round are shuffle joins: their sides are small only by accident, and many small broadcasts
+#: of a loop would gather on the driver.
+JOIN = "merge"
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -34,14 +37,14 @@ def connect(links: DataFrame) -> DataFrame:
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
 
     def spread(labels: DataFrame) -> DataFrame:
-        near = (edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+        near = (edges.join(labels.withColumnRenamed("node", "b").hint(JOIN), "b").groupBy(F.col("a").alias("node"))
                 .agg(F.min("label").alias("near")))
-        return labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        return labels.join(near.hint(JOIN), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
 
     while True:
         first = spread(labels).select("node", "label")
         up = first.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = first.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
+        jumped = first.join(up.hint(JOIN), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
         moved = materialise(spread(jumped))
         labels = moved.select("node", "label")
         if moved.where(F.col("old") != F.col("label")).limit(1).count() == 0:
@@ -51,7 +54,7 @@ def connect(links: DataFrame) -> DataFrame:
 def shared_buckets(members: DataFrame) -> DataFrame:
     """bucket, node, size of the distinct members of buckets with at least two nodes."""
     sizes = (members.distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
-    return materialise(members.distinct().join(sizes, "bucket"))
+    return materialise(members.distinct().join(sizes.hint(JOIN), "bucket"))
 
 
 def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
@@ -59,30 +62,32 @@ def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) ->
 
     ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
     pairs (a, b) and returns those that are linked."""
-    live, links, labels, centres = shared.withColumn("class", F.col("node")), None, None, 1
+    live, links, labels, n = shared.withColumn("class", F.col("node")), None, None, 1
     while live.limit(1).count():
-        picks = _centres(live, centres)
-        pairs = (live.join(picks, "bucket").where(F.col("class") != F.col("centre_class"))
+        centres = materialise(_centres(live, n))
+        pairs = (live.join(centres.hint(JOIN), "bucket").where(F.col("class") != F.col("centre_class"))
                  .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
         found = check(pairs).select("a", "b")
         links = materialise(found if links is None else links.unionByName(found))
         labels = connect(links)
-        left = live.join(picks.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("class")
-        named = left.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
+        done = centres.select("bucket", F.col("centre").alias("node"))
+        left = live.join(done.hint(JOIN), ["bucket", "node"], "left_anti").drop("class")
+        named = left.join(labels.hint(JOIN), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
         mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                  .where(F.col("lo") != F.col("hi")).select("bucket"))
-        live = materialise(named.join(mixed, "bucket"))
-        centres *= 8
+        live = materialise(named.join(mixed.hint(JOIN), "bucket"))
+        n *= 8
     return labels
 
 
 def _centres(live: DataFrame, n: int) -> DataFrame:
-    """Up to ``n`` centres (bucket, centre, centre_class) per bucket, from its smallest classes; all
-    members of a small bucket in the first round. The order is the same in all buckets, so the
-    copies of a group meet the same centres in each."""
-    order = F.xxhash64("node")
-    classes = live.groupBy("bucket", "size", "class").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", order).alias("centre"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("members", F.xxhash64("class"), "class"))
+    """Up to ``n`` centres (bucket, centre, centre_class) per bucket, members of its smallest classes first; all
+    members of a small bucket in the first round. The order of classes and nodes is the same in all
+    buckets, so the copies of a group meet the same centres in each. Every task cuts its part of a
+    bucket to the limit before the shuffle."""
+    classes = live.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("members"))
+    order = Window.partitionBy("bucket").orderBy("members", F.xxhash64("class"), "class", F.xxhash64("node"), "node")
     most = F.when(F.col("size") <= SMALL, F.lit(max(n, SMALL))).otherwise(F.lit(n))
-    return (classes.withColumn("rank", rank).where((F.col("rank") <= max(n, SMALL)) & (F.col("rank") <= most))
-            .select("bucket", "centre", F.col("class").alias("centre_class")))
+    return (live.join(classes.hint(JOIN), ["bucket", "class"]).withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= max(n, SMALL)).where(F.col("rank") <= most)
+            .select("bucket", F.col("node").alias("centre"), F.col("class").alias("centre_class")))

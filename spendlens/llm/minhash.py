@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialise, text_of
-from spendlens.llm.grouping import group_buckets, shared_buckets
+from spendlens.llm.grouping import JOIN, group_buckets, shared_buckets
 
 BANDS, ROWS = 24, 5
 SHINGLE = 5
@@ -263,8 +263,8 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def check(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint(JOIN), "a")
+                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint(JOIN), "b")
                 .select("a", "b", "text_a", "text_b"))
         return both.mapInArrow(linked, "a long, b long")
 
@@ -298,10 +298,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     if labels is None:
         labelled = signed.withColumn("label", F.col("node"))
     else:
-        labelled = signed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = signed.join(labels.hint(JOIN), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = labelled.select("doc_id", "text_hash", "label")
     lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("lead")
-    named = labelled.join(labelled.where(F.col("label").isNotNull()).groupBy("label").agg(lead), "label", "left")
+    named = labelled.join(labelled.where(F.col("label").isNotNull()).groupBy("label").agg(lead).hint(JOIN), "label", "left")
     lone = F.col("lead").isNull()
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash"))
     return named.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"),

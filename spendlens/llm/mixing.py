@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, alp
     return shuffled.select(*[c for c in names if c not in added], *[F.col(v).alias(k) for k, v in added.items()])
 
 
-#: DuckDB SQL for ``mix_sources(documents, keep_draw=True)`` without the texts.
+#: DuckDB SQL for ``mix_sources(documents, keep_draw=True)`` with the rate rounded to nine places.
 MIX_SQL = f"""
 WITH sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS weight FROM documents GROUP BY source),
 sums AS (SELECT sum(weight) AS all_weight, sum(n) AS all_n FROM sizes),
@@ -119,7 +119,7 @@ draws AS (
 counts AS (
   SELECT doc_id, any_value(rate) AS rate, sum(len(list_filter(tab, lambda x: x <= u)))::INT AS n_copies
   FROM draws GROUP BY doc_id)
-SELECT d.doc_id, d.source, d.n_chars, c::INT AS copy, round(rate, 9) AS rate, n_copies,
+SELECT d.doc_id, d.text, d.source, d.n_chars, c::INT AS copy, round(rate, 9) AS rate, n_copies,
        md5(concat_ws('|', 'mix-1', 'order', coalesce(d.doc_id::VARCHAR, ''), c::VARCHAR)) AS shuffle_key
 FROM documents d JOIN counts USING (doc_id), range(1, n_copies + 1) AS x(c)
 """

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialise, text_of, words_of
-from spendlens.llm.grouping import group_buckets, shared_buckets
+from spendlens.llm.grouping import JOIN, group_buckets, shared_buckets
 
 BITS = 128
 #: Expected documents per bucket of neighbouring ids, and buckets per group of the level above.
@@ -133,12 +133,12 @@ def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
         a = nodes.select(F.col("node").alias("a"), F.col("f0").alias("a0"), F.col("f1").alias("a1"))
         b = nodes.select(F.col("node").alias("b"), F.col("f0").alias("b0"), F.col("f1").alias("b1"))
         near = distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) <= radius
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+        return pairs.join(a.hint(JOIN), "a").join(b.hint(JOIN), "b").where(near).select("a", "b")
 
     labels = group_buckets(shared_buckets(members), check)
     if labels is None:
         return nodes.withColumn("label", F.col("node"))
-    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes.join(labels.hint(JOIN), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -165,10 +165,10 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     rows = materialise(row.withColumn("n0", F.lead("f0").over(down)).withColumn("n1", F.lead("f1").over(down))
                        .where(~F.col("guest")))
     near = within_radius(rows, radius)
-    named = rows.join(near.select("f0", "f1", "label"), ["f0", "f1"])
+    named = rows.join(near.select("f0", "f1", "label").hint(JOIN), ["f0", "f1"])
     first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     c = F.col
-    return named.join(first, "label").select(
+    return named.join(first.hint(JOIN), "label").select(
         "doc_id", "n_chars", "edited_sha256", hex_print(c("f0"), c("f1")).alias("fingerprint"),
         hex_print(c("ef0"), c("ef1")).alias("edited_fingerprint"),
         likeness(c("f0"), c("f1"), c("ef0"), c("ef1")).alias("near_edited"),
