@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,18 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def as_double(c) -> Column:
+    """A column as double, unrounded: operators pass full precision on."""
+    return col(c).cast("double")
+
+
+def reported(df: DataFrame) -> DataFrame:
+    """The last step of a report: every double column rounded for printing."""
+    return df.select(*[r6(f"`{n}`").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 def r6(c, digits: int = 6) -> Column:
-    """Round a double for reporting; ``+ 0.0`` turns -0.0 into 0.0."""
+    """Round a double for printing; ``+ 0.0`` turns -0.0 into 0.0. Only reports use it."""
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
 
 
@@ -22,11 +32,6 @@ def rows_from_one_row(one_row: DataFrame, structs: Sequence[Column]) -> DataFram
     return one_row.select(F.inline(F.array(*structs)))
 
 
-def literal_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small literal table (labels, grid points). Bounded by ``len(rows)``."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint for a side whose row count is bounded by construction
     (one-row aggregates, label lists, bin lists, per-group statistics over a
@@ -35,11 +40,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def one_row_stats(df: DataFrame, **aggs: Column) -> DataFrame:
-    """A one-row aggregate with named columns, ready to cross join (broadcast)."""
-    return small(df.agg(*[c.alias(n) for n, c in aggs.items()]))
-
-
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach a one-row statistics frame to every row (broadcast nested-loop
     join against one row: no shuffle of ``df``)."""

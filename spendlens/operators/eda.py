@@ -15,19 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.joins import join_group_stats, settle
-from spendlens.functions.util import r6, rows_from_one_row, small, with_stats
+from spendlens.functions.util import as_double, rows_from_one_row, small, with_stats
 
 
 # ---------------------------------------------------------------- correlation
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """AGG1: Pearson matrix in long form (row_column, column, corr), one pass.
     Pairs with a null are left out pair by pair, as pandas does."""
-    pairs = [(a, b) for a in cols for b in cols]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    # The upper triangle is computed, the lower one mirrors it.
+    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{i}_{j}")
+                   for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j])
     return rows_from_one_row(one, [
-        F.struct(F.lit(a).alias("row_column"), F.lit(b).alias("column"), r6(F.col(f"__r{i}")).alias("corr"))
-        for i, (a, b) in enumerate(pairs)])
+        F.struct(F.lit(a).alias("row_column"), F.lit(b).alias("column"), F.col(f"__r{min(i, j)}_{max(i, j)}").alias("corr"))
+        for i, a in enumerate(cols) for j, b in enumerate(cols)])
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
@@ -35,7 +35,7 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
     one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"__r{i}")
                    for i, c in enumerate(cols)])
     out = rows_from_one_row(one, [
-        F.struct(F.lit(c).alias("column"), r6(F.col(f"__r{i}")).alias("corr")) for i, c in enumerate(cols)])
+        F.struct(F.lit(c).alias("column"), as_double(F.col(f"__r{i}")).alias("corr")) for i, c in enumerate(cols)])
     return out.orderBy(F.col("corr").desc_nulls_last(), "column")
 
 
@@ -67,8 +67,8 @@ def group_spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """AGG5: mean, count and sample sd of ``value`` per group (null groups dropped)."""
     x = F.col(value).cast("double")
     return (df.filter(F.col(by).isNotNull()).groupBy(by)
-            .agg(r6(F.avg(x)).alias("mean"), F.count(x).cast("long").alias("count"),
-                 r6(F.stddev_samp(x)).alias("std")))
+            .agg(as_double(F.avg(x)).alias("mean"), F.count(x).cast("long").alias("count"),
+                 as_double(F.stddev_samp(x)).alias("std")))
 
 
 def band_means(df: DataFrame, band: Column, labels: Sequence[str], value: str, name: str = "band") -> DataFrame:
@@ -78,9 +78,9 @@ def band_means(df: DataFrame, band: Column, labels: Sequence[str], value: str, n
     x = F.col(value).cast("double")
     g = (df.groupBy(band.alias(name))
          .agg(F.avg(x).alias("mean"), F.count(x).alias("count"), F.stddev_samp(x).alias("std")))
-    return (small(lab).join(g.filter(F.col(name).isNotNull()), name, "left")
-            .select("position", name, r6("mean").alias("mean"),
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count"), r6("std").alias("std")))
+    return (lab.join(g.filter(F.col(name).isNotNull()), name, "left")
+            .select("position", name, as_double("mean").alias("mean"),
+                    F.coalesce("count", F.lit(0)).cast("long").alias("count"), as_double("std").alias("std")))
 
 
 # ------------------------------------------------------------------ histogram
@@ -119,8 +119,8 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
             .select("bin", (F.col("__lo") + F.col("bin").cast("double") * step).alias("bin_lo"),
                     F.when(F.col("bin") == bins - 1, F.col("__hi"))
                     .otherwise(F.col("__lo") + (F.col("bin") + 1).cast("double") * step).alias("bin_hi")))
-    return (small(grid).join(counts, "bin", "left")
-            .select(F.col("bin").cast("long"), r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"),
+    return (grid.join(counts, "bin", "left")
+            .select(F.col("bin").cast("long"), as_double("bin_lo").alias("bin_lo"), as_double("bin_hi").alias("bin_hi"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
@@ -172,11 +172,11 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
         F.sum(F.when((xx < F.col("__lf")) | (xx > F.col("__uf")), F.col("__c")).otherwise(0)).alias("n_outliers")]
     w = joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
     w = w.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
-    return w.select(*keys, F.col("n").cast("long"), r6("mean").alias("mean"), r6("min").alias("min"),
-                    r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"),
-                    r6("iqr").alias("iqr"), r6("lower_whisker").alias("lower_whisker"),
-                    r6("upper_whisker").alias("upper_whisker"), F.col("n_outliers").cast("long"),
-                    r6("max").alias("max"))
+    return w.select(*keys, F.col("n").cast("long"), as_double("mean").alias("mean"), as_double("min").alias("min"),
+                    as_double("q1").alias("q1"), as_double("median").alias("median"), as_double("q3").alias("q3"),
+                    as_double("iqr").alias("iqr"), as_double("lower_whisker").alias("lower_whisker"),
+                    as_double("upper_whisker").alias("upper_whisker"), F.col("n_outliers").cast("long"),
+                    as_double("max").alias("max"))
 
 
 # --------------------------------------------------------------------- density
@@ -186,9 +186,8 @@ def density(df: DataFrame, value: str, by: str | None = None, gridsize: int = 10
 
     Bandwidth by Scott's rule, ``sd * n^(-1/5)`` with the sample sd; the grid
     runs ``cut`` bandwidths past the data. Work is linear in the data: values
-    are first counted per group (a partial + final aggregate), then each
-    counted value adds its kernel to the grid points via ``posexplode`` and a
-    partial + final sum.
+    are first counted per group (a partial + final aggregate), then every
+    grid point is one sum of kernels over the counted values of its group.
 
     ``method="exact"`` counts distinct values: right for bounded domains
     (ages, scores, quantities). For wide continuous columns the distinct
@@ -223,16 +222,17 @@ def density(df: DataFrame, value: str, by: str | None = None, gridsize: int = 10
     else:
         raise ValueError("method is 'exact' or 'binned'")
     j = join_group_stats(vc, st, keys)
-    pts = F.sequence(F.lit(0), F.lit(gridsize - 1))
-    j = j.select(*keys, "__x", "__c", "__n", "__h", "__lo", "__step", F.posexplode(pts).alias("point", "__p"))
-    gx = F.col("__lo") + F.col("point").cast("double") * F.col("__step")
-    z = F.try_divide(gx - F.col("__x"), F.col("__h"))  # bandwidth 0 (constant column): null density
-    contrib = F.col("__c") * F.exp(F.lit(-0.5) * z * z)
-    norm = F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)
-    out = (j.groupBy(*keys, "point").agg(F.sum(contrib).alias("__s"), F.first(gx).alias("__gx"),
-                                          F.first(norm).alias("__norm")))
-    return out.select(*keys, F.col("point").cast("long"), r6("__gx").alias("x"),
-                      r6(F.try_divide(F.col("__s"), F.col("__norm"))).alias("density"))
+    # One sum per grid point over the counted values: no row is multiplied by the grid.
+    sums = []
+    for p in range(gridsize):
+        # Bandwidth 0 (constant column): null density.
+        sums.append(F.expr(f"sum(__c * exp(-0.5D * power(try_divide(__lo + {float(p)}D * __step - __x, __h), 2)))").alias(f"__s{p}"))
+    one = j.groupBy(*keys).agg(F.first("__lo").alias("__lo"), F.first("__step").alias("__step"),
+                               F.first(F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)).alias("__norm"), *sums)
+    points = F.array(*[F.struct(F.lit(p).cast("long").alias("point"), F.col(f"__s{p}").alias("__s")) for p in range(gridsize)])
+    out = one.select(*keys, "__lo", "__step", "__norm", F.inline(points))
+    return out.select(*keys, "point", (F.col("__lo") + F.col("point").cast("double") * F.col("__step")).alias("x"),
+                      F.try_divide(F.col("__s"), F.col("__norm")).alias("density"))
 
 
 # ------------------------------------------------------------------ trend line
@@ -246,8 +246,8 @@ def trend_line(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
                  F.regr_r2(yy, xx).alias(f"__r{i}"), F.regr_count(yy, xx).alias(f"__n{i}")]
     one = df.agg(*aggs)
     return rows_from_one_row(one, [
-        F.struct(F.lit(c).alias("x_column"), r6(F.col(f"__s{i}")).alias("slope"),
-                 r6(F.col(f"__i{i}")).alias("intercept"), r6(F.col(f"__r{i}")).alias("r2"),
+        F.struct(F.lit(c).alias("x_column"), as_double(F.col(f"__s{i}")).alias("slope"),
+                 as_double(F.col(f"__i{i}")).alias("intercept"), as_double(F.col(f"__r{i}")).alias("r2"),
                  F.col(f"__n{i}").cast("long").alias("n"))
         for i, c in enumerate(xs)])
 
@@ -271,10 +271,11 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 100, z: float = Z95)
     x0 = F.col("mn") + F.col("point").cast("double") * (F.col("mx") - F.col("mn")) / (points - 1)
     fit = F.col("a") + F.col("b") * x0
     sse = F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0))
-    s = F.sqrt(sse / (F.col("n") - 2))
-    half = F.lit(z) * s * F.sqrt(F.lit(1.0) / F.col("n") + (x0 - F.col("xbar")) ** 2 / F.col("sxx"))
-    return g.select(F.col("point").cast("long"), r6(x0).alias("x"), r6(fit).alias("fit"),
-                    r6(fit - half).alias("lower"), r6(fit + half).alias("upper"))
+    # Undefined for a constant x or fewer than three rows: null.
+    s = F.sqrt(F.try_divide(sse, F.when(F.col("n") > 2, F.col("n") - 2)))
+    half = F.lit(z) * s * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide((x0 - F.col("xbar")) ** 2, F.col("sxx")))
+    return g.select(F.col("point").cast("long"), as_double(x0).alias("x"), as_double(fit).alias("fit"),
+                    as_double(fit - half).alias("lower"), as_double(fit + half).alias("upper"))
 
 
 # ------------------------------------------------------------------ grid counts
@@ -297,7 +298,7 @@ def grid_counts(df: DataFrame, dims: Sequence[str], value: str, bins: int = 10)
     keys = [hist_bin(F.col(f"__d{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}"), bins).alias(f"bin_{d}")
             for i, d in enumerate(dims)]
     return (j.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("count"),
-                                 r6(F.avg("__v")).alias("mean_value")))
+                                 as_double(F.avg("__v")).alias("mean_value")))
 
 
 def scatter_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -308,8 +309,17 @@ def scatter_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
 
 
 # ---------------------------------------------------------------- crosstab
-def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str]) -> DataFrame:
-    """AGG10: contingency table, one column per value of ``cols`` (explicit
-    values: no extra pass to find them); null keys left out."""
+#: Most columns a contingency table may have.
+MAX_COLUMNS = 1000
+
+
+def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str] | None = None) -> DataFrame:
+    """AGG10: contingency table, one column per value of ``cols``; null keys left
+    out. Without ``values`` a distinct pass finds them all, so none is lost; more
+    than ``MAX_COLUMNS`` is an error."""
     src = df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
+    if values is None:
+        values = [str(r[0]) for r in src.select(F.col(cols).cast("string")).distinct().sort(cols).limit(MAX_COLUMNS + 1).collect()]
+        if len(values) > MAX_COLUMNS:
+            raise ValueError(f"{cols} has more than {MAX_COLUMNS} values")
     return (src.groupBy(rows).agg(*[F.sum((F.col(cols) == v).cast("long")).alias(v) for v in values]))

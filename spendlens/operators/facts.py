@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import r6
+from spendlens.functions.util import as_double
 from spendlens.operators import eda, models, residuals, segments
 from spendlens.schema import AGE, GENDER, INCOME, TARGET
 
@@ -19,7 +19,7 @@ FACT_SCHEMA = "section string, metric string, value double, label string"
 
 def fact(section: str, metric: str | Column, value: Column, label: Column | None = None) -> Column:
     m = F.lit(metric) if isinstance(metric, str) else metric
-    return F.struct(F.lit(section).alias("section"), m.alias("metric"), r6(value).alias("value"),
+    return F.struct(F.lit(section).alias("section"), m.alias("metric"), as_double(value).alias("value"),
                     (label if label is not None else F.lit(None).cast("string")).alias("label"))
 
 

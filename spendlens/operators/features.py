@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import r6, small, with_stats
+from spendlens.functions.util import as_double, small, with_stats
 from spendlens.schema import AGE, AGE_GROUP, INCOME, INCOME_GROUP
 
 
@@ -29,7 +29,9 @@ def derive_features(df: DataFrame, bands_mode: str = "closed", stats: dict | Non
     customer rule). ``stats`` = {"income_min": .., "income_max": ..} freezes
     the min-max statistics; without it they come from ``df`` itself.
     """
-    a, inc = F.col(age), F.col(income)
+    # Integer columns of any width multiply as 64-bit numbers, doubles as doubles.
+    one = F.lit(1).cast("bigint")
+    a, inc = F.col(age) * one, F.col(income) * one
     open_ends = bands_mode == "open"
     if stats is None:
         st = df.agg(F.min(inc).alias("__inc_min"), F.max(inc).alias("__inc_max"))
@@ -101,7 +103,7 @@ def equal_width_bin_table(df: DataFrame, c: str, k: int = 5) -> DataFrame:
     counts = (with_equal_width_bins(df.select(c), c, k, "__b")
               .groupBy(F.col("__b_index").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     return (small(bins).join(counts, "bin", "left")
-            .select(F.col("bin").cast("long"), r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"),
+            .select(F.col("bin").cast("long"), as_double("bin_lo").alias("bin_lo"), as_double("bin_hi").alias("bin_hi"),
                     bands.interval_label(bands.round_frac(F.col("bin_lo")), bands.round_frac(F.col("bin_hi")))
                     .alias("label"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
@@ -111,5 +113,5 @@ def band_counts(df: DataFrame, group_col: Column, labels, name: str) -> DataFram
     """Rows per band label, empty bands kept (ordered category counts)."""
     lab = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(labels)], f"position long, {name} string")
     counts = df.groupBy(group_col.alias(name)).agg(F.count(F.lit(1)).alias("count"))
-    return (small(lab).join(counts.filter(F.col(name).isNotNull()), name, "left")
+    return (lab.join(counts.filter(F.col(name).isNotNull()), name, "left")
             .select("position", name, F.coalesce("count", F.lit(0)).cast("long").alias("count")))

@@ -21,12 +21,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.util import r6, small
+from spendlens.functions.util import as_double, small
 
 # ------------------------------------------------------- closed-form OLS
 
@@ -36,7 +36,8 @@ def closed_form_coefficients(df: DataFrame, y: str, models: Mapping[str, Sequenc
 
     One input: slope = cov(x, y) / var(x). Two inputs: the 2x2 normal
     equations on population (co)variances, solved by Cramer's rule.
-    Rows with a null in ``y`` or the model's inputs are left out per model.
+    Rows with a null in ``y`` or the model's inputs are left out per model; a
+    constant or collinear input gives null coefficients.
     """
     src = df.filter(where) if where is not None else df
     aggs, outs = [], []
@@ -54,13 +55,13 @@ def closed_form_coefficients(df: DataFrame, y: str, models: Mapping[str, Sequenc
                 aggs.append(F.covar_pop(f(x), f(xs[j])).alias(f"{m}__c{i}{j}"))
         c = lambda n: F.col(f"{m}__{n}")
         if len(xs) == 1:
-            b = [c("c0y") / c("c00")]
+            b = [F.try_divide(c("c0y"), c("c00"))]
         elif len(xs) == 2:
             det = c("c00") * c("c11") - c("c01") * c("c01")
-            b = [(c("c11") * c("c0y") - c("c01") * c("c1y")) / det,
-                 (c("c00") * c("c1y") - c("c01") * c("c0y")) / det]
+            b = [F.try_divide(c("c11") * c("c0y") - c("c01") * c("c1y"), det),
+                 F.try_divide(c("c00") * c("c1y") - c("c01") * c("c0y"), det)]
         else:
-            raise ValueError("closed form covers one or two inputs; use fit_linear for more")
+            raise ValueError("closed form covers one or two inputs; use fit_ols for more")
         b0 = c("my")
         for i, bi in enumerate(b):
             b0 = b0 - bi * c(f"m{i}")
@@ -103,8 +104,8 @@ def regression_metrics(pred: DataFrame, by: Sequence[str] = ("model", "model_ord
                              (F.var_pop(y) * F.count(y)).alias("__sst"))
     r2 = F.when(F.col("__sst") == 0, F.when(F.col("__sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))) \
         .otherwise(F.lit(1.0) - F.col("__sse") / F.col("__sst"))
-    return g.select(*by, F.col("n").cast("long"), r6(F.sqrt("__mse")).alias("rmse"), r6("__mae").alias("mae"),
-                    r6(r2).alias("r2"))
+    return g.select(*by, F.col("n").cast("long"), as_double(F.sqrt("__mse")).alias("rmse"), as_double("__mae").alias("mae"),
+                    as_double(r2).alias("r2"))
 
 
 def model_comparison(metrics: DataFrame) -> DataFrame:
@@ -204,15 +205,6 @@ def fit_ols(train: DataFrame, features: Sequence[str], label: str, rcond: float
     return OlsModel(features, b, intercept, label)
 
 
-def fit_linear(train: DataFrame, label: str, features: str = FEATURES_COL):
-    """MOD1 with pyspark.ml on a vector column: l-bfgs, which also splits
-    collinear weights equally (one Spark job per iteration; ``fit_ols`` is
-    one pass)."""
-    lr = LinearRegression(featuresCol=features, labelCol=label, solver="l-bfgs", regParam=0.0,
-                          elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    return lr.fit(train)
-
-
 def forest_estimator(label: str, features: str = FEATURES_COL, seed: int = 42, **kw) -> RandomForestRegressor:
     """MOD2: bootstrap forest over all features at each split."""
     # Node ids cached and checkpointed every 10 iterations (when the cluster names a

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.util import r6, rows_from_one_row, small
+from spendlens.functions.util import as_double, rows_from_one_row, small
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -37,7 +37,7 @@ def missing_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
     out = rows_from_one_row(one, [
         F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("column"),
                  F.coalesce(F.col(f"__m{i}"), F.lit(0)).cast("long").alias("missing_count"),
-                 r6(F.try_divide(F.col(f"__m{i}") * 100.0, F.col("__n"))).alias("missing_pct"))
+                 as_double(F.try_divide(F.col(f"__m{i}") * 100.0, F.col("__n"))).alias("missing_pct"))
         for i, c in enumerate(cols)])
     return out.filter(F.col("missing_count") > 0) if only_missing else out
 
@@ -51,19 +51,22 @@ def completeness(df: DataFrame) -> DataFrame:
     return one.select(
         F.col("n_rows").cast("long").alias("n_rows"), F.lit(k).cast("long").alias("n_columns"),
         F.coalesce(F.col("total_missing"), F.lit(0)).cast("long").alias("total_missing"),
-        r6((F.lit(1.0) - F.try_divide(F.col("total_missing").cast("double"), F.col("n_rows") * k)) * 100)
+        as_double((F.lit(1.0) - F.try_divide(F.col("total_missing").cast("double"), F.col("n_rows") * k)) * 100)
         .alias("completeness_pct"))
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """PROF4: rows that repeat an earlier row (every copy after the first).
 
-    A grouped count over all columns: map-side partial aggregation collapses a
-    row repeated a billion times to one row per map task before the shuffle.
+    Rows are first counted by two 64-bit hashes (16 bytes cross the shuffle, and
+    map-side aggregation collapses a row repeated a billion times to one per
+    task); only rows whose hashes repeat are then grouped by their columns.
     Nulls compare equal, as in pandas.
     """
     cols = list(cols or df.columns)
-    g = df.groupBy(*cols).count()
+    hashed = df.select(*cols, F.xxhash64(*cols).alias("__h1"), F.xxhash64(F.lit(1), *reversed(cols)).alias("__h2"))
+    again = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select("__h1", "__h2")
+    g = hashed.join(again, ["__h1", "__h2"], "left_semi").groupBy(*cols).count()
     return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -91,10 +94,10 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] | str | None
                  F.max(x).alias(f"hi{i}")]
     one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),
-                        r6(F.col(f"m{i}")).alias("mean"), r6(F.col(f"s{i}")).alias("std"),
-                        r6(F.col(f"lo{i}")).alias("min"), r6(F.col(f"q{i}")[0]).alias("p25"),
-                        r6(F.col(f"q{i}")[1]).alias("p50"), r6(F.col(f"q{i}")[2]).alias("p75"),
-                        r6(F.col(f"hi{i}")).alias("max"))
+                        as_double(F.col(f"m{i}")).alias("mean"), as_double(F.col(f"s{i}")).alias("std"),
+                        as_double(F.col(f"lo{i}")).alias("min"), as_double(F.col(f"q{i}")[0]).alias("p25"),
+                        as_double(F.col(f"q{i}")[1]).alias("p50"), as_double(F.col(f"q{i}")[2]).alias("p75"),
+                        as_double(F.col(f"hi{i}")).alias("max"))
                for i, c in enumerate(cols)]
     return one.select(*by, F.inline(F.array(*structs)))
 
@@ -112,7 +115,7 @@ def value_counts(df: DataFrame, c: str, labels: Sequence[str] | None = None,
               .agg(F.count(F.lit(1)).alias("count")))
     if labels is not None:
         lab = df.sparkSession.createDataFrame([(v,) for v in labels], "value string")
-        counts = small(lab).join(counts.filter(F.col("value").isNotNull()), "value", "left") \
+        counts = lab.join(counts.filter(F.col("value").isNotNull()), "value", "left") \
             .select("value", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
         total_src = counts
     else:
@@ -123,15 +126,15 @@ def value_counts(df: DataFrame, c: str, labels: Sequence[str] | None = None,
         total = total_src.agg(F.sum("count").alias("__total"))
     out = (counts.filter(F.col("value").isNotNull()).crossJoin(small(total))
            .select(F.col("value").cast("string").alias("value"), F.col("count").cast("long").alias("count"),
-                   r6(F.try_divide(F.col("count") * 100.0, F.col("__total"))).alias("pct")))
+                   as_double(F.try_divide(F.col("count") * 100.0, F.col("__total"))).alias("pct")))
     return out
 
 
 def center_spread(df: DataFrame, c: str) -> DataFrame:
     """PROF8: mean, median, sample sd of one column."""
     x = F.col(c).cast("double")
-    return df.agg(r6(F.avg(x)).alias("mean"), r6(F.percentile(x, 0.5)).alias("median"),
-                  r6(F.stddev_samp(x)).alias("std"))
+    return df.agg(as_double(F.avg(x)).alias("mean"), as_double(F.percentile(x, 0.5)).alias("median"),
+                  as_double(F.stddev_samp(x)).alias("std"))
 
 
 def dataset_facts(df: DataFrame, target: str = "spending_score", age: str = "age",
@@ -146,7 +149,7 @@ def dataset_facts(df: DataFrame, target: str = "spending_score", age: str = "age
              ("std_spending_score", F.col("sd")), ("mean_age", F.col("ma")),
              ("mean_annual_income", F.col("mi"))]
     return rows_from_one_row(one, [F.struct(F.lit(i).cast("long").alias("position"), F.lit(m).alias("metric"),
-                                            r6(v).alias("value")) for i, (m, v) in enumerate(facts)])
+                                            as_double(v).alias("value")) for i, (m, v) in enumerate(facts)])
 
 
 def head(df: DataFrame, n: int = 5, key: str = "customer_id") -> DataFrame:

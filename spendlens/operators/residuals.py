@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.util import r6
+from spendlens.functions.util import as_double
 from spendlens.operators import eda
 
 
@@ -26,8 +26,8 @@ def residuals(pred: DataFrame) -> DataFrame:
 
 def perfect_fit_line(pred: DataFrame) -> DataFrame:
     """RES2: ends of the y = x line over actual and predicted values together."""
-    return pred.agg(r6(F.least(F.min("actual"), F.min("predicted"))).alias("line_min"),
-                    r6(F.greatest(F.max("actual"), F.max("predicted"))).alias("line_max"),
+    return pred.agg(as_double(F.least(F.min("actual"), F.min("predicted"))).alias("line_min"),
+                    as_double(F.greatest(F.max("actual"), F.max("predicted"))).alias("line_max"),
                     F.count(F.lit(1)).cast("long").alias("n"))
 
 
@@ -46,6 +46,6 @@ def residual_bias(pred: DataFrame) -> DataFrame:
     r = residuals(pred)
     one = r.agg(F.avg("residual").alias("m"), F.count("residual").alias("n"))
     a = F.abs(F.col("m"))
-    return one.select(F.col("n").cast("long"), r6("m").alias("mean_residual"),
+    return one.select(F.col("n").cast("long"), as_double("m").alias("mean_residual"),
                       F.when(a < RANDOM_BELOW, "random").otherwise("some systematic").alias("pattern"),
                       F.when(a < NORMAL_BELOW, "normal").otherwise("some deviation").alias("shape"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import r6, small
+from spendlens.functions.util import as_double, small
 from spendlens.schema import AGE, GENDER, INCOME, KEY, TARGET
 
 # The marketing focus texts of the reports, by segment group.
@@ -30,11 +30,11 @@ def segment_counts(df: DataFrame, seg: str, labels: Sequence[str]) -> DataFrame:
     """SEG5: customers per segment, empty segments kept, share of segmented rows."""
     lab = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(labels)], f"position long, {seg} string")
     g = df.filter(F.col(seg).isNotNull()).groupBy(seg).agg(F.count(F.lit(1)).alias("count"))
-    j = small(lab).join(g, seg, "left").select("position", seg, F.coalesce("count", F.lit(0)).cast("long")
+    j = lab.join(g, seg, "left").select("position", seg, F.coalesce("count", F.lit(0)).cast("long")
                                                .alias("count"))
     tot = g.agg(F.sum("count").alias("__t"))
     return j.crossJoin(small(tot)).select("position", seg, "count",
-                                          r6(F.try_divide(F.col("count") * 100.0, F.col("__t"))).alias("pct"))
+                                          as_double(F.try_divide(F.col("count") * 100.0, F.col("__t"))).alias("pct"))
 
 
 def segment_profile(df: DataFrame, seg: str, labels: Sequence[str], age: str = AGE, income: str = INCOME,
@@ -48,8 +48,8 @@ def segment_profile(df: DataFrame, seg: str, labels: Sequence[str], age: str = A
          .agg(F.bround(F.avg(F.col(age).cast("double")), 2).alias("mean_age"),
               F.bround(F.avg(F.col(income).cast("double")), 2).alias("mean_income"),
               F.mode(F.col(gender), True).alias("top_gender")))
-    return (small(lab).join(g, seg, "left")
-            .select("position", seg, r6("mean_age").alias("mean_age"), r6("mean_income").alias("mean_income"),
+    return (lab.join(g, seg, "left")
+            .select("position", seg, as_double("mean_age").alias("mean_age"), as_double("mean_income").alias("mean_income"),
                     F.coalesce("top_gender", F.lit("N/A")).alias("top_gender")))
 
 
@@ -64,9 +64,9 @@ def high_low_summary(df: DataFrame, category: str, age: str = AGE, income: str =
                  F.avg(F.when(lo, a)).alias("la"), F.avg(F.when(lo, inc)).alias("li"))
     return one.select(F.inline(F.array(
         F.struct(F.lit("high").alias("group"), F.coalesce("hn", F.lit(0)).cast("long").alias("customers"),
-                 r6("ha").alias("mean_age"), r6("hi").alias("mean_income"), F.lit(HIGH_FOCUS).alias("focus")),
+                 as_double("ha").alias("mean_age"), as_double("hi").alias("mean_income"), F.lit(HIGH_FOCUS).alias("focus")),
         F.struct(F.lit("low").alias("group"), F.coalesce("ln", F.lit(0)).cast("long").alias("customers"),
-                 r6("la").alias("mean_age"), r6("li").alias("mean_income"), F.lit(LOW_FOCUS).alias("focus")))))
+                 as_double("la").alias("mean_age"), as_double("li").alias("mean_income"), F.lit(LOW_FOCUS).alias("focus")))))
 
 
 def marketing_focus(df: DataFrame, category: str) -> DataFrame:
@@ -85,5 +85,5 @@ def prediction_table(df: DataFrame, predicted: str = "predicted", segment_col: s
     return df.select(
         F.col(key).alias("CustomerID"), F.col(age).alias("Age"), F.col(gender).alias("Gender"),
         F.col(income).alias("Annual_Income_k"), F.col(target).alias("Actual_Spending_Score"),
-        r6(predicted).alias("Predicted_Spending_Score"), F.col(segment_col).alias("Customer_Segment"),
-        r6(F.abs(F.col(target) - F.col(predicted))).alias("Prediction_Error"))
+        as_double(predicted).alias("Predicted_Spending_Score"), F.col(segment_col).alias("Customer_Segment"),
+        as_double(F.abs(F.col(target) - F.col(predicted))).alias("Prediction_Error"))

@@ -5,13 +5,14 @@ its SQL restatement where SQL can state the result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import freeze, r6
+from spendlens.functions.util import freeze, r6, reported
 from spendlens.operators import eda, encode, features, fill, profile, scale, split
 from spendlens.plans import sqltext as S
 from spendlens.schema import AGE, GENDER, INCOME, KEY, TARGET
@@ -25,7 +26,8 @@ NUMERIC = (AGE, INCOME, TARGET)
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        # Operators keep full precision; the registered query rounds what it prints.
+        QUERIES[name] = functools.wraps(fn)(lambda spark, sf: reported(fn(spark, sf)))
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -103,6 +105,14 @@ def duplicate_rows(spark, sf):
     return profile.duplicate_count(_customers(spark, sf), [GENDER, AGE, INCOME])
 
 
+@query("duplicate_rows_all", S.with_customers() + """
+SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT COUNT(*) AS c FROM customers GROUP BY customer_id, gender, age, annual_income_k, spending_score) g""")
+def duplicate_rows_all(spark, sf):
+    """PROF4: repeated whole rows."""
+    return profile.duplicate_count(_customers(spark, sf))
+
+
 def _describe_sql(view: str, cols, by: str | None = None) -> str:
     parts = []
     for c in cols:
@@ -123,6 +133,12 @@ def describe_numeric(spark, sf):
     return profile.describe(_customers(spark, sf), NUMERIC)
 
 
+@query("describe_with_id", S.with_customers() + "\n" + _describe_sql("customers", (KEY, *NUMERIC)))
+def describe_with_id(spark, sf):
+    """PROF5 over every numeric column, the id included."""
+    return profile.describe(_customers(spark, sf), (KEY, *NUMERIC))
+
+
 @query("value_frequencies", S.with_gaps(f"""
 g AS (SELECT gender AS value, COUNT(*) AS c FROM gaps WHERE gender IS NOT NULL GROUP BY gender)""") + f"""
 SELECT value, CAST(c AS BIGINT) AS count, {S.r6('c * 100.0 / (SELECT SUM(c) FROM g)')} AS pct FROM g""")
@@ -352,10 +368,11 @@ def corr_matrix(spark, sf):
     return eda.corr_matrix(_customers(spark, sf), NUMERIC)
 
 
-def _corr_target_sql() -> str:
-    return "\n UNION ALL ".join(
-        f"SELECT {S.q(c)} AS \"column\", {S.r6(f'CORR(CAST({c} AS DOUBLE), CAST(spending_score AS DOUBLE))')} AS corr "
-        f"FROM customers" for c in NUMERIC)
+def _corr_target_sql(rounded: bool = True) -> str:
+    def value(c: str) -> str:
+        raw = f"CORR(CAST({c} AS DOUBLE), CAST(spending_score AS DOUBLE))"
+        return S.r6(raw) if rounded else raw
+    return "\n UNION ALL ".join(f"SELECT {S.q(c)} AS \"column\", {value(c)} AS corr FROM customers" for c in NUMERIC)
 
 
 @query("corr_target", S.with_customers() + "\n" + _corr_target_sql())
@@ -364,8 +381,8 @@ def corr_target(spark, sf):
     return eda.corr_with_target(_customers(spark, sf), NUMERIC, TARGET)
 
 
-@query("corr_labels", S.with_customers(f"r AS ({_corr_target_sql()})") + """
-SELECT "column", corr,
+@query("corr_labels", S.with_customers(f"r AS ({_corr_target_sql(rounded=False)})") + """
+SELECT "column", ROUND(corr, 6) + 0.0 AS corr,
   CASE WHEN ABS(corr) < 0.3 THEN 'weak' WHEN ABS(corr) < 0.7 THEN 'moderate' ELSE 'strong' END AS strength,
   CASE WHEN corr < 0 THEN 'negative' ELSE 'positive' END AS direction,
   CASE WHEN ABS(corr) < 0.3 THEN 'minor' ELSE 'significant' END AS importance,
@@ -392,9 +409,6 @@ def group_spread(spark, sf):
     return eda.group_spread(_customers(spark, sf), GENDER, TARGET)
 
 
-OPEN_AGE = ("Young", "Middle", "Senior", "Elderly")
-
-
 @query("band_means_open", S.with_customers(f"""
 g AS (SELECT {S.cut('annual_income_k', bands.INCOME_EDGES, bands.INCOME_LABELS, open_ends=True)} AS income_group,
              AVG(CAST(spending_score AS DOUBLE)) AS m, COUNT(spending_score) AS n,
@@ -489,6 +503,13 @@ SELECT g AS {by}, point, {S.r6('MIN(gx)')} AS x,
 FROM j GROUP BY g, point"""
 
 
+@query("density_all", "SELECT point, x, density FROM (" + S.with_customers("one AS (SELECT 0 AS everything, spending_score FROM customers)")
+       + _density_sql("one", TARGET, "everything") + ") t")
+def density_all(spark, sf):
+    """AGG14 without groups: kernel density of the score."""
+    return eda.density(_customers(spark, sf), TARGET)
+
+
 @query("density", S.with_customers() + _density_sql("customers", TARGET, "gender"))
 def density(spark, sf):
     """AGG14: kernel density of the score per gender on a 100-point grid."""
@@ -574,7 +595,7 @@ FROM customers WHERE {S.age_group()} IS NOT NULL AND gender IS NOT NULL GROUP BY
 def crosstab_gender_band(spark, sf):
     """AGG10: age band x gender contingency table."""
     df = _customers(spark, sf).withColumn("age_group", bands.age_group(AGE))
-    return eda.crosstab(df, "age_group", GENDER, ["Female", "Male"])
+    return eda.crosstab(df, "age_group", GENDER)
 
 
 # ------------------------------------------------------------ ordered fill
@@ -654,8 +675,7 @@ def _ols_sql_ctes() -> list[str]:
         f"mom AS (SELECT {', '.join(moms)} FROM base WHERE split = 'train')",
         f"coef AS (SELECT {', '.join(coefs)} FROM mom)",
         "pred AS (" + " UNION ALL ".join(preds) + ")",
-        f"""met AS (SELECT model, model_order, split, n, {S.r6('SQRT(mse)')} AS rmse, {S.r6('mae')} AS mae,
-                 {S.r6(r2)} AS r2
+        f"""met AS (SELECT model, model_order, split, n, SQRT(mse) AS rmse, mae, {r2} AS r2
           FROM (SELECT model, model_order, split, CAST(COUNT(*) AS BIGINT) AS n,
                        AVG((actual - predicted) * (actual - predicted)) AS mse, AVG(ABS(actual - predicted)) AS mae,
                        SUM((actual - predicted) * (actual - predicted)) AS sse, VAR_POP(actual) * COUNT(actual) AS sst
@@ -674,6 +694,9 @@ def ols_sql(final: str, *extra: str) -> str:
     return S.with_customers(*_ols_sql_ctes(), *extra) + "\n" + final
 
 
+COMPARED = ("train_rmse", "test_rmse", "train_mae", "test_mae", "train_r2", "test_r2")
+
+
 @query("ols_two_vars", ols_sql("""
 SELECT model, term, ROUND(coefficient, 6) + 0.0 AS coefficient FROM (
   SELECT 'ols_age' AS model, 'intercept' AS term, ols_age_b0 AS coefficient FROM coef
@@ -699,7 +722,7 @@ def ols_two_vars(spark, sf):
     return rows_from_one_row(one, structs)
 
 
-@query("regression_metrics", ols_sql("SELECT * FROM met"))
+@query("regression_metrics", ols_sql(f"SELECT model, model_order, split, n, {S.r6('rmse')} AS rmse, {S.r6('mae')} AS mae, {S.r6('r2')} AS r2 FROM met"))
 def regression_metrics(spark, sf):
     """MOD9 / MOD10: RMSE, MAE, R2 per model and split."""
     from spendlens.operators import models
@@ -707,7 +730,7 @@ def regression_metrics(spark, sf):
     return models.regression_metrics(pred)
 
 
-@query("model_comparison", ols_sql("SELECT * FROM cmp"))
+@query("model_comparison", ols_sql("SELECT model, model_order, " + ", ".join(f"{S.r6(c)} AS {c}" for c in COMPARED) + " FROM cmp"))
 def model_comparison(spark, sf):
     """MOD11: one row per model, train and test metrics side by side."""
     from spendlens.operators import models
@@ -716,7 +739,7 @@ def model_comparison(spark, sf):
 
 
 @query("best_model", ols_sql(f"""
-SELECT model, test_r2, test_rmse, test_mae,
+SELECT model, {S.r6('test_r2')} AS test_r2, {S.r6('test_rmse')} AS test_rmse, {S.r6('test_mae')} AS test_mae,
        CASE WHEN test_r2 > 0.7 THEN 'Excellent' WHEN test_r2 > 0.5 THEN 'Good' WHEN test_r2 > 0.3 THEN 'Moderate' ELSE 'Poor' END AS performance,
        {S.r6('test_r2 * 100')} AS explained_variance_pct,
        CASE WHEN test_r2 > 0.5 THEN 'good' ELSE 'moderate' END AS alignment
@@ -732,7 +755,7 @@ def best_model(spark, sf):
 
 
 @query("performance_labels", ols_sql("""
-SELECT model, test_r2,
+SELECT model, ROUND(test_r2, 6) + 0.0 AS test_r2,
        CASE WHEN test_r2 > 0.7 THEN 'excellent' WHEN test_r2 > 0.5 THEN 'good' WHEN test_r2 > 0.3 THEN 'moderate' ELSE 'acceptable' END AS performance,
        CASE WHEN test_r2 > 0.5 THEN 'good' ELSE 'moderate' END AS alignment
 FROM cmp"""))
@@ -879,7 +902,7 @@ SELECT customer_segment, CAST(SUM(CASE WHEN gender = 'Female' THEN 1 ELSE 0 END)
 FROM sc WHERE customer_segment IS NOT NULL AND gender IS NOT NULL GROUP BY customer_segment"""))
 def segment_by_gender(spark, sf):
     """SEG7 / AGG10: segment x gender counts."""
-    return eda.crosstab(_scored(spark, sf), "customer_segment", GENDER, ["Female", "Male"])
+    return eda.crosstab(_scored(spark, sf), "customer_segment", GENDER)
 
 
 @query("segment_box", S.with_customers(*_ols_sql_ctes(), SCORED_CTE) + _box_sql("sc", AGE, "customer_segment"))
@@ -888,6 +911,12 @@ def segment_box(spark, sf):
     return eda.box_stats(_scored(spark, sf), AGE, by="customer_segment")
 
 
+@query("segment_box_income", S.with_customers(*_ols_sql_ctes(), SCORED_CTE) + _box_sql("sc", INCOME, "customer_segment"))
+def segment_box_income(spark, sf):
+    """SEG6: box statistics of income per segment."""
+    return eda.box_stats(_scored(spark, sf), INCOME, by="customer_segment")
+
+
 @query("high_low_summary", scored_sql(f"""
 SELECT 'high' AS "group", CAST(COALESCE(SUM(CASE WHEN spending_category IN ('High', 'Very High') THEN 1 ELSE 0 END), 0) AS BIGINT) AS customers,
        {S.r6("AVG(CASE WHEN spending_category IN ('High', 'Very High') THEN CAST(age AS DOUBLE) END)")} AS mean_age,
@@ -1073,6 +1102,33 @@ def lineitem_duplicates(spark, sf):
                                                           "l_tax"])
 
 
+@query("lineitem_duplicates_all", f"""
+SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT COUNT(*) AS c FROM lineitem GROUP BY {', '.join(LI_COLS)}) g""")
+def lineitem_duplicates_all(spark, sf):
+    """PROF4 on lineitem: repeated whole rows."""
+    return profile.duplicate_count(_lineitem(spark, sf).select(*LI_COLS))
+
+
+@query("read_customers", """
+SELECT c_custkey AS customer_id, c_mktsegment AS gender, ROUND(CAST(c_acctbal AS DOUBLE), 6) + 0.0 AS age,
+       CAST(c_nationkey AS DOUBLE) AS annual_income_k, CAST(NULL AS DOUBLE) AS spending_score, 0 AS n_unreadable FROM customer""")
+def read_customers(spark, sf):
+    """SRC1 over a given table: columns found by their names, an absent one null, nothing unreadable."""
+    from spendlens.sources import io
+    df = io.read_customers(spark, f"{sf}/customer.parquet", "parquet", names={
+        "c_custkey": "CustomerID", "c_mktsegment": "Gender", "c_acctbal": "Age", "c_nationkey": "Annual Income (k$)"})
+    return df.select(KEY, GENDER, AGE, INCOME, TARGET, F.size("unreadable").alias("n_unreadable"))
+
+
+@query("read_batch", "SELECT c_custkey AS customer_id, c_mktsegment AS gender, ROUND(c_acctbal, 6) + 0.0 AS balance FROM customer")
+def read_batch(spark, sf):
+    """SRC2 over a given table: any columns, known headers mapped, NaN to null."""
+    from spendlens.sources import io
+    df = io.read_batch(spark, f"{sf}/customer.parquet", "parquet")
+    return df.select(F.col("c_custkey").alias(KEY), F.col("c_mktsegment").alias(GENDER), F.col("c_acctbal").alias("balance"))
+
+
 @query("lineitem_trend", f"""
 SELECT 'l_quantity' AS x_column, {S.r6('REGR_SLOPE(l_extendedprice, l_quantity)')} AS slope,
        {S.r6('REGR_INTERCEPT(l_extendedprice, l_quantity)')} AS intercept, {S.r6('REGR_R2(l_extendedprice, l_quantity)')} AS r2,

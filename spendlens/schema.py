@@ -42,6 +42,3 @@ DERIVED = (
 
 # The twelve model inputs in training column order.
 MODEL_FEATURES = (GENDER, AGE, INCOME) + DERIVED
-
-# Columns the model never sees (id, target and the exploratory bins).
-NON_FEATURES = (KEY, TARGET, "age_bin", "income_bin")

@@ -6,10 +6,10 @@ plain column names on read and restored on write.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.schema import BASE_SCHEMA, COLUMN_TO_CSV, CSV_SCHEMA, CSV_TO_COLUMN
+from spendlens.schema import BASE_SCHEMA, COLUMN_TO_CSV, CSV_TO_COLUMN, GENDER, KEY
 
 
 def to_columns(df: DataFrame) -> DataFrame:
@@ -22,27 +22,53 @@ def to_header(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in COLUMN_TO_CSV.items() if k in df.columns})
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """SRC1: the base customer table with an explicit schema (no inference pass).
-    NaN in numeric columns becomes NULL."""
-    if fmt == "csv":
-        df = spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
-        df = to_columns(df)
-    else:
-        df = spark.read.format(fmt).load(path)
-        df = to_columns(df).select(*[F.col(f.name).cast(f.dataType) for f in BASE_SCHEMA])
-    return df.select(*[F.nanvl(F.col(f.name), F.lit(None)).cast(f.dataType).alias(f.name)
-                       if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in BASE_SCHEMA])
+#: Texts that stand for a missing value.
+MISSING = ("", "NA", "NaN", "nan", "null")
+
+
+def _number(c: Column) -> Column:
+    """A text as a double: null for a missing value or a text that is no number."""
+    return F.nanvl(F.when(~F.trim(c).isin(*MISSING), F.trim(c).try_cast("double")), F.lit(None))
+
+
+def read_customers(spark: SparkSession, path: str, fmt: str = "csv", names: dict[str, str] | None = None,
+                   id_type: str = "bigint") -> DataFrame:
+    """SRC1: the base customer table, columns found by header name in any order.
+
+    Numbers are read as doubles, so decimals stay; missing values (empty, ``NA``,
+    ``NaN``) become null. A text that is no number also becomes null and its column is
+    named in ``unreadable``. Ids are read as ``id_type`` (``string`` for text ids). ``names`` maps further
+    headers to columns; a base column that the file lacks is null."""
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    df = to_columns(reader.format(fmt).load(path).withColumnsRenamed(names or {}))
+    out, bad = [], []
+    for f in BASE_SCHEMA:
+        if f.name not in df.columns:
+            out.append(F.lit(None).cast(f.dataType if f.name in (KEY, GENDER) else "double").alias(f.name))
+        elif f.name == KEY:
+            out.append(F.col(KEY).try_cast(id_type).alias(KEY))
+            bad.append(F.when(F.col(KEY).isNotNull() & F.col(KEY).try_cast(id_type).isNull(), F.lit(KEY)))
+        elif f.name == GENDER:
+            text = F.col(GENDER).cast("string")
+            out.append(F.when(~text.isin(*MISSING), text).alias(GENDER))
+        else:
+            text = F.col(f.name).cast("string")
+            out.append(_number(text).alias(f.name))
+            bad.append(F.when(~F.trim(text).isin(*MISSING) & F.trim(text).try_cast("double").isNull(), F.lit(f.name)))
+    unreadable = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    return df.select(*out, unreadable.alias("unreadable"))
 
 
 def read_batch(spark: SparkSession, path: str, fmt: str = "csv", infer: bool = True) -> DataFrame:
     """SRC2: an arbitrary customer file for batch scoring (types inferred for
-    CSV, like the upload page), header names mapped."""
+    CSV, like the upload page; ``NA`` and ``NaN`` are missing), header names mapped."""
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", infer).csv(path)
+        df = spark.read.option("header", True).option("inferSchema", infer).option("nullValue", "NA").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-    return to_columns(df)
+    df = to_columns(df)
+    return df.select(*[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
+                       for c, t in df.dtypes])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header_names: bool = True,

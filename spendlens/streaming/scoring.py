@@ -39,7 +39,10 @@ def start(scored: DataFrame, sink: str, name: str, fmt: str = "parquet", checkpo
     cluster's ``spark.checkpoint.dir`` unless given, so a restarted query
     resumes exactly where it stopped."""
     spark = scored.sparkSession
-    ck = checkpoint or f"{checkpoint_dir(spark)}/streams/{name}"
+    folder = None if checkpoint else checkpoint_dir(spark)
+    if not (checkpoint or folder):
+        raise ValueError("give a checkpoint folder or set spark.checkpoint.dir to a shared folder")
+    ck = checkpoint or f"{folder}/streams/{name}"
     w = scored.writeStream.outputMode("append").option("checkpointLocation", ck).queryName(name)
     if once:
         w = w.trigger(availableNow=True)

@@ -109,3 +109,22 @@ def test_binned_density_constant_column(spark):
     # sd = 0: the bandwidth is 0 and the density is undefined, exactly as in the exact method.
     assert len(out) == 100
     assert [r["density"] for r in out] == [r["density"] for r in eda.density(df, "x").collect()]
+
+
+def test_constant_input_and_two_rows_give_nulls(spark):
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0)], "x double, y double")
+    assert {r["lower"] for r in eda.trend_band(flat, "x", "y", points=3).collect()} == {None}
+    two = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
+    rows = eda.trend_band(two, "x", "y", points=3).collect()
+    assert [r["fit"] for r in rows] == [2.0, 2.5, 3.0] and {r["lower"] for r in rows} == {None}
+
+
+def test_crosstab_finds_every_value(spark):
+    df = spark.createDataFrame([("a", "Female"), ("a", "Other"), ("b", "Male")], "g string, v string")
+    got = {r["g"]: (r["Female"], r["Male"], r["Other"]) for r in eda.crosstab(df, "g", "v").collect()}
+    assert got == {"a": (1, 0, 1), "b": (0, 1, 0)}
+
+
+def test_density_of_a_wide_column_is_not_zero(spark):
+    df = spark.range(100).selectExpr("id * 1e8 AS x")
+    assert min(r["density"] for r in eda.density(df, "x").collect()) > 0

@@ -13,36 +13,26 @@ def _base(spark, rows):
                                        "spending_score long")
 
 
-ROWS = [(1, "Male", 19, 15, 39), (2, "Male", 21, 15, 81), (3, "Female", 20, 16, 6), (4, "Female", 23, 16, 77),
-        (5, "Female", 31, 17, 40), (6, "Female", 35, 71, 76), (7, "Female", 52, 45, 6), (8, "Male", 64, 137, 3)]
-
-
-def _reference_features(pdf):
-    out = pdf.copy()
-    out["age_group"] = pd.cut(out["age"], bins=[0, 30, 40, 50, 100], labels=["Young", "Middle", "Senior", "Elderly"])
-    out["income_group"] = pd.cut(out["annual_income_k"], bins=[0, 40, 70, 100, 150],
-                                 labels=["Low", "Medium", "High", "Very High"])
-    out["income_age_ratio"] = out["annual_income_k"] / (out["age"] + 1)
-    out["age_squared"] = out["age"] ** 2
-    out["income_squared"] = out["annual_income_k"] ** 2
-    out["age_income_interaction"] = out["age"] * out["annual_income_k"]
-    inc = out["annual_income_k"]
-    out["spending_capacity"] = (inc - inc.min()) / (inc.max() - inc.min())
-    out["young_high_income"] = ((out["age"] < 35) & (inc > 70)).astype(int)
-    out["senior_low_income"] = ((out["age"] > 50) & (inc < 50)).astype(int)
-    return out
-
-
-def test_derive_features_match_pandas(spark):
-    df = _base(spark, ROWS)
-    got = features.derive_features(df).orderBy("customer_id").toPandas()
-    want = _reference_features(pd.DataFrame(ROWS, columns=df.columns))
-    for c in ["age_group", "income_group"]:
-        assert got[c].tolist() == want[c].astype(str).tolist()
-    for c in ["income_age_ratio", "spending_capacity"]:
-        assert got[c].tolist() == pytest.approx(want[c].tolist())
-    for c in ["age_squared", "income_squared", "age_income_interaction", "young_high_income", "senior_low_income"]:
-        assert got[c].tolist() == want[c].tolist()
+# Invented rows at the band edges; expected values worked out by hand.
+ROWS = [(1, "Male", 30, 40, 10), (2, "Female", 31, 41, 20), (3, "Male", 35, 70, 30), (4, "Female", 34, 71, 40),
+        (5, "Male", 50, 49, 50), (6, "Female", 51, 50, 60), (7, "Male", 52, 49, 70), (8, "Female", 101, 151, 80)]
+
+
+def test_derive_features(spark):
+    got = [tuple(r)[5:] for r in features.derive_features(_base(spark, ROWS)).orderBy("customer_id").collect()]
+    bands_ = [r[:2] for r in got]
+    assert bands_ == [("Young", "Low"), ("Middle", "Medium"), ("Middle", "Medium"), ("Middle", "High"), ("Senior", "Medium"),
+                      ("Elderly", "Medium"), ("Elderly", "Medium"), (None, None)]
+    assert [r[3:6] for r in got] == [(900, 1600, 1200), (961, 1681, 1271), (1225, 4900, 2450), (1156, 5041, 2414), (2500, 2401, 2450),
+                                     (2601, 2500, 2550), (2704, 2401, 2548), (10201, 22801, 15251)]
+    assert [r[7:] for r in got] == [(0, 0), (0, 0), (0, 0), (1, 0), (0, 0), (0, 0), (0, 1), (0, 0)]
+    assert got[0][2] == pytest.approx(40 / 31) and got[0][6] == 0.0
+    assert got[1][6] == pytest.approx(1 / 111) and got[7][6] == 1.0
+
+
+def test_products_of_narrow_integers_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, "Male", 20, 70_000, 1)], "customer_id int, gender string, age int, annual_income_k int, spending_score int")
+    assert features.derive_features(df).first()["income_squared"] == 4_900_000_000
 
 
 def test_constant_income_capacity_zero(spark):

@@ -109,3 +109,14 @@ def test_original_input_importance_keeps_rank(spark):
                                 "feature string, importance double, rank long")
     got = [(r["feature"], r["rank"]) for r in models.original_input_importance(imp).orderBy("rank").collect()]
     assert got == [("age", 1), ("gender", 3)]
+
+
+def test_best_model_uses_all_digits(spark):
+    rows = [("first", 0, "test", 0.5000001), ("second", 1, "test", 0.5000004)]
+    metrics = spark.createDataFrame(rows, "model string, model_order long, split string, r2 double").selectExpr("*", "0D AS rmse", "0D AS mae")
+    assert models.best_model(models.model_comparison(metrics)).first()["model"] == "second"
+
+
+def test_constant_input_has_null_coefficients(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
+    assert tuple(models.closed_form_coefficients(df, "y", {"m": ["x"]}).first()) == (None, None)

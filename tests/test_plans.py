@@ -16,7 +16,7 @@ from conftest import SF_SMALL
 from spendlens.plans.queries import QUERIES
 
 MODEL_QUERIES = {"forest_fit", "boosting_fit", "ml_model_comparison", "grid_search", "feature_importance"}
-NEEDS_ALL_LINEITEM = {"lineitem_missing"}
+NEEDS_ALL_LINEITEM = {"lineitem_missing", "lineitem_duplicates_all"}
 # Results that are the fitted model's own rows (coefficients): the fit reads the tables, the result does not.
 MODEL_OUTPUT = {"ols_full"}
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "CartesianProduct")
@@ -52,7 +52,7 @@ def test_plan_shape(spark, name):
     for path, cols in scans:
         if path.endswith("lineitem.parquet") and name not in NEEDS_ALL_LINEITEM:
             assert len(cols) < 11, f"{name}: lineitem scan reads every column"
-        if path.endswith("customer.parquet"):
+        if path.endswith("customer.parquet") and not name.startswith("read_"):
             assert "c_name" not in cols and "c_mktsegment" not in cols, (name, cols)
         if path.endswith("orders.parquet"):
             assert len(cols) <= 2, (name, cols)

@@ -5,7 +5,6 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REFERENCE_CSV
 from spendlens.functions import bands
 from spendlens.operators import features, projections
 from spendlens.schema import REQUIRED_FOR_SCORING
@@ -48,11 +47,22 @@ def test_read_batch_infers_types_and_maps_names(spark):
     assert back.count() == 2
 
 
-def test_read_customers_fixture_facts(spark):
-    df = io.read_customers(spark, REFERENCE_CSV)
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("gender") == "Female").cast("int")).alias("f"),
-               F.min("age").alias("amin"), F.max("age").alias("amax")).first()
-    assert (r["n"], r["f"], r["amin"], r["amax"]) == (200, 112, 18, 70)
+def test_read_customers_by_header_name(spark):
+    # Columns in another order, decimals, missing values, a text id and a text that is no number.
+    path = tempfile.mkdtemp(prefix="customers-", dir="/tmp") + "/in"
+    rows = ["Age,Gender,CustomerID,Spending Score (1-100),Annual Income (k$)", "20.5,Female,a-1,NA,15.5", "NaN,Male,a-2,40,", "old,NA,a-3,7,60"]
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(path)
+    got = {r.customer_id: tuple(r)[1:] for r in io.read_customers(spark, path, id_type="string").collect()}
+    assert got == {"a-1": ("Female", 20.5, 15.5, None, []), "a-2": ("Male", None, None, 40.0, []),
+                   "a-3": (None, None, 60.0, 7.0, ["age"])}
+
+
+def test_read_batch_keeps_numbers_beside_missing_marks(spark):
+    path = tempfile.mkdtemp(prefix="batch-", dir="/tmp") + "/in"
+    spark.createDataFrame([("Age,Note",), ("20,x",), ("NA,y",), ("31,NA",)], "value string").coalesce(1).write.text(path)
+    got = io.read_batch(spark, path)
+    assert dict(got.dtypes)["age"] == "int"
+    assert sorted(map(tuple, got.collect()), key=str) == [(20, "x"), (31, None), (None, "y")]
 
 
 def test_open_bands_for_new_customers(spark):
