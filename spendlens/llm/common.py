@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import time
 import uuid
@@ -45,9 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder: executors may
-    be lost at any time, the copy stays."""
+    be lost at any time, the copy stays. What came before can then go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    copy = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return copy
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM notice which shuffles, broadcasts and plans nothing refers to any more, so that
+    Spark removes their files and an iterative job doesn't fill the driver's memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:

@@ -24,7 +24,6 @@ Hashes have 64 bits on top of equal 64-bit hashes of the k bytes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import fresh_name, materialise, shared_folder, text_of
+from spendlens.llm.common import fresh_name, materialise, release, shared_folder, text_of
 from spendlens.llm.minhash import mix, powers
 
 LENGTH, SAMPLE = 100, 32
@@ -244,13 +243,13 @@ def settle(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = (units.where(~F.col("again")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
               .select("core", F.lit(True).alias("met")))
     met = stored(units.join(shared, "core", "left").where(F.col("again") | F.col("met")).drop("met"))
-    release(met)
+    release(met.sparkSession)
     names = met.where(~F.col("again")).groupBy("core", "span").agg(F.min("rid").alias("first"))
     mixed = names.groupBy("core").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     names = names.join(mixed, "core")
     judged = stored(met.join(names, ["core", "span"], "left").select(
         "rid", "at", (F.col("again") | (F.col("rid") != F.col("first"))).alias("repeated"), "mixed"))
-    release(judged)
+    release(judged.sparkSession)
     return judged.where("repeated").select("rid", "at"), judged.where("NOT repeated AND mixed").select("rid", "at")
 
 
@@ -262,12 +261,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Let the driver's JVM notice which shuffles nothing refers to any more, so that Spark removes their files."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text): ``rid`` orders the rows as doc_id does. Where ids repeat or are missing, rows are
     numbered by a distributed sort of (doc_id, hash of the text), null ids last; equal rows share a number."""
