@@ -15,7 +15,7 @@ from spendlens.functions import bands
 from spendlens.functions.util import freeze, r6, reported
 from spendlens.operators import eda, encode, features, fill, profile, scale, split
 from spendlens.plans import sqltext as S
-from spendlens.schema import AGE, GENDER, INCOME, KEY, TARGET
+from spendlens.schema import AGE, GENDER, INCOME, KEY, MODEL_FEATURES, TARGET
 from spendlens.sources import demo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1266,3 +1266,52 @@ def batch_score(spark, sf):
     from spendlens.plans import pipeline
     fitted, _, _ = _fit(spark, sf, ("linear",))
     return pipeline.score(_gaps(spark, sf), fitted)
+
+
+# ------------------------------------------------------------ tree fits that SQL can state
+def _stump_sql() -> str:
+    """The best single split on age by squared error, and the mean of either side."""
+    return S.with_customers(
+        f"base AS (SELECT c.*, {S.split('c.customer_id')} AS split FROM customers c)",
+        "t AS (SELECT age, COUNT(*) AS n, SUM(CAST(spending_score AS DOUBLE)) AS s FROM base "
+        "WHERE split = 'train' AND age IS NOT NULL AND spending_score IS NOT NULL GROUP BY age)",
+        "c AS (SELECT age, SUM(n) OVER (ORDER BY age) AS nl, SUM(s) OVER (ORDER BY age) AS sl, "
+        "(SELECT SUM(n) FROM t) AS n, (SELECT SUM(s) FROM t) AS s FROM t)",
+        "cut AS (SELECT age AS cut_age, sl / nl AS low, (s - sl) / (n - nl) AS high FROM c WHERE nl < n "
+        "ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, age LIMIT 1)") + f"""
+SELECT DISTINCT age, {S.r6('CASE WHEN age <= cut_age THEN low ELSE high END')} AS predicted FROM customers, cut WHERE age IS NOT NULL"""
+
+
+def _stump(spark, sf, est):
+    from spendlens.operators import models
+    df = split.hash_split(_customers(spark, sf), KEY).filter(F.col(AGE).isNotNull())
+    data = models.assemble(df.withColumn("label", F.col(TARGET).cast("double")), [AGE])
+    model = est.fit(data.filter((F.col("split") == "train") & F.col("label").isNotNull()))
+    return model.transform(data.select(AGE, models.FEATURES_COL).distinct()).select(AGE, F.col("prediction").alias("predicted"))
+
+
+@query("forest_stump", _stump_sql())
+def forest_stump(spark, sf):
+    """MOD2 where SQL can state it: one tree of depth one on age, no bootstrap."""
+    from spendlens.operators import models
+    return _stump(spark, sf, models.forest_estimator("label", numTrees=1, maxDepth=1, bootstrap=False))
+
+
+@query("boosting_stump", _stump_sql())
+def boosting_stump(spark, sf):
+    """MOD3 where SQL can state it: one round of depth one on age."""
+    from spendlens.operators import models
+    return _stump(spark, sf, models.boosting_estimator("label", maxIter=1, maxDepth=1, stepSize=1.0))
+
+
+@query("ols_normal_equations", "SELECT feature, 0.0::DOUBLE AS moment FROM (VALUES " + ", ".join(
+    f"({S.q(c)})" for c in MODEL_FEATURES) + ") t(feature)")
+def ols_normal_equations(spark, sf):
+    """MOD1: the residuals of the fit on all twelve inputs are orthogonal to every input (mean of residual times input)."""
+    from spendlens.functions.util import rows_from_one_row
+    from spendlens.plans import pipeline
+    fitted, _, _ = _fit(spark, sf, ("linear",))
+    data = pipeline.assembled(split.hash_split(_customers(spark, sf), KEY), fitted).filter((F.col("split") == "train") & F.col("label").isNotNull())
+    rest = F.col("label") - fitted.models["linear"].predict_col()
+    one = data.agg(*[F.avg(rest * F.col(c)).alias(c) for c in fitted.feature_cols])
+    return rows_from_one_row(one, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("moment")) for c in fitted.feature_cols])

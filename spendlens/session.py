@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -45,3 +47,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(d)
     return d
+
+
+def stable_copy(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder and read from there: what was decided
+    on the way (the partition of each row) stays as it is, whoever reads it and whichever
+    executor is lost. Only Spark in one process on one machine may do without the setting."""
+    spark = df.sparkSession
+    if not checkpoint_dir(spark) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-"))
+    return df.checkpoint(eager=True)

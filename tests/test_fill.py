@@ -61,3 +61,25 @@ def test_ordered_positions_across_partitions(spark):
         vals = sorted(v for (gg, v) in got if gg == g)
         want.update({(g, v): i for i, v in enumerate(vals)})
     assert got == want
+
+
+def _filled(spark, rows, n):
+    df = spark.createDataFrame(rows, "k string, v string, row long")
+    return {r["row"]: r["v"] for r in fill.ffill_bfill(df, "k", cols=["v"], n_buckets=n).collect()}
+
+
+def test_text_null_and_repeated_keys_do_not_depend_on_the_ranges(spark):
+    rows = [("b", None, 1), ("a", "x", 2), (None, None, 3), ("c", "y", 4), ("c", None, 5), ("c", "z", 6), (None, "w", 7), ("d", None, 8)]
+    one = _filled(spark, rows, 1)
+    assert one == _filled(spark, rows, 3) == _filled(spark, rows, 8)
+    assert one[1] == "x" and one[8] in ("y", "z") and one[2] == "x"
+    df = spark.createDataFrame(rows, "k string, v string, row long")
+    numbers = {n: [r["row"] for r in fill.with_row_number(df, "k", n_buckets=n).orderBy("row_number").collect()] for n in (1, 4)}
+    assert numbers[1] == numbers[4] and numbers[1][:2] == [2, 1] and set(numbers[1][-2:]) == {3, 7}
+
+
+def test_ranges_are_even_even_for_a_hot_key(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    sizes = [r["count"] for r in fill.in_ranges(df, ["k"], 20).groupBy(fill.BUCKET).count().collect()]
+    assert max(sizes) < 3 * 20_000 / 20
