@@ -8,8 +8,8 @@ classes are checked; a centre has then met everything in its bucket and leaves i
 found are contracted to classes. A bucket whose members are all of one class is done, so a
 group of copies takes one round whatever its size, and no link between different classes is lost.
 
-The first round takes one centre (every member where there are at most ``SMALL``), later
-ones eight times as many each. Nothing passes through the driver but row counts.
+The first round takes four centres (every member where there are at most ``SMALL``), later
+ones sixteen times as many each. Nothing passes through the driver but row counts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import materialise
 
 #: Buckets up to this size are settled in the first round.
-SMALL = 8
+SMALL = 16
 #: Joins of one round are shuffle joins: their sides are small only by accident, and many small broadcasts
 #: of a loop would gather on the driver.
 JOIN = "merge"
@@ -33,7 +33,7 @@ def connect(links: DataFrame) -> DataFrame:
     component. A pass takes the smallest label among the neighbours, then the label's own
     label (pointer jumping), so passes grow with the logarithm of a component's diameter; two
     passes go into one job. Copies of a label meet in a partial aggregate before the shuffle."""
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
 
     def spread(labels: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) ->
 
     ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
     pairs (a, b) and returns those that are linked."""
-    live, links, labels, n = shared.withColumn("class", F.col("node")), None, None, 1
+    live, links, labels, n = shared.withColumn("class", F.col("node")), None, None, 4
     while live.limit(1).count():
         centres = materialise(_centres(live, n))
         pairs = (live.join(centres.hint(JOIN), "bucket").where(F.col("class") != F.col("centre_class"))
@@ -76,7 +76,7 @@ def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) ->
         mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                  .where(F.col("lo") != F.col("hi")).select("bucket"))
         live = materialise(named.join(mixed.hint(JOIN), "bucket"))
-        n *= 8
+        n *= 16
     return labels
 
 

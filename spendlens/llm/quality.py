@@ -182,3 +182,48 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     cutoffs = fit_cutoffs(materialise(slim), labels, alpha, delta)
     judged = judge(text_features(docs).withColumn("base_failed", base_failed()), cutoffs)
     return judged.where("kept").select("row.*")
+
+
+def rules_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """DuckDB SQL for ``quality_rules(documents, labels)`` (unique ids)."""
+    share = {"symbol_share": ("n_symbols", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"),
+             "line_share": ("n_dup_lines", "n_lines"), "capital_share": ("n_capitals", "word_chars")}
+    shares_ = ", ".join(f"{a}::DOUBLE / greatest({b}, 1) AS {r}" for r, (a, b) in share.items())
+    rules = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS share FROM labelled" for r in RULES)
+    cuts = ", ".join(f"({i}, {c})" for i, c in enumerate(CUTOFFS))
+    p = alpha / len(RULES)
+    picked = ", ".join(f"max(CASE WHEN rule = '{r}' THEN cutoff END) AS {r}_cutoff" for r in RULES)
+    failed = "coalesce(" + ", ".join(f"CASE WHEN {r} > {r}_cutoff THEN '{r}' END" for r in RULES) + ")"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) x WHERE n > 1),
+covered AS (SELECT doc_id, sum(least(3, coalesce(nxt - i, 3))) AS n FROM (
+  SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM often) x GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, lang, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN covered USING (doc_id)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares_},
+             coalesce('=' || lang, '') AS stratum FROM f),
+good AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT g.*, good.good FROM g JOIN good USING (doc_id) WHERE NOT base_failed),
+long AS ({rules}),
+cuts AS (SELECT * FROM (VALUES {cuts}) t(j, cutoff)),
+tested AS (
+  SELECT stratum, rule, j, cutoff::DOUBLE AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND share > cutoff) AS k,
+         count(*) FILTER (NOT good AND share > cutoff) AS bad FROM long, cuts GROUP BY ALL),
+judged AS (
+  SELECT *, CASE WHEN k >= n * {p!r} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({p!r})
+         + (n - x) * ln(1 - {p!r}))) FROM range(0, k + 1) AS r(x)) END
+         <= {delta!r} / {len(RULES)} / (SELECT count(DISTINCT stratum) FROM labelled) AS fits FROM tested),
+admissible AS (
+  SELECT * FROM (SELECT *, bool_and(fits) OVER (PARTITION BY stratum, rule ORDER BY j) AS open FROM judged) x WHERE open AND bad > k),
+chosen AS (SELECT stratum, rule, arg_max(cutoff, (bad - k) * 100 - j) AS cutoff FROM admissible GROUP BY stratum, rule),
+picked AS (SELECT stratum, {picked} FROM chosen GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {failed} IS NULL AS kept, {failed} AS failed_rule
+FROM g LEFT JOIN picked USING (stratum)"""

@@ -44,6 +44,19 @@ def test_counts(spark, documents, texts):
     assert got == {d: _counts(t) for d, t in (texts | extra).items()}
 
 
+def test_rules_against_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{name}.parquet')")
+    # A wide margin, so that cutoffs are chosen on the small table.
+    want = con.execute(quality.rules_sql(alpha=0.6, delta=0.5) + " ORDER BY doc_id").fetchall()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels, alpha=0.6, delta=0.5)
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == want
+    assert {r[8] for r in want} > {None}
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
     cases = [(10, 0, 0.3), (50, 2, 0.1), (400, 1, 0.01), (3000, 5, 0.005), (100, 40, 0.3)]
