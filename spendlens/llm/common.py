@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers, where it is neither on their PYTHONPATH nor in the
+    folder that they start in: a zip of its modules goes out with ``addPyFile``, once a session."""
+    sc = spark.sparkContext
+    here = sc.master.startswith("local[") and Path.cwd() == ROOT
+    if here or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any("spendlens" in f for f in sc._python_includes):
+        return
+    path = Path(tempfile.mkdtemp(prefix="spendlens-zip-")) / "spendlens_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for module in sorted((ROOT / "spendlens").rglob("*.py")):
+            z.write(module, module.relative_to(ROOT))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
