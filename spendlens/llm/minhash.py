@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ SHINGLE = 5
 #: Rank up to which the first level of darts goes.
 FIRST_RANK = 1.0 / 64
 #: Characters of text handled at once by a task.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Most candidate documents whose ids (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -58,7 +59,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _MULT[0])
 #: Bytes hashed at once.
-WINDOW = 1 << 21
+WINDOW = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -211,6 +212,18 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / most) if most else 0.0
 
 
+def text_runs(column: pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``limit`` bytes, with the position of the first; only one run at a time is turned
+    into Python strings."""
+    sizes = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        done = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield first, column.slice(first, last - first).to_pylist()
+        first = last
+
+
 def _slices(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts with about ``limit`` characters, with the position of the first."""
     first, run, size = 0, [], 0
@@ -231,7 +244,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in _slices(batch.column(1).to_pylist()):
+            for first, texts in text_runs(batch.column(1)):
                 sets = shingle_sets(texts, shingle)
                 keys = band_keys(dart_signatures([(s, c) for s, c, _ in sets], bands * rows), bands, rows).view(np.int64)
                 node = [xxhash.xxh3_64_intdigest(raw) - (1 << 63) if raw else None for _, _, raw in sets]

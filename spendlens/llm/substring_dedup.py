@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import fresh_name, materialise, release, shared_folder, text_of
-from spendlens.llm.minhash import mix, powers
+from spendlens.llm.minhash import mix, powers, text_runs
 
 LENGTH, SAMPLE = 100, 32
 #: Bytes handled at once; a longer text is handled in overlapping parts of this size.
-PART = 1 << 20
+PART = 1 << 18
 _BITS = 21
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -186,12 +186,12 @@ def mark_units(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE) -> DataFr
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            found = list(_text_marks(texts, length, k))
-            if found:
-                number, place, first, last, core, span = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield _unit_batch(rids[number], _packed(place, first, last), core, span)
+            for low, run in text_runs(batch.column(1)):
+                rids = batch.column(0).slice(low, len(run)).to_numpy()
+                found = list(_text_marks([t.encode("utf-8", "surrogatepass") for t in run], length, k))
+                if found:
+                    number, place, first, last, core, span = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield _unit_batch(rids[number], _packed(place, first, last), core, span)
 
     return docs.select("rid", "text").mapInArrow(marked, _UNIT)
 
@@ -204,8 +204,10 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            raw = [z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["rid", "doc_id", "raw"])
+            for low, run in text_runs(batch.column(2)):
+                raw = [z.compress(t.encode("utf-8", "surrogatepass")) for t in run]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(run)), batch.column(1).slice(low, len(run)),
+                                                  pa.array(raw, pa.binary())], names=["rid", "doc_id", "raw"])
 
     return docs.select("rid", "doc_id", "text").mapInArrow(compressed, "rid long, doc_id long, raw binary")
 
@@ -223,8 +225,8 @@ def split_units(docs: DataFrame, units: DataFrame, size: int, length: int = LENG
 
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for rid, raw, ats in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.frombuffer(z.decompress(raw), dtype=np.uint8)
+            for rid, raw, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                x = np.frombuffer(z.decompress(raw.as_py()), dtype=np.uint8)
                 at = np.unique(ats.values.to_numpy())
                 place, first, last = _unpacked(at)
                 # Stretches of the text around the units, so that a long text is never hashed whole.
@@ -304,8 +306,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, block
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for raw, ats in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = z.decompress(raw)
+            for raw, ats in zip(batch.column(1), batch.column(2), strict=True):
+                data = z.decompress(raw.as_py())
                 if not ats.is_valid:
                     out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                     continue
