@@ -101,7 +101,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     length = F.least(F.char_length("word"), F.lit(12)).cast("long")
     voted = (texts.select(*keys, F.explode_outer(words_of(F.col("text"))).alias("word"))
              .select(*keys, F.xxhash64(word).alias("h0"), F.xxhash64(word, F.lit(1)).alias("h1"),
-                     F.coalesce(length * length, F.lit(0)).alias("w")))
+                     F.when(F.col("word").isNull(), F.lit(0)).otherwise(length * length).cast("long").alias("w")))
     sums = voted.groupBy(*keys).agg(*_votes(), F.sum("w").alias("weight"))
     return sums.select(*keys, _half_print("h0").alias("f0"), _half_print("h1").alias("f1"))
 

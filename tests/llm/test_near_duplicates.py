@@ -126,7 +126,13 @@ def test_fingerprints(docs, corpus):
     prints = {d: int(r.fingerprint, 16) for d, r in rows.items()}
     want = _classes(sorted(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 3)
     assert {d: r.class_id for d, r in rows.items()} == want
-    assert sum(r.near_edited > r.near_next for r in rows.values()) > 0.7 * len(rows)
+
+
+def test_edited_text_is_nearer_than_an_unrelated_one(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(150))) for i in range(60)]
+    got = simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.near_edited > r.near_next for r in got) > 0.9 * len(got)
 
 
 def test_fingerprint_is_the_sign_of_the_weighted_votes(spark):
