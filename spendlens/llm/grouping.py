@@ -26,6 +26,14 @@ SMALL = 16
 #: Joins of one round are shuffle joins: their sides are small only by accident, and many small broadcasts
 #: of a loop would gather on the driver.
 JOIN = "merge"
+#: Rows that one task of a round takes at least; a smaller table stays in one partition and needs no shuffle.
+TASK_ROWS = 100_000
+
+
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed table in no more partitions than its rows need, and its number of rows."""
+    rows = df.count()
+    return df.coalesce(max(1, -(-rows // TASK_ROWS))), rows
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -33,7 +41,8 @@ def connect(links: DataFrame) -> DataFrame:
     component. A pass takes the smallest label among the neighbours, then the label's own
     label (pointer jumping), so passes grow with the logarithm of a component's diameter; two
     passes go into one job. Copies of a label meet in a partial aggregate before the shuffle."""
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, _ = _sized(materialise(both.distinct()))
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
 
     def spread(labels: DataFrame) -> DataFrame:
@@ -62,20 +71,25 @@ def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) ->
 
     ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
     pairs (a, b) and returns those that are linked."""
-    live, links, labels, n = shared.withColumn("class", F.col("node")), None, None, 4
-    while live.limit(1).count():
+    live, rows = _sized(shared.withColumn("class", F.col("node")))
+    links, labels, tried, n = None, None, None, 4
+    while rows:
         centres = materialise(_centres(live, n))
         pairs = (live.join(centres.hint(JOIN), "bucket").where(F.col("class") != F.col("centre_class"))
                  .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
+        if tried is not None:
+            pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = check(pairs).select("a", "b")
-        links = materialise(found if links is None else links.unionByName(found))
+        links, _ = _sized(materialise(found if links is None else links.unionByName(found)))
         labels = connect(links)
         done = centres.select("bucket", F.col("centre").alias("node"))
         left = live.join(done.hint(JOIN), ["bucket", "node"], "left_anti").drop("class")
         named = left.join(labels.hint(JOIN), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
         mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
                  .where(F.col("lo") != F.col("hi")).select("bucket"))
-        live = materialise(named.join(mixed.hint(JOIN), "bucket"))
+        live, rows = _sized(materialise(named.join(mixed.hint(JOIN), "bucket")))
         n *= 16
     return labels
 
