@@ -37,17 +37,16 @@ BROADCAST_STRATA = 10_000
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, row (the whole row as a struct) and the counts of every text: n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals.
+    """doc_id, lang, text_hash and the counts of every text: n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, n_lines, n_capitals.
 
     Repeated windows are found by sorting the hashes of a text's three-word windows with
     their positions, so the work grows as n log n whatever repeats."""
     text = F.col("text")
-    base = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    base = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.char_length(F.translate(x, BLANKS, "")) > 0)
     counted = base.select(
-        "doc_id", "lang", "row",
+        "doc_id", "lang", F.xxhash64(text).alias("text_hash"),
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.char_length(text) - F.char_length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
@@ -56,7 +55,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     window = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(
         F.xxhash64(F.element_at("__w", i), F.element_at("__w", i + 1), F.element_at("__w", i + 2)).alias("h"), i.alias("i")))
     sorted_ = counted.select(
-        "doc_id", "lang", "row", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
+        "doc_id", "lang", "text_hash", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, F.sort_array(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("__s"))
@@ -168,20 +167,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     a null or empty text has no words; a null language is a stratum of its own; rows with a null
     id are never labelled; repeated rows stay and count once each; without labels, or with an
     empty table, only the base rules act; other columns are ignored. The texts are read once."""
-    slim = text_features(docs.select("doc_id", "lang", "text")).withColumn("base_failed", base_failed()).drop("row")
-    features = materialise(slim)
+    features = materialise(text_features(docs).withColumn("base_failed", base_failed()))
     judged = judge(features, fit_cutoffs(features, labels, alpha, delta))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          "failed_rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns. Counts are taken twice, once
-    for the cutoffs and once beside the text, so no text crosses a shuffle."""
-    slim = text_features(docs.select("doc_id", "lang", "text")).withColumn("base_failed", base_failed()).drop("row")
-    cutoffs = fit_cutoffs(materialise(slim), labels, alpha, delta)
-    judged = judge(text_features(docs).withColumn("base_failed", base_failed()), cutoffs)
-    return judged.where("kept").select("row.*")
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns. The verdicts come from stored
+    counts: a filter on them then has no text functions that the optimiser would copy into it."""
+    features = materialise(text_features(docs).withColumn("base_failed", base_failed()))
+    kept = (judge(features, fit_cutoffs(features, labels, alpha, delta)).where("kept")
+            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    rows = docs.withColumn("__text_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    return rows.join(kept, same, "left_semi").drop("__text_hash")
 
 
 def rules_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
