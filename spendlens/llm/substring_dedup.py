@@ -171,8 +171,8 @@ _UNIT = "rid long, at long, core long, span long, again boolean"
 
 
 def _unit_batch(rid: np.ndarray, at: np.ndarray, core: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-    """Units of some texts. Those with an equal unit before them in their text are repeated for sure; they are
-    marked so and carry a core of their own, so that they meet nothing and crowd nowhere."""
+    """Units of some texts or of a stretch of one. Those with an equal unit before them in it are repeated for sure;
+    they are marked so and carry a core of their own, so that they meet nothing and crowd nowhere."""
     order = np.lexsort((at, rid))
     rid, at, core, span = rid[order], at[order], core[order], span[order]
     first = _first_in_text(rid, core, span)
@@ -239,18 +239,20 @@ def split_units(docs: DataFrame, units: DataFrame, size: int, length: int = LENG
     return texts.join(lists, "rid").select("rid", "raw", "ats").mapInArrow(cut, _UNIT)
 
 
-def settle(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle(units: DataFrame, sliced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(repeated, open) units as (rid, at): the repeated ones have an equal unit before them; an open one is the
-    first of its name, but its core also occurs in another name."""
+    first of its name, but its core also occurs in another name. ``sliced``: equal units of one text may both be
+    unmarked, so that the first is found by its place too."""
     shared = (units.where(~F.col("again")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
               .select("core", F.lit(True).alias("met")))
     met = stored(units.join(shared, "core", "left").where(F.col("again") | F.col("met")).drop("met"))
     release(met.sparkSession)
-    names = met.where(~F.col("again")).groupBy("core", "span").agg(F.min("rid").alias("first"))
+    own = F.struct("rid", "at") if sliced else F.col("rid")
+    names = met.where(~F.col("again")).groupBy("core", "span").agg(F.min(own).alias("first"))
     mixed = names.groupBy("core").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     names = names.join(mixed, "core")
     judged = stored(met.join(names, ["core", "span"], "left").select(
-        "rid", "at", (F.col("again") | (F.col("rid") != F.col("first"))).alias("repeated"), "mixed"))
+        "rid", "at", (F.col("again") | (own != F.col("first"))).alias("repeated"), "mixed"))
     release(judged.sparkSession)
     return judged.where("repeated").select("rid", "at"), judged.where("NOT repeated AND mixed").select("rid", "at")
 
@@ -296,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, block
     repeated, open_ = settle(mark_units(rows, length, k))
     found = [repeated]
     for size in (block, 1):
-        repeated, open_ = settle(split_units(rows, open_, size, length, k))
+        repeated, open_ = settle(split_units(rows, open_, size, length, k), sliced=True)
         found.append(repeated)
     lists = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("rid").agg(F.collect_list("at").alias("ats"))
 
