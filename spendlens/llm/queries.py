@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spendlens.llm import html_extract, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts, toxicity
 from spendlens.llm.common import table
 
-#: Vocabulary of op7; a parameter of the operator.
+#: Vocabulary of op4 and op7; a parameter of the operators.
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -28,7 +28,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into bins of 2,048 tokens without source or duplicate conflicts."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, model_path=public_tokenizers.path(TOKENIZER))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Inputs on which a part of the job was once left out."""
 
 import random
+from collections import defaultdict
 
-from spendlens.llm import substring_dedup
+import corpus_pipeline
+from spendlens.llm import queries, substring_dedup
 from test_text_operators import _without_repeats
 
+SF = "/root/testdata/sf0.001"
+
 
 # ---- repeated strings
 
@@ -18,3 +22,27 @@ def test_a_long_text_that_repeats_within_itself(spark):
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == _without_repeats(rows, 100)
     assert got[1][1] > 2400 * 130
+
+
+# ---- packing
+
+def _library_tokens(docs):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.TOKENIZER))
+    return {r.doc_id: len(sp.encode(r.text or "")) for r in docs.collect()}
+
+
+def test_bins_hold_tokens_of_the_vocabulary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = _library_tokens(docs)
+    for got in (queries.op4_best_fit_packing(spark, SF), corpus_pipeline.pack(spark, docs, SF)):
+        pieces, bins = defaultdict(list), defaultdict(int)
+        for r in got.collect():
+            pieces[r.doc_id].append((r.start, r.n_tokens))
+            bins[r.bin_id] += r.n_tokens
+        assert max(bins.values()) <= 2048 and pieces.keys() == want.keys()
+        for d, n in want.items():
+            size = max(1, n)
+            assert sorted(pieces[d]) == [(s, min(2048, size - s)) for s in range(0, size, 2048)]
