@@ -30,7 +30,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into bins of 2,048 tokens without source or duplicate conflicts."""
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, model_path=public_tokenizers.path(TOKENIZER))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, capacity=2048, model_path=public_tokenizers.path(TOKENIZER),
+                                  classes=minhash.near_duplicates(docs, threshold=0.8))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,21 @@ def test_bins_hold_tokens_of_the_vocabulary(spark):
         for d, n in want.items():
             size = max(1, n)
             assert sorted(pieces[d]) == [(s, min(2048, size - s)) for s in range(0, size, 2048)]
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for base in range(40):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+        for copy in range(4):
+            near = list(words)
+            near[10 + 20 * copy] = "changed"
+            rows.append((base * 4 + copy, " ".join(near), f"source{copy}"))
+    rows += [(1000, "", "source0"), (1001, " ", "source1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = defaultdict(list)
+    for r in queries.op4_best_fit_packing(spark, str(tmp_path)).collect():
+        bins[r.bin_id].append(r.doc_id // 4 if r.doc_id < 1000 else "empty")
+    assert sum(map(len, bins.values())) >= len(rows) > len(bins)
+    assert all(len(held) == len(set(held)) for held in bins.values())
