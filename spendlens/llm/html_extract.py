@@ -5,7 +5,8 @@ with their classes). Per path the text length and the number of punctuation mark
 taken, both ratios are smoothed along the nodes of the page, fused by their product, and the
 nodes at or above the threshold (the mean of the fused scores times ``factor``) mark content.
 Elements whose tag, role, class or id names page furniture (menus, notices, adverts, forms,
-reader comments and the like) never enter. The article is the smallest element that holds at
+reader comments and the like) never enter. Inside an article a header, a formula and a label are text, and an element
+of an ambiguous name (legal, form, notice and the like) stays if it holds marked text. The article is the smallest element that holds at
 least ``share`` of the marked text; all its remaining blocks are the result, so headings and
 one-word paragraphs stay. If only the page body itself holds that much, the marked paths and
 the headings are the result.
@@ -26,19 +27,34 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"
                     re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sidebar|side|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|promo|promotion|"
-    r"sponsor|sponsored|related|recommended|recommendations|share|sharing|social|subscribe|subscription|"
-    r"newsletter|signup|comments?|commentlist|respond|disqus|login|search|pagination|pager|widgets?|toolbar|"
-    r"legal|copyright|disclaimer|complementary|contentinfo|form|alert|alertdialog|dialog)(?:$|[\s_-]|\d)", re.I)
-#: Inside an article a "header" or a "side" is part of the text; these names are not.
+_NAMES = (r"ads?|adverts?|advertisement|advertising|sidebar|menu|nav|navbar|navigation|"
+          r"breadcrumbs?|footer|cookies?|gdpr|popup|modal|promo|"
+          r"sponsor|sponsored|related|recommended|recommendations|sharing|social|subscribe|"
+          r"newsletter|signup|comments?|commentlist|respond|disqus|login|pagination|pager|widgets?|toolbar|"
+          r"complementary|contentinfo|alertdialog|dialog")
+#: Inside an article these may name a part of the text: such an element stays if its tag paths mark any of it.
+_DOUBTFUL_NAMES = (r"banner|consent|notice|overlay|promotion|share|subscription|search|legal|copyright|disclaimer|form|alert")
+#: Inside an article a "header" or a "side" is part of the text.
+_TEXT_NAMES = r"side|header|masthead"
+
+
+def _named(names: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{names})(?=$|[\s_-]|\d)", re.I)
+
+
+_FURNITURE = _named(f"{_NAMES}|{_DOUBTFUL_NAMES}|{_TEXT_NAMES}")
+_CERTAIN, _DOUBTFUL = _named(_NAMES), _named(_DOUBTFUL_NAMES)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 _DROPPED = {"nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "head", "object", "canvas",
-            "audio", "video", "fieldset", "input", "label", "math"}
+            "audio", "video", "fieldset", "input", "label", "math", "annotation", "annotation-xml"}
+#: Of these and of header, what an article holds is its text.
+_ARTICLE_TEXT = {"header", "object", "fieldset", "label", "math"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike "
-              "strong sub sup time tt u var rp rt ruby img wbr br".split())
+              "strong sub sup time tt u var rp rt ruby img wbr br label "
+              "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+              "msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics "
+              "annotation annotation-xml".split())
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
                 "h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -49,20 +65,21 @@ _PUNCT = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "up", "dropped", "mass", "in_article")
+    __slots__ = ("tag", "path", "up", "dropped", "mass", "in_article", "doubtful")
 
     def __init__(self, tag: str, path: str, up: _Element | None, dropped: bool, in_article: bool):
         self.tag, self.path, self.up, self.dropped, self.in_article = tag, path, up, dropped, in_article
         self.mass = 0.0
+        self.doubtful = False
 
 
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     names = " ".join(m[1].strip("\"'") for m in _ATTR.findall(attrs)) if attrs else ""
-    if tag in _DROPPED or (tag == "header" and not in_article):
+    if (tag in _DROPPED or tag == "header") and not (in_article and tag in _ARTICLE_TEXT):
         return True, names
     if tag in ("html", "body", "article", "main"):
         return False, names
-    return bool(names and _FURNITURE.search(names)), names
+    return bool(names and (_CERTAIN if in_article else _FURNITURE).search(names)), names
 
 
 def text_blocks(html: str) -> list[tuple[_Element, str]]:
@@ -93,8 +110,10 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        # Outside an article a label or a formula is an element to drop, whatever it holds.
+        flows = tag in _INLINE and (at.in_article or tag not in _ARTICLE_TEXT)
         if m[1]:
-            if tag in _INLINE:
+            if flows:
                 if inline:
                     inline.pop()
                 continue
@@ -113,7 +132,7 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
             if not at.dropped:
                 parts.append(" ")
             continue
-        if tag in _INLINE:
+        if flows:
             if tag not in _VOID and not m[3].endswith("/"):
                 inline.append(_is_furniture(tag, m[3], at.in_article)[0])
             continue
@@ -137,7 +156,9 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
                     at = at.up
         furniture, names = _is_furniture(tag, m[3], at.in_article)
         label = f"{tag}.{names}" if names else tag
+        doubtful = at.in_article and bool(names and _DOUBTFUL.search(names))
         at = _Element(tag, f"{at.path}/{label}", at, at.dropped or furniture, at.in_article or tag in ("article", "main"))
+        at.doubtful = doubtful and tag not in ("article", "main")
     flush()
     return blocks
 
@@ -155,6 +176,15 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def _unmarked(el: _Element | None) -> bool:
+    """Whether the element lies in one of doubtful name that holds no marked text."""
+    while el is not None:
+        if el.doubtful and not el.mass:
+            return True
+        el = el.up
+    return False
+
+
 def main_text(html: str, factor: float = 0.5, share: float = 0.8) -> str:
     """The main text of one page; empty if it has none."""
     blocks = text_blocks(html)
@@ -183,6 +213,7 @@ def main_text(html: str, factor: float = 0.5, share: float = 0.8) -> str:
                 up.mass += len(text)
                 holders[id(up)] = up
                 up = up.up
+    blocks = [(el, text) for el, text in blocks if not _unmarked(el)]
     article = min((el for el in holders.values() if el.mass >= share * total and el.tag not in ("p", *_HEADING)),
                   key=lambda el: -el.path.count("/"))
     if article.tag in ("", "html", "body"):

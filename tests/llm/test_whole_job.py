@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from spendlens.llm import queries, substring_dedup
+from spendlens.llm import html_extract, queries, substring_dedup
 from test_text_operators import _without_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,20 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
         bins[r.bin_id].append(r.doc_id // 4 if r.doc_id < 1000 else "empty")
     assert sum(map(len, bins.values())) >= len(rows) > len(bins)
     assert all(len(held) == len(set(held)) for held in bins.values())
+
+
+# ---- main text
+
+LINE = "The river rose in the night, and by morning the bridge, the mill and the lower road were gone."
+
+
+def test_an_article_keeps_its_header_sections_and_formulas():
+    html = (f'<body><div class="header">Site name</div><div class="legal">All rights reserved, of course.</div><article>'
+            f'<header class="entry-header"><h1>Flood</h1></header><div class="post-header"><p>By A. Writer</p></div><p>{LINE}</p>'
+            f'<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="tex">x=2</annotation></math> holds.</p>'
+            f'<p>A <label>word</label> more.</p><section class="legal-text"><p>{LINE}</p></section>'
+            f'<fieldset><p>Boxed.</p></fieldset><object><p>Drawn.</p></object>'
+            f'<div class="share"><div>Mail</div><div>Print</div></div><nav>Next</nav><div class="related">More</div><p>{LINE}</p></article>'
+            f'<footer>Imprint</footer></body>')
+    assert html_extract.main_text(html).split("\n") == [
+        "Flood", "By A. Writer", LINE, "So x=2 holds.", "A word more.", LINE, "Boxed.", "Drawn.", LINE]
