@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import materialise, text_of
 from spendlens.llm.grouping import JOIN, group_buckets, shared_buckets
 
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 64, 5
 SHINGLE = 5
 #: Rank up to which the first level of darts goes.
 FIRST_RANK = 1.0 / 64
@@ -238,8 +238,8 @@ def _slices(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, node, bands: ``node`` is a 64-bit hash of the word sequence, null for a text
-    without words, ``bands`` the keys of its signature's bands."""
+    """doc_id, text_hash, node, total, bands: ``node`` is a 64-bit hash of the word sequence, null for a text
+    without words, ``total`` the number of its shingles, ``bands`` the keys of its signature's bands."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +251,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                 flat = pa.array(keys.ravel())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(texts)), batch.column(2).slice(first, len(texts)), pa.array(node, pa.int64()),
+                     pa.array([int(c.sum()) for _, c, _ in sets], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), flat)],
-                    names=["doc_id", "text_hash", "node", "bands"])
+                    names=["doc_id", "text_hash", "node", "total", "bands"])
 
-    return source_rows(docs).mapInArrow(signed, "doc_id long, text_hash long, node long, bands array<long>")
+    return source_rows(docs).mapInArrow(signed, "doc_id long, text_hash long, node long, total long, bands array<long>")
 
 
 def source_rows(docs: DataFrame) -> DataFrame:
@@ -263,7 +264,11 @@ def source_rows(docs: DataFrame) -> DataFrame:
 
 
 def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
-    """A check of pairs (a, b) of nodes by the similarity of their texts (node, text)."""
+    """A check of pairs (a, b) of nodes by the similarity of their texts (node, text, total).
+
+    The smaller number of shingles over the larger one is an upper bound of the similarity: pairs below the
+    threshold by it can't be links and are dropped before texts are joined."""
+    totals = texts.select("node", "total")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +281,11 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def check(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint(JOIN), "a")
+        sized = (pairs.select("a", "b").join(totals.select(F.col("node").alias("a"), F.col("total").alias("n_a")).hint(JOIN), "a")
+                 .join(totals.select(F.col("node").alias("b"), F.col("total").alias("n_b")).hint(JOIN), "b"))
+        # Both divide integers, and rounding keeps their order.
+        able = sized.where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= F.lit(threshold)).select("a", "b")
+        both = (able.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint(JOIN), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint(JOIN), "b")
                 .select("a", "b", "text_a", "text_b"))
         return both.mapInArrow(linked, "a long, b long")
@@ -289,7 +298,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """doc_id, class_id, kept, text_hash of every row of ``docs``.
 
     Two documents are linked if the weighted Jaccard similarity of their shingles is at least
-    ``threshold`` (with 40 bands of 8 rows a pair at 0.8 shares a band with probability 0.9994, one at 0.85 with 0.999997); classes are the
+    ``threshold`` (with 64 bands of 5 rows a pair at 0.8 misses every band with probability 1e-11); classes are the
     connected components of the links, named by their smallest doc_id, whose row is
     kept (of several texts with that id the one of smallest hash). Texts with the same words are one node from the start. A null or empty text, or one
     of white space only, is a class of its own row (class_id is its doc_id); null ids lose to
@@ -299,14 +308,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     shared = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"))
     # Texts of the candidates only: one document of every node that shares a bucket.
-    one = signed.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"))
+    one = signed.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"), F.first("total").alias("total"))
     wanted = materialise(shared.select("node").distinct().join(one, "node").select(
-        "node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
+        "node", "total", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     rows_ = source_rows(docs)
     mine = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))
-    texts = materialise(rows_.join(wanted, mine).select("node", "text").dropDuplicates(["node"]))
+    texts = materialise(rows_.join(wanted, mine).select("node", "text", "total").dropDuplicates(["node"]))
     labels = group_buckets(shared, check_pairs(texts, threshold, shingle))
     if labels is None:
         labelled = signed.withColumn("label", F.col("node"))

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from spendlens.llm import html_extract, queries, substring_dedup
+from spendlens.llm import html_extract, minhash, queries, substring_dedup
 from test_text_operators import _without_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +81,9 @@ def test_an_article_keeps_its_header_sections_and_formulas():
             f'<footer>Imprint</footer></body>')
     assert html_extract.main_text(html).split("\n") == [
         "Flood", "By A. Writer", LINE, "So x=2 holds.", "A word more.", LINE, "Boxed.", "Drawn.", LINE]
+
+
+# ---- near duplicates
+
+def test_bands_lose_no_pair_at_the_threshold():
+    assert (1 - 0.8 ** minhash.ROWS) ** minhash.BANDS < 1e-9
