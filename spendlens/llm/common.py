@@ -8,9 +8,10 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the control characters tab to carriage return.
@@ -89,3 +90,44 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
 
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{int(time.time())}_{uuid.uuid4().hex[:8]}"
+
+
+#: A key with more than one row in so many counts as hot, so there are at most as many hot keys.
+HOT_KEYS = 2000
+
+
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """``df`` with the number of each row (from 0) within its ``group`` in ascending ``order``, nulls first.
+
+    No task holds a whole group: rows are dealt to ranges of (group, order), stored, and numbered within
+    (range, group); a group that continues from earlier ranges adds their rows. That is at most one
+    group per range, so the table of these offsets is as small as the number of ranges. ``df`` must be a
+    stored table, whose rows stay in their partitions: their places in it break ties, so that even
+    many equal rows are dealt evenly. Group columns must not be null."""
+    keys = [*group, *order, "__tie"]
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys])
+    placed = materialise(ranged.withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (placed.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(before))
+               .where(F.col("__before") > 0).drop("__n"))
+    within = Window.partitionBy("__part", *group).orderBy(*[F.col(c).asc_nulls_first() for c in keys[len(group):]])
+    numbered = placed.withColumn("__place", F.row_number().over(within) - 1)
+    # At most one row per range.
+    return (numbered.join(F.broadcast(carried), ["__part", *group], "left")
+            .withColumn(name, (F.col("__place") + F.coalesce("__before", F.lit(0))).cast("long"))
+            .drop("__part", "__tie", "__place", "__before"))
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """Stored ``rows`` with the columns of ``facts``, which has one row per key and in ``size`` the key's number of
+    rows. The facts of hot keys (more than one row in HOT_KEYS, so at most as many) are broadcast and
+    their rows stay where they are; the others meet in a shuffle, where no key is large."""
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > F.lit(total / HOT_KEYS)
+    slim = facts.drop(size)
+    few = facts.where(hot).drop(size).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), key, "left")
+    cold = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(facts.where(~hot).drop(size).hint("merge"), key)
+    columns = [*rows.columns, *[c for c in slim.columns if c != key]]
+    return marked.where(F.col("__hot")).select(*columns).unionByName(cold.select(*columns))

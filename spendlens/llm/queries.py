@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import html_extract, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts, toxicity
+from spendlens.llm import (html_extract, merkle, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts,
+                           toxicity)
 from spendlens.llm.common import table
 
 #: Vocabulary of op4 and op7; a parameter of the operators.
@@ -71,7 +72,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing, op5_toxicity, op6_pii, op7_token_counts, op8_substring_dedup, op9_mixing, op10_html_extraction)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, checked against texts of which half lost their line breaks."""
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing,
+                                   op5_toxicity, op6_pii, op7_token_counts, op8_substring_dedup, op9_mixing,
+                                   op10_html_extraction, op13_merkle_manifest)}
 
 #: DuckDB SQL where SQL can state the result; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op2_quality_rules": quality.rules_sql(), "op9_mixing": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality.rules_sql(), "op9_mixing": mixing.MIX_SQL,
+                          "op13_merkle_manifest": merkle.MERKLE_SQL}
