@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import (html_extract, merkle, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts,
+from spendlens.llm import (deletion_variants, html_extract, merkle, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts,
                            toxicity)
 from spendlens.llm.common import table
 
@@ -72,6 +72,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and its component by distances of at most two bits."""
+    return deletion_variants.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proof of every document, checked against texts of which half lost their line breaks."""
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
@@ -79,7 +84,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing,
                                    op5_toxicity, op6_pii, op7_token_counts, op8_substring_dedup, op9_mixing,
-                                   op10_html_extraction, op13_merkle_manifest)}
+                                   op10_html_extraction, op12_simhash_near_dedup, op13_merkle_manifest)}
 
 #: DuckDB SQL where SQL can state the result; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op2_quality_rules": quality.rules_sql(), "op9_mixing": mixing.MIX_SQL,
