@@ -131,3 +131,14 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFram
     cold = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(facts.where(~hot).drop(size).hint("merge"), key)
     columns = [*rows.columns, *[c for c in slim.columns if c != key]]
     return marked.where(F.col("__hot")).select(*columns).unionByName(cold.select(*columns))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again: like ``materialise``, but what Spark guesses
+    of its size comes from the files. A checkpoint keeps the guess of its plan, which a long loop of joins multiplies beyond bounds."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{fresh_name('stored')}"
+    df.write.parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    return copy

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import (deletion_variants, html_extract, merkle, minhash, mixing, packing, pii, quality, simhash, substring_dedup, token_counts,
-                           toxicity)
+from spendlens.llm import (deletion_variants, html_extract, merkle, minhash, mixing, packing, pii, prefix_trie, quality, simhash, substring_dedup,
+                           token_counts, toxicity)
 from spendlens.llm.common import table
 
 #: Vocabulary of op4 and op7; a parameter of the operators.
@@ -72,6 +72,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and its component by distances of at most two bits."""
     return deletion_variants.near_copies(table(spark, sf_dir, "documents"))
@@ -84,8 +89,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_fingerprints, op4_best_fit_packing,
                                    op5_toxicity, op6_pii, op7_token_counts, op8_substring_dedup, op9_mixing,
-                                   op10_html_extraction, op12_simhash_near_dedup, op13_merkle_manifest)}
+                                   op10_html_extraction, op11_conversation_trie, op12_simhash_near_dedup, op13_merkle_manifest)}
 
 #: DuckDB SQL where SQL can state the result; the others are tested against brute force.
 ORACLE: dict[str, str] = {"op2_quality_rules": quality.rules_sql(), "op9_mixing": mixing.MIX_SQL,
-                          "op13_merkle_manifest": merkle.MERKLE_SQL}
+                          "op11_conversation_trie": prefix_trie.TRIE_SQL, "op13_merkle_manifest": merkle.MERKLE_SQL}
