@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.joins import join_group_stats, settle
 from spendlens.functions.util import as_double, rows_from_one_row, small, with_stats
+from spendlens.operators import ranks
 
 
 # ---------------------------------------------------------------- correlation
@@ -130,13 +131,10 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
     """AGG12 / AGG13: quartiles (linear interpolation), IQR, whiskers at the
     most extreme values within ``whis`` IQR, outlier count; per group if ``by``.
 
-    The rows are first counted per (group, value): a partial + final
-    aggregate, so a hot group leaves every map task as one row per distinct
-    value. Exact quartiles are then ``percentile`` with those counts as
-    frequencies; ``method="approx"`` takes ``percentile_approx`` over the
-    rows instead (bounded memory for wide continuous columns). The fences go
-    back onto the counted values (broadcast behind a row-count check, salted
-    shuffle join beyond it) for the whisker and outlier pass.
+    Exact quartiles come by selection (``ranks``); ``method="approx"`` takes
+    ``percentile_approx``. The fences go back onto the rows (broadcast behind a
+    row-count check, salted shuffle join beyond it) for the whisker and outlier pass,
+    a partial aggregate that leaves one row per group and task.
     """
     x = F.col(value).cast("double")
     cols = [x.alias("__x")]
@@ -148,28 +146,22 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
     src = df.select(*cols).filter(F.col("__x").isNotNull())
     if keys:
         src = src.filter(F.col("group").isNotNull())
-    vc = src.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
     if method == "exact":
-        q = F.percentile("__x", [0.25, 0.5, 0.75], F.col("__c"))
-        aggs = [F.sum("__c").alias("n"), (F.sum(F.col("__x") * F.col("__c")) / F.sum("__c")).alias("mean"),
-                F.min("__x").alias("min"), F.max("__x").alias("max"), q.alias("__q")]
-        st = vc.groupBy(*keys).agg(*aggs) if keys else vc.agg(*aggs)
+        st = ranks.summary(src, ["__x"], keys)
     else:
         q = F.percentile_approx("__x", [0.25, 0.5, 0.75], accuracy).cast("array<double>")
-        aggs = [F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.min("__x").alias("min"),
-                F.max("__x").alias("max"), q.alias("__q")]
-        st = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
-    st = st.select(*keys, "n", "mean", "min", "max", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                   F.col("__q")[2].alias("q3"))
+        st = src.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.min("__x").alias("least"), F.max("__x").alias("most"), q.alias("q"))
+    st = st.select(*keys, "n", "mean", F.col("least").alias("min"), F.col("most").alias("max"), F.col("q")[0].alias("q1"),
+                   F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     st = st.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("__lf", F.col("q1") - whis * F.col("iqr")) \
         .withColumn("__uf", F.col("q3") + whis * F.col("iqr"))
-    joined = join_group_stats(vc, st, keys)
+    joined = join_group_stats(src, st, keys)
     xx = F.col("__x")
     aggs = [F.first(c).alias(c) for c in ("n", "mean", "min", "max", "q1", "median", "q3", "iqr")] + [
         F.min(F.when(xx >= F.col("__lf"), xx)).alias("lower_whisker"),
         F.max(F.when(xx <= F.col("__uf"), xx)).alias("upper_whisker"),
-        F.sum(F.when((xx < F.col("__lf")) | (xx > F.col("__uf")), F.col("__c")).otherwise(0)).alias("n_outliers")]
+        F.sum(F.when((xx < F.col("__lf")) | (xx > F.col("__uf")), 1).otherwise(0)).alias("n_outliers")]
     w = joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
     w = w.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
     return w.select(*keys, F.col("n").cast("long"), as_double("mean").alias("mean"), as_double("min").alias("min"),

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import as_double
-from spendlens.operators import eda, models, residuals, segments
+from spendlens.functions.util import as_double, with_stats
+from spendlens.operators import eda, models, ranks, residuals, segments
 from spendlens.schema import AGE, GENDER, INCOME, TARGET
 
 FACT_SCHEMA = "section string, metric string, value double, label string"
@@ -43,9 +43,10 @@ def report_facts(customers: DataFrame, pred: DataFrame, best: DataFrame) -> Data
     inc_band = bands.cut(INCOME, bands.INCOME_EDGES, bands.INCOME_LABELS, open_ends=True)
     band_aggs = [F.avg(F.when(age_band == lab, y)).alias(f"ab{i}") for i, lab in enumerate(bands.AGE_LABELS)]
     band_aggs += [F.avg(F.when(inc_band == lab, y)).alias(f"ib{i}") for i, lab in enumerate(bands.INCOME_LABELS)]
-    one = customers.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.percentile(y, 0.5).alias("md"),
+    one = customers.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"),
                         F.stddev_samp(y).alias("sd"), F.avg(a).alias("ma"), F.avg(inc).alias("mi"),
                         F.corr(a, y).alias("ca"), F.corr(inc, y).alias("ci"), *band_aggs)
+    one = with_stats(one, ranks.summary(customers, [TARGET], probs=(0.5,)).select(F.col("q")[0].alias("md")))
 
     def corr_label(c):
         return F.concat_ws(" ", eda.strength_label(F.col(c)), F.when(F.col(c) < 0, "negative").otherwise("positive"))

@@ -1,19 +1,18 @@
 """Profiling: schema, missing values, duplicates, numeric summaries, frequencies.
 
 Each report is one aggregate pass over the table (all columns at once),
-unpivoted into rows afterwards; nothing goes through the driver.
+unpivoted into rows afterwards; exact quantiles add the counting passes of ``ranks``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.util import as_double, rows_from_one_row, small
-
-QUARTILES = (0.25, 0.5, 0.75)
+from spendlens.functions.util import as_double, rows_from_one_row, small, with_stats
+from spendlens.operators import ranks
 
 
 def schema_info(df: DataFrame) -> DataFrame:
@@ -70,36 +69,25 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
-def _quartile_expr(c: Column, method: str, accuracy: int) -> Column:
-    if method == "exact":
-        # Exact linear interpolation (= pandas). Its buffer is a value -> count
-        # map per group: bounded by distinct values, not rows.
-        return F.percentile(c, list(QUARTILES))
-    return F.percentile_approx(c, list(QUARTILES), accuracy).cast("array<double>")
-
-
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] | str | None = None,
              method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """PROF5 / AGG4: count, mean, sample sd, min, quartiles, max per column (per group).
 
-    One aggregate pass for all columns; ``method="approx"`` swaps the exact
-    quartiles for ``percentile_approx`` on wide continuous columns.
-    """
+    Quartiles are exact, by selection in passes shared by all columns and groups (``ranks``);
+    ``method="approx"`` takes ``percentile_approx`` in the one pass of the other numbers."""
     by = [by] if isinstance(by, str) else list(by or [])
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), _quartile_expr(x, method, accuracy).alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("count"),
-                        as_double(F.col(f"m{i}")).alias("mean"), as_double(F.col(f"s{i}")).alias("std"),
-                        as_double(F.col(f"lo{i}")).alias("min"), as_double(F.col(f"q{i}")[0]).alias("p25"),
-                        as_double(F.col(f"q{i}")[1]).alias("p50"), as_double(F.col(f"q{i}")[2]).alias("p75"),
-                        as_double(F.col(f"hi{i}")).alias("max"))
-               for i, c in enumerate(cols)]
-    return one.select(*by, F.inline(F.array(*structs)))
+    if method == "exact":
+        out = ranks.summary(df, cols, by)
+    else:
+        aggs = [F.percentile_approx(F.col(c).cast("double"), list(ranks.QUARTILES), accuracy).cast("array<double>").alias(f"q{i}")
+                for i, c in enumerate(cols)]
+        near = df.groupBy(*by).agg(*aggs).select(
+            ranks.group_key(by).alias("__g"), F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), F.col(f"q{i}").alias("q")) for i in range(len(cols))])))
+        out = ranks.moments(df, cols, by).join(near, ["__g", "__c"]).select(*[F.col("__g")[b].alias(b) for b in by], "*")
+    names = F.array(*[F.lit(c) for c in cols])
+    return out.select(*by, F.element_at(names, F.col("__c") + 1).alias("column"), F.col("n").cast("long").alias("count"), "mean",
+                      F.col("sd").alias("std"), F.col("least").alias("min"), F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
+                      F.col("q")[2].alias("p75"), F.col("most").alias("max"))
 
 
 def value_counts(df: DataFrame, c: str, labels: Sequence[str] | None = None,
@@ -132,18 +120,17 @@ def value_counts(df: DataFrame, c: str, labels: Sequence[str] | None = None,
 
 def center_spread(df: DataFrame, c: str) -> DataFrame:
     """PROF8: mean, median, sample sd of one column."""
-    x = F.col(c).cast("double")
-    return df.agg(as_double(F.avg(x)).alias("mean"), as_double(F.percentile(x, 0.5)).alias("median"),
-                  as_double(F.stddev_samp(x)).alias("std"))
+    return ranks.summary(df, [c], probs=(0.5,)).select("mean", F.col("q")[0].alias("median"), F.col("sd").alias("std"))
 
 
 def dataset_facts(df: DataFrame, target: str = "spending_score", age: str = "age",
                   income: str = "annual_income_k") -> DataFrame:
     """PROF9: the dataset fact table of the reports as (metric, value) rows."""
     y = F.col(target).cast("double")
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.percentile(y, 0.5).alias("md"),
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"),
                  F.stddev_samp(y).alias("sd"), F.avg(F.col(age).cast("double")).alias("ma"),
                  F.avg(F.col(income).cast("double")).alias("mi"))
+    one = with_stats(one, ranks.summary(df, [target], probs=(0.5,)).select(F.col("q")[0].alias("md")))
     facts = [("total_customers", F.col("n")), ("features", F.lit(len(df.columns) - 1)),
              ("mean_spending_score", F.col("my")), ("median_spending_score", F.col("md")),
              ("std_spending_score", F.col("sd")), ("mean_age", F.col("ma")),

@@ -488,6 +488,20 @@ def box_by_group(spark, sf):
     return eda.box_stats(_customers(spark, sf), TARGET, by=bands.age_group(AGE))
 
 
+def _age_bin_sql(k: int = 5) -> str:
+    e = _ew_edges_sql("CAST(st0.mn AS DOUBLE)", "CAST(st0.mx AS DOUBLE)", k)
+    return "CASE " + " ".join(f"WHEN CAST(c.age AS DOUBLE) > {e[i]} AND CAST(c.age AS DOUBLE) <= {e[i + 1]} THEN {i}" for i in range(k)) + " END"
+
+
+@query("box_by_age_bin", S.with_customers(f"""
+st0 AS (SELECT MIN(age) AS mn, MAX(age) AS mx FROM customers),
+ab AS (SELECT CAST({_age_bin_sql()} AS BIGINT) AS age_bin, c.spending_score FROM customers c CROSS JOIN st0)""") + _box_sql("ab", TARGET, "age_bin"))
+def box_by_age_bin(spark, sf):
+    """AGG13 over FEA12: box statistics of the score in five equal-width age bins."""
+    df = features.with_equal_width_bins(_customers(spark, sf), AGE, 5, "age_bin")
+    return eda.box_stats(df, TARGET, by="age_bin_index")
+
+
 def _density_sql(view: str, col: str, by: str, gridsize: int = 100, cut: float = 2.0) -> str:
     return f""",
 src AS (SELECT {by} AS g, CAST({col} AS DOUBLE) AS x FROM {view} WHERE {col} IS NOT NULL AND {by} IS NOT NULL),
@@ -1069,6 +1083,12 @@ def lineitem_box(spark, sf):
     return eda.box_stats(_lineitem(spark, sf), "l_quantity", by="l_returnflag")
 
 
+@query("lineitem_price_box", "WITH x AS (SELECT 1)" + _box_sql("lineitem", "l_extendedprice", "l_returnflag"))
+def lineitem_price_box(spark, sf):
+    """AGG13: box statistics of a column with about as many values as rows, by rank selection."""
+    return eda.box_stats(_lineitem(spark, sf), "l_extendedprice", by="l_returnflag")
+
+
 @query("lineitem_corr", _corr_sql("lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 def lineitem_corr(spark, sf):
     """AGG1 on lineitem."""
