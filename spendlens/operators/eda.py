@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.joins import join_group_stats, settle
 from spendlens.functions.util import as_double, rows_from_one_row, small, with_stats
 from spendlens.operators import ranks
+from spendlens.operators.split import key_hash
 
 
 # ---------------------------------------------------------------- correlation
@@ -271,33 +272,37 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 100, z: float = Z95)
 
 
 # ------------------------------------------------------------------ grid counts
+def with_cells(src: DataFrame, dims: Sequence[str], bins: int) -> DataFrame:
+    """Rows with all ``dims`` present, and per dim ``bin_<dim>``, its equal-width cell between least and largest value."""
+    src = src.filter(F.lit(True) if not dims else " AND ".join(f"`{d}` IS NOT NULL" for d in dims))
+    x = [F.col(d).cast("double") for d in dims]
+    st = src.agg(*[f(v).alias(f"__{n}{i}") for i, v in enumerate(x) for n, f in (("mn", F.min), ("mx", F.max))])
+    ends = []
+    for i in range(len(dims)):
+        lo, hi = _hist_range(F.col(f"__mn{i}"), F.col(f"__mx{i}"))
+        ends += [lo.alias(f"__lo{i}"), hi.alias(f"__hi{i}")]
+    cells = [hist_bin(v, F.col(f"__lo{i}"), F.col(f"__hi{i}"), bins).alias(f"bin_{d}") for i, (d, v) in enumerate(zip(dims, x))]
+    return with_stats(src, st.select(*ends)).select(*src.columns, *cells)
+
+
 def grid_counts(df: DataFrame, dims: Sequence[str], value: str, bins: int = 10) -> DataFrame:
     """AGG17: the point cloud at scale: equal-width cells over ``dims`` (2 or 3)
     with row count and mean ``value`` per non-empty cell."""
-    src = df.select(*[F.col(d).cast("double").alias(f"__d{i}") for i, d in enumerate(dims)],
-                    F.col(value).cast("double").alias("__v"))
-    src = src.filter(" AND ".join(f"__d{i} IS NOT NULL" for i in range(len(dims))))
-    aggs = []
-    for i in range(len(dims)):
-        aggs += [F.min(f"__d{i}").alias(f"__mn{i}"), F.max(f"__d{i}").alias(f"__mx{i}")]
-    st = src.agg(*aggs)
-    los = []
-    for i in range(len(dims)):
-        lo, hi = _hist_range(F.col(f"__mn{i}"), F.col(f"__mx{i}"))
-        los += [lo.alias(f"__lo{i}"), hi.alias(f"__hi{i}")]
-    st = st.select(*los)
-    j = with_stats(src, st)
-    keys = [hist_bin(F.col(f"__d{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}"), bins).alias(f"bin_{d}")
-            for i, d in enumerate(dims)]
-    return (j.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("count"),
-                                 as_double(F.avg("__v")).alias("mean_value")))
-
-
-def scatter_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """AGG17 points: a bounded, reproducible sample of rows by key hash (the
-    sample is the feature: it feeds a scatter plot)."""
-    from spendlens.operators.split import is_test
-    return df.filter(is_test(key, fraction, seed))
+    placed = with_cells(df.select(*dict.fromkeys([*dims, value])), dims, bins)
+    return (placed.groupBy(*[f"bin_{d}" for d in dims]).agg(F.count(F.lit(1)).cast("long").alias("count"),
+                                                            as_double(F.avg(F.col(value).cast("double"))).alias("mean_value")))
+
+
+def scatter_sample(df: DataFrame, key: str, dims: Sequence[str], per_cell: int = 5, bins: int = 10, seed: int = 42) -> DataFrame:
+    """AGG17 points: of every occupied cell of the grid over ``dims`` the ``per_cell`` rows with the smallest key
+    hashes (all where there are fewer), so sparse regions are seen and the size is exact. Adds bin_<dim> and rank_in_cell.
+
+    The hash has a salt of its own, so the sample is independent of the train/test split. The limit on the
+    rank is applied in every task before the shuffle, so a cell with most rows moves a few rows per task."""
+    placed = with_cells(df, dims, bins).withColumn("__h", key_hash(key, seed, "scatter"))
+    smallest = Window.partitionBy(*[f"bin_{d}" for d in dims]).orderBy("__h", key)
+    ranked = placed.withColumn("rank_in_cell", F.row_number().over(smallest)).filter(F.col("rank_in_cell") <= per_cell)
+    return ranked.withColumn("rank_in_cell", F.col("rank_in_cell").cast("long")).drop("__h")
 
 
 # ---------------------------------------------------------------- crosstab

@@ -91,7 +91,8 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     checkpoint_dir(spark)  # the cluster's folder, when it names one; never a local default
     base = fill.ffill_bfill(df, key, n_buckets=n_buckets) if do_fill else df
     # Several small statistics are read from the filled table: keep it for them.
-    base = split.hash_split(base, key, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    sides = split.fit_split(df, key, test_fraction, seed, models.FOLDS.get(preset or "fast", 3))
+    base = base.withColumn("split", sides.side()).persist(StorageLevel.MEMORY_AND_DISK)
     src = base.filter(F.col("split") == "train") if fit_on == "train" else base
     mm = src.agg(F.min(INCOME).alias("lo"), F.max(INCOME).alias("hi")).first()
     stats = {"income_min": mm["lo"], "income_max": mm["hi"]}
@@ -104,7 +105,7 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     fitted = FittedPipeline(key, target, feature_cols, stats["income_min"], stats["income_max"], codes, scaler)
     data = models.assemble(scale.standardise(enc, feature_cols, stats=scaler), feature_cols)
     data = data.withColumn("label", F.col(target).cast("double")) \
-        .withColumn("fold", split.fold_of(key, models.FOLDS.get(preset or "fast", 3), test_fraction, seed)) \
+        .withColumn("fold", sides.fold()) \
         .select(key, "split", "fold", "label", models.FEATURES_COL, GENDER, AGE, INCOME, *feature_cols)
     # Model fits read the training rows many times: keep them, spill if needed.
     # Row order inside partitions is fixed by a sort on the key (tree fits depend on layout).

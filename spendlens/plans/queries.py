@@ -42,6 +42,11 @@ def _gaps(spark, sf):
     return demo.customers_with_gaps(spark, sf)
 
 
+def _split(spark, sf, folds: int = 1) -> split.Split:
+    """The split of all customers, found on the keys alone."""
+    return split.fit_split(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias(KEY)), KEY, folds=folds)
+
+
 def _features(spark, sf):
     return features.derive_features(_customers(spark, sf))
 
@@ -300,9 +305,9 @@ def encode_unseen(spark, sf):
 SELECT customer_id, {S.split('customer_id')} AS split, CAST(COALESCE({S.fold('customer_id', 3)}, -1) AS BIGINT) AS fold
 FROM customers""")
 def split_q(spark, sf):
-    """FEA16: hash split and three CV folds of the training side (fold -1 = test side)."""
-    df = _customers(spark, sf).select(KEY)
-    return split.hash_split(df, KEY).withColumn("fold", F.coalesce(split.fold_of(KEY, 3), F.lit(-1)).cast("long"))
+    """FEA16: test side of ceil(0.2 n) rows and three even CV folds of the rest (fold -1 = test side)."""
+    sides = _split(spark, sf, folds=3)
+    return _customers(spark, sf).select(KEY, sides.side().alias("split"), F.coalesce(sides.fold(), F.lit(-1)).cast("long").alias("fold"))
 
 
 SCALED = ("gender", "age", "annual_income_k", "age_group", "income_group", "income_age_ratio", "age_squared",
@@ -349,7 +354,7 @@ SELECT e.customer_id, {sel} FROM enc e CROSS JOIN st"""
 def standardise(spark, sf):
     """FEA17: the twelve encoded features scaled with train-side mean and population sd."""
     df = _encoded_features(spark, sf)
-    stats = scale.collect_scaler(df, SCALED, where=~split.is_test(KEY))
+    stats = scale.collect_scaler(df, SCALED, where=~_split(spark, sf).is_test())
     out = scale.standardise(df, SCALED, stats=stats)
     return out.select(KEY, *[r6(c).alias(c) for c in SCALED])
 
@@ -595,11 +600,35 @@ def grid_counts_3d(spark, sf):
     return eda.grid_counts(_customers(spark, sf), (AGE, INCOME, TARGET), TARGET, 10)
 
 
-@query("scatter_sample", S.with_customers() + f"""
-SELECT customer_id, age, annual_income_k, spending_score FROM customers WHERE {S.key_hash('customer_id')} < {split.test_cut(0.1)}""")
+def _scatter_sql(bins: int = 10, per_cell: int = 5) -> str:
+    x = [f"CAST({c} AS DOUBLE)" for c in (AGE, INCOME)]
+
+    def cell(i):
+        lo, hi = f"st.lo{i}", f"st.hi{i}"
+        step = f"(({hi} - {lo}) / {bins})"
+
+        def edge(k):
+            return f"(CASE WHEN {k} >= {bins} THEN {hi} ELSE {lo} + CAST({k} AS DOUBLE) * {step} END)"
+        raw = f"CAST(LEAST(FLOOR(({x[i]} - {lo}) * ({float(bins)!r} / ({hi} - {lo}))), {bins - 1}) AS BIGINT)"
+        return (f"CASE WHEN {x[i]} < {edge(raw)} THEN {raw} - 1 WHEN {raw} < {bins - 1} AND {x[i]} >= "
+                f"{edge(raw + ' + 1')} THEN {raw} + 1 ELSE {raw} END")
+    ends = ", ".join(f"CASE WHEN MIN({v}) = MAX({v}) THEN MIN({v}) - 0.5 ELSE MIN({v}) END AS lo{i}, "
+                     f"CASE WHEN MIN({v}) = MAX({v}) THEN MAX({v}) + 0.5 ELSE MAX({v}) END AS hi{i}" for i, v in enumerate(x))
+    return S.with_customers(f"""
+src AS (SELECT * FROM customers WHERE age IS NOT NULL AND annual_income_k IS NOT NULL),
+st AS (SELECT {ends} FROM src),
+placed AS (SELECT src.customer_id, age, annual_income_k, spending_score, {cell(0)} AS bin_age, {cell(1)} AS bin_annual_income_k FROM src CROSS JOIN st),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY bin_age, bin_annual_income_k
+                                        ORDER BY {S.key_hash('customer_id', 42, 'scatter')}, customer_id) AS r FROM placed)""") + f"""
+SELECT customer_id, age, annual_income_k, spending_score, bin_age, bin_annual_income_k, CAST(r AS BIGINT) AS rank_in_cell
+FROM ranked WHERE r <= {per_cell}"""
+
+
+@query("scatter_sample", _scatter_sql())
 def scatter_sample(spark, sf):
-    """AGG17: the reproducible point sample behind the scatter plots (the sample is the feature)."""
-    return eda.scatter_sample(_customers(spark, sf), KEY, 0.1).select(KEY, AGE, INCOME, TARGET)
+    """AGG17: the points behind the scatter plots, up to five of every occupied cell (the sample is the feature)."""
+    df = eda.scatter_sample(_customers(spark, sf), KEY, (AGE, INCOME), per_cell=5)
+    return df.select(KEY, AGE, INCOME, TARGET, f"bin_{AGE}", f"bin_{INCOME}", "rank_in_cell")
 
 
 @query("crosstab_gender_band", S.with_customers() + f"""
@@ -634,7 +663,7 @@ def _ols(spark, sf):
     """Split, fit the three closed-form models on the training side (one
     aggregate, frozen as literals), predict every customer."""
     from spendlens.operators import models
-    df = split.hash_split(_customers(spark, sf), KEY)
+    df = _customers(spark, sf).withColumn("split", _split(spark, sf).side())
     coefs = freeze(models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train"))
     pred = models.closed_form_predictions(df, coefs, TARGET, OLS_MODELS, keep=KEEP)
     return coefs, pred
@@ -724,7 +753,7 @@ def ols_two_vars(spark, sf):
     """MOD1 (closed form): least squares of the score on age, on income and on both, training side."""
     from spendlens.functions.util import rows_from_one_row
     from spendlens.operators import models
-    df = split.hash_split(_customers(spark, sf), KEY)
+    df = _customers(spark, sf).withColumn("split", _split(spark, sf).side())
     # The one-row aggregate stays lazy here: the result is its unpivot.
     one = models.closed_form_coefficients(df, TARGET, OLS_MODELS, where=F.col("split") == "train")
     structs = []
@@ -1263,8 +1292,8 @@ def grid_search(spark, sf):
     from spendlens.operators import models
     from spendlens.plans import pipeline
     fitted, _, _ = pipeline.fit(_customers(spark, sf), which=("linear",))
-    df = split.hash_split(_customers(spark, sf), KEY)
-    df = pipeline.assembled(df, fitted).withColumn("fold", split.fold_of(KEY, 3))
+    df = _customers(spark, sf).withColumn("split", _split(spark, sf).side())
+    df = pipeline.assembled(df, fitted).withColumn("fold", _split(spark, sf, folds=3).fold())
     train = df.filter((F.col("split") == "train") & F.col("label").isNotNull())
     est = models.forest_estimator("label")
     grid = {"n_estimators": [10], "max_depth": [3, 5]}
@@ -1304,7 +1333,7 @@ SELECT DISTINCT age, {S.r6('CASE WHEN age <= cut_age THEN low ELSE high END')} A
 
 def _stump(spark, sf, est):
     from spendlens.operators import models
-    df = split.hash_split(_customers(spark, sf), KEY).filter(F.col(AGE).isNotNull())
+    df = _customers(spark, sf).withColumn("split", _split(spark, sf).side()).filter(F.col(AGE).isNotNull())
     data = models.assemble(df.withColumn("label", F.col(TARGET).cast("double")), [AGE])
     model = est.fit(data.filter((F.col("split") == "train") & F.col("label").isNotNull()))
     return model.transform(data.select(AGE, models.FEATURES_COL).distinct()).select(AGE, F.col("prediction").alias("predicted"))
@@ -1331,7 +1360,7 @@ def ols_normal_equations(spark, sf):
     from spendlens.functions.util import rows_from_one_row
     from spendlens.plans import pipeline
     fitted, _, _ = _fit(spark, sf, ("linear",))
-    data = pipeline.assembled(split.hash_split(_customers(spark, sf), KEY), fitted).filter((F.col("split") == "train") & F.col("label").isNotNull())
+    data = pipeline.assembled(_customers(spark, sf).withColumn("split", _split(spark, sf).side()), fitted).filter((F.col("split") == "train") & F.col("label").isNotNull())
     rest = F.col("label") - fitted.models["linear"].predict_col()
     one = data.agg(*[F.avg(rest * F.col(c)).alias(c) for c in fitted.feature_cols])
     return rows_from_one_row(one, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("moment")) for c in fitted.feature_cols])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from spendlens.functions import bands
-from spendlens.operators.split import MODULUS, MULTIPLIER, SEED_STEP, test_cut
+from spendlens.operators.split import DIGITS
 from spendlens.sources.demo import CUSTOMERS_SQL, GAPS_SQL
 
 
@@ -56,21 +56,29 @@ def labels_table(name: str, labels: Sequence[str]) -> str:
     return f"(SELECT CAST(position AS BIGINT) AS position, {name} FROM (VALUES {rows}) t(position, {name}))"
 
 
-def key_hash(key: str, seed: int = 42) -> str:
-    return (f"CAST(((CAST({key} % {MODULUS} AS HUGEINT)) * {MULTIPLIER} + {seed * SEED_STEP}) % {MODULUS} "
-            f"AS BIGINT)")
+def key_hash(key: str, seed: int = 42, salt: str = "split") -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{salt}', '{seed}', coalesce(CAST({key} AS VARCHAR), ''))), 1, {DIGITS}) AS BIGINT)"
 
 
-def split(key: str, test_fraction: float = 0.2, seed: int = 42) -> str:
-    return f"(CASE WHEN {key_hash(key, seed)} < {test_cut(test_fraction)} THEN 'test' ELSE 'train' END)"
+def _hash_at(rank: str, seed: int, keys: str, table: str) -> str:
+    """The hash at a rank (from 1) of all keys of a table."""
+    return f"(SELECT list_sort(list({key_hash(keys, seed)}))[CAST({rank} AS BIGINT)] FROM {table})"
 
 
-def fold(key: str, k: int, test_fraction: float = 0.2, seed: int = 42) -> str:
-    lo = test_cut(test_fraction)
-    width = float(MODULUS - lo)
+def split(key: str, test_fraction: float = 0.2, seed: int = 42, keys: str = "c_custkey", table: str = "customer") -> str:
+    end = _hash_at(f"CEIL({test_fraction!r}::DOUBLE * COUNT(*))", seed, keys, table)
+    return f"(CASE WHEN {key_hash(key, seed)} <= {end} THEN 'test' ELSE 'train' END)"
+
+
+def fold(key: str, k: int, test_fraction: float = 0.2, seed: int = 42, keys: str = "c_custkey", table: str = "customer") -> str:
+    test = f"CEIL({test_fraction!r}::DOUBLE * COUNT(*))"
     h = key_hash(key, seed)
-    return (f"(CASE WHEN {h} >= {lo} THEN LEAST(CAST(FLOOR(CAST({h} - {lo} AS DOUBLE) * {k} / {width!r}) "
-            f"AS INTEGER), {k - 1}) END)")
+
+    def end(i: int) -> str:
+        left = f"(COUNT(*) - {test})"
+        return _hash_at(f"{test} + {i + 1} * FLOOR({left} / {k}) + LEAST({i + 1}, {left} % {k})", seed, keys, table)
+    passed = " + ".join(f"CAST({h} > {end(i)} AS INTEGER)" for i in range(k - 1))
+    return f"(CASE WHEN {h} > {_hash_at(test, seed, keys, table)} THEN {passed} END)"
 
 
 def with_customers(*ctes: str) -> str:

@@ -39,9 +39,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     unset (tests on one machine); the library itself never invents a local path.
     """
     d = spark.conf.get(CHECKPOINT_CONF, None)
-    if not d and fallback:
-        spark.conf.set(CHECKPOINT_CONF, fallback)
-        d = fallback
+    # The setting itself can't be changed at run time; the context's folder can.
+    d = d or fallback
     if d:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:

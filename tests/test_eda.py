@@ -128,3 +128,17 @@ def test_crosstab_finds_every_value(spark):
 def test_density_of_a_wide_column_is_not_zero(spark):
     df = spark.range(100).selectExpr("id * 1e8 AS x")
     assert min(r["density"] for r in eda.density(df, "x").collect()) > 0
+
+
+def test_scatter_sample_sees_every_cell_and_is_independent_of_the_split(spark):
+    from pyspark.sql import functions as F
+    from spendlens.operators import split
+    df = spark.range(4000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") % 97).cast("double").alias("x"),
+                                  (F.col("id") % 13).cast("double").alias("y"))
+    got = eda.scatter_sample(df.repartition(5), "k", ("x", "y"), per_cell=4, bins=6)
+    cells = {(r.bin_x, r.bin_y): r["count"] for r in eda.grid_counts(df, ("x", "y"), "x", 6).collect()}
+    taken = {(r.bin_x, r.bin_y): r["count"] for r in got.groupBy("bin_x", "bin_y").count().collect()}
+    assert taken == {c: min(4, n) for c, n in cells.items()}
+    assert sorted(r.k for r in got.collect()) == sorted(r.k for r in eda.scatter_sample(df, "k", ("x", "y"), 4, 6).collect())
+    share = got.filter(split.fit_split(df, "k").is_test()).count() / got.count()
+    assert 0.05 < share < 0.4

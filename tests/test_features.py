@@ -75,22 +75,45 @@ def test_apply_codes_unseen_rules(spark):
     assert whole == {1: 0, 2: 0, 3: 0}
 
 
-def test_split_stable_and_share(spark):
-    df = spark.range(1, 20001).withColumnRenamed("id", "k")
-    a = split.hash_split(df, "k").repartition(7)
-    b = split.hash_split(df, "k").repartition(3)
-    ta = {r["k"] for r in a.filter(F.col("split") == "test").collect()}
-    tb = {r["k"] for r in b.filter(F.col("split") == "test").collect()}
-    assert ta == tb and abs(len(ta) / 20000 - 0.2) < 0.01
-    folds = df.withColumn("f", split.fold_of("k", 3)).groupBy("f").count().collect()
-    cnt = {r["f"]: r["count"] for r in folds}
-    assert cnt[None] == len(ta) and set(cnt) == {None, 0, 1, 2}
-
-
-def test_split_large_keys_exact(spark):
-    big = 2 ** 62 + 12345
-    r = spark.createDataFrame([(big,)], "k long").select(split.key_hash("k")).first()[0]
-    assert r == ((big % 2 ** 32) * 2654435761 + 42 * 40503) % 2 ** 32
+def _sides(df, sides):
+    return df.select("k", sides.side().alias("s"), sides.fold().alias("f")).collect()
+
+
+def test_split_has_exact_sizes_in_any_partitioning(spark):
+    for n in (1, 4, 7, 1003):
+        df = spark.range(1, n + 1).withColumnRenamed("id", "k")
+        sides = split.fit_split(df.repartition(7), "k", folds=3)
+        assert sides == split.fit_split(df.repartition(2), "k", folds=3)
+        rows = _sides(df, sides)
+        test = -(-n // 5)
+        assert sum(r.s == "test" for r in rows) == test
+        folds = [sum(r.f == i for r in rows) for i in range(3)]
+        assert folds == [(n - test) // 3 + (i < (n - test) % 3) for i in range(3)]
+        assert all((r.f is None) == (r.s == "test") for r in rows)
+
+
+def test_another_seed_is_another_split(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    a, b = split.fit_split(df, "k", seed=42), split.fit_split(df, "k", seed=43)
+    moved = df.filter(a.is_test() != b.is_test()).count() / 5000
+    assert 0.28 < moved < 0.36  # 2 * 0.2 * 0.8
+    far = spark.createDataFrame([(i + (j << 32),) for i in range(200) for j in range(2)], "k long")
+    sides = split.fit_split(far, "k")
+    apart = far.withColumn("t", sides.is_test()).groupBy(F.col("k") % (1 << 32)).agg(F.min("t") != F.max("t")).collect()
+    assert any(r[1] for r in apart)
+
+
+def test_split_of_text_keys_repeated_and_null_keys(spark):
+    keys = [f"c-{i}" for i in range(100)]
+    df = spark.createDataFrame([(k,) for k in keys + keys[:50]] + [(None,)] * 3, "k string")
+    sides = split.fit_split(df, "k", folds=2)
+    rows = _sides(df, sides)
+    assert len({(r.k, r.s, r.f) for r in rows}) == 101
+    assert abs(sum(r.s == "test" for r in rows) - 31) <= 3
+    none = split.fit_split(df, "k", test_fraction=0.0, folds=2)
+    assert all(r.s == "train" for r in _sides(df, none))
+    assert split.fit_split(df.limit(0), "k").test_end == -1
+    assert all(r.s == "test" for r in _sides(df, split.fit_split(df, "k", test_fraction=1.0, folds=2)))
 
 
 def test_standardise_population_sd(spark):

@@ -93,7 +93,7 @@ def test_grid_mapping():
 def test_grid_search_small(spark):
     df, _ = _data(spark, 150)
     from spendlens.operators import split
-    df = models.assemble(df, ["x1", "x2"]).withColumn("fold", split.fold_of("k", 3, 0.0))
+    df = models.assemble(df, ["x1", "x2"]).withColumn("fold", split.fit_split(df, "k", 0.0, folds=3).fold())
     est = models.forest_estimator("y")
     cvm, res = models.grid_search(df, est, models.forest_param_maps(est, {"n_estimators": [5], "max_depth": [2, 4]}),
                                   "y", "fold", 2)
