@@ -33,12 +33,12 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def settle(stats: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """A statistics table used more than once: its rows as a literal table
-    when there are at most ``max_rows`` (computed once, checked size), else
+def settled(stats: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """A statistics table used more than once, and whether it is small: its rows as a
+    literal table when there are at most ``max_rows`` (computed once, checked size), else
     the lazy frame itself."""
     rows = bounded_rows(stats, MAX_BROADCAST_ROWS if max_rows is None else max_rows)
-    return stats.sparkSession.createDataFrame(rows, stats.schema) if rows is not None else stats
+    return (stats, False) if rows is None else (stats.sparkSession.createDataFrame(rows, stats.schema), True)
 
 
 def salted_join(big: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -52,11 +52,13 @@ def salted_join(big: DataFrame, stats: DataFrame, keys: Sequence[str], how: str
 
 
 def join_group_stats(big: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner",
-                     max_rows: int | None = None, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+                     max_rows: int | None = None, salt_buckets: int = SALT_BUCKETS, small: bool = False) -> DataFrame:
     """Attach per-group ``stats`` (unique on ``keys``) to ``big``: broadcast
     behind a checked row count (``max_rows``, default ``MAX_BROADCAST_ROWS``),
-    salted shuffle join beyond it."""
+    salted shuffle join beyond it. ``small``: the count was checked before (``settled``)."""
     keys = list(keys)
+    if small:
+        return big.join(F.broadcast(stats), keys, how) if keys else big.crossJoin(F.broadcast(stats))
     max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
     if not keys:
         rows = bounded_rows(stats, 1)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.joins import join_group_stats, settle
+from spendlens.functions.joins import join_group_stats, settled
 from spendlens.functions.util import as_double, rows_from_one_row, small, with_stats
 from spendlens.operators import ranks
 from spendlens.operators.split import key_hash
@@ -173,59 +173,66 @@ def box_stats(df: DataFrame, value: str, by: str | Column | None = None, whis: f
 
 
 # --------------------------------------------------------------------- density
+#: Bandwidths beyond which a Gaussian kernel (below 1.3e-14 of its peak) is left out.
+KERNEL_REACH = 8.0
+
+
 def density(df: DataFrame, value: str, by: str | None = None, gridsize: int = 100,
-            cut: float = 2.0, method: str = "exact", fine_bins: int = 4096) -> DataFrame:
+            cut: float = 2.0, method: str = "linear", fine_bins: int = 4096) -> DataFrame:
     """AGG14: Gaussian kernel density on a ``gridsize``-point grid (violin plot).
 
     Bandwidth by Scott's rule, ``sd * n^(-1/5)`` with the sample sd; the grid
-    runs ``cut`` bandwidths past the data. Work is linear in the data: values
-    are first counted per group (a partial + final aggregate), then every
-    grid point is one sum of kernels over the counted values of its group.
-
-    ``method="exact"`` counts distinct values: right for bounded domains
-    (ages, scores, quantities). For wide continuous columns the distinct
-    values are about as many as the rows, so ``method="binned"`` first counts
-    the rows in ``fine_bins`` equal-width bins per group and places each
-    count at its bin centre (binned kernel estimate): the kernel pass is then
-    ``fine_bins x gridsize`` per group whatever the row count, and no value
-    moves by more than half a bin width.
+    runs ``cut`` bandwidths past the data.
+
+    A binned convolution: one aggregate with two sums deals every value to the two of ``fine_bins + 1``
+    evenly spaced nodes that it lies between, in proportion to its nearness
+    (linear binning, whose error falls with the square of the spacing), and the kernel, cut off at
+    ``KERNEL_REACH`` bandwidths, is then laid over the few nodes of each group. So the
+    work on rows does not depend on the grid, and the work on the grid not on the rows or on
+    how many values are distinct. ``method="binned"`` puts a value's whole weight at the centre of its
+    bin. A constant column has bandwidth 0 and a null density.
     """
+    if method not in ("linear", "binned"):
+        raise ValueError("method is 'linear' or 'binned'")
     x = F.col(value).cast("double")
     keys = [by] if by else []
     src = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull())
     if by:
         src = src.filter(F.col(by).isNotNull())
-    aggs = [F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd"),
-            F.min("__x").alias("__mn"), F.max("__x").alias("__mx")]
-    st = (src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs))
+    st = src.groupBy(*keys).agg(F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd"),
+                                F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2))) \
         .withColumn("__lo", F.col("__mn") - cut * F.col("__h")) \
         .withColumn("__step", (F.col("__mx") + cut * F.col("__h") - F.col("__lo")) / (gridsize - 1))
-    if method == "exact":
-        vc = src.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    elif method == "binned":
-        st = settle(st)
-        rows = join_group_stats(src, st.select(*keys, "__mn", "__mx"), keys)
-        mn, mx = F.col("__mn"), F.col("__mx")
-        width = (mx - mn) / fine_bins
-        b = F.when(mx == mn, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("__x") - mn) / width), F.lit(fine_bins - 1))).cast("long")
-        centre = F.when(mx == mn, mn).otherwise(mn + (b.cast("double") + 0.5) * width)
-        vc = rows.groupBy(*keys, centre.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    st, few = settled(st)
+    rows = join_group_stats(src, st.select(*keys, "__mn", "__mx"), keys, small=few)
+    spacing = (F.col("__mx") - F.col("__mn")) / fine_bins
+    place = F.when(F.col("__mx") == F.col("__mn"), F.lit(0.0)).otherwise((F.col("__x") - F.col("__mn")) / spacing)
+    cell = F.least(F.floor(place), F.lit(fine_bins - 1)).cast("long")
+    # Two sums per occupied cell; at most ``fine_bins`` cells in a group.
+    cells = rows.groupBy(*keys, cell.alias("__cell")).agg(F.count(F.lit(1)).cast("double").alias("__all"), F.sum(place - cell).alias("__right"))
+    if method == "linear":
+        ends = F.array(F.struct(F.col("__cell").cast("double").alias("__at"), (F.col("__all") - F.col("__right")).alias("__w")),
+                       F.struct((F.col("__cell") + 1).cast("double").alias("__at"), F.col("__right").alias("__w")))
+        cells = cells.select(*keys, F.inline(ends)).groupBy(*keys, "__at").agg(F.sum("__w").alias("__w"))
     else:
-        raise ValueError("method is 'exact' or 'binned'")
-    j = join_group_stats(vc, st, keys)
-    # One sum per grid point over the counted values: no row is multiplied by the grid.
-    sums = []
-    for p in range(gridsize):
-        # Bandwidth 0 (constant column): null density.
-        sums.append(F.expr(f"sum(__c * exp(-0.5D * power(try_divide(__lo + {float(p)}D * __step - __x, __h), 2)))").alias(f"__s{p}"))
-    one = j.groupBy(*keys).agg(F.first("__lo").alias("__lo"), F.first("__step").alias("__step"),
-                               F.first(F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)).alias("__norm"), *sums)
-    points = F.array(*[F.struct(F.lit(p).cast("long").alias("point"), F.col(f"__s{p}").alias("__s")) for p in range(gridsize)])
-    out = one.select(*keys, "__lo", "__step", "__norm", F.inline(points))
+        cells = cells.select(*keys, (F.col("__cell") + 0.5).alias("__at"), F.col("__all").alias("__w"))
+    # Each node reaches the points within KERNEL_REACH bandwidths: at most ``gridsize`` of them, for at most fine_bins + 1 nodes a group.
+    reach = KERNEL_REACH * F.col("__h")
+    centre = F.col("__mn") + F.col("__at") * F.when(F.col("__mx") == F.col("__mn"), F.lit(0.0)).otherwise(spacing)
+    first = F.greatest(F.lit(0), F.ceil((centre - reach - F.col("__lo")) / F.col("__step")).cast("int"))
+    last = F.least(F.lit(gridsize - 1), F.floor((centre + reach - F.col("__lo")) / F.col("__step")).cast("int"))
+    near = join_group_stats(cells, st, keys, small=few).where(F.col("__h") > 0).select(*keys, "__w", "__lo", "__step", "__h", centre.alias("__t"), first.alias("__p0"), last.alias("__p1"))
+    points = near.where("__p0 <= __p1").select(*keys, "__w", "__lo", "__step", "__h", "__t", F.explode(F.sequence("__p0", "__p1")).alias("__p"))
+    z = (F.col("__lo") + F.col("__p").cast("double") * F.col("__step") - F.col("__t")) / F.col("__h")
+    sums = points.groupBy(*keys, F.col("__p").cast("long").alias("point")).agg(F.sum(F.col("__w") * F.exp(z * z * -0.5)).alias("__s"))
+    grid = st.select(*keys, "__lo", "__step", "__h", (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)).alias("__norm"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gridsize - 1).cast("long"))).alias("point"))
+    out = grid.join(small(sums) if few else sums, [*keys, "point"], "left")
+    # Without a bandwidth the density is undefined.
+    total = F.when(F.col("__h") > 0, F.coalesce("__s", F.lit(0.0)))
     return out.select(*keys, "point", (F.col("__lo") + F.col("point").cast("double") * F.col("__step")).alias("x"),
-                      F.try_divide(F.col("__s"), F.col("__norm")).alias("density"))
+                      F.try_divide(total, F.col("__norm")).alias("density"))
 
 
 # ------------------------------------------------------------------ trend line
@@ -251,8 +258,8 @@ Z95 = 1.959963984540054  # two-sided 95 % normal quantile
 def trend_band(df: DataFrame, x: str, y: str, points: int = 100, z: float = Z95) -> DataFrame:
     """AGG16: fitted line and its 95 % band on a grid over the x range.
 
-    Closed form ``yhat +- z * s * sqrt(1/n + (x0 - xbar)^2 / Sxx)`` instead of
-    the plotting library's bootstrap (a stated deviation).
+    Closed form ``yhat +- z * s * sqrt(1/n + (x0 - xbar)^2 / Sxx)``; ``bootstrap_band``
+    is the resampled band that plotting libraries draw.
     """
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     st = df.agg(F.regr_slope(yy, xx).alias("b"), F.regr_intercept(yy, xx).alias("a"),
@@ -271,6 +278,59 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 100, z: float = Z95)
                     as_double(fit - half).alias("lower"), as_double(fit + half).alias("upper"))
 
 
+#: Resamples whose counts come from one 128-bit hash, 32 bits each.
+DRAWS = 4
+
+
+def poisson_ends(least: float = 2.0 ** -33) -> list[float]:
+    """P(X <= k) of a Poisson variable with mean 1, up to the k beyond which less than ``least`` lies."""
+    ends, term, total = [], math.exp(-1.0), 0.0
+    while True:
+        total += term
+        if 1.0 - total < least:
+            return ends
+        ends.append(total)
+        term /= len(ends)
+
+
+def bootstrap_band(df: DataFrame, x: str, y: str, key: str, points: int = 100, n_boot: int = 1000, level: float = 0.95,
+                   seed: int = 42) -> DataFrame:
+    """AGG16 as plotting libraries draw it: the fitted line on a grid over the x range and, per grid point, the
+    percentiles of the lines of ``n_boot`` resamples.
+
+    A Poisson bootstrap: a resample takes each row as often as a Poisson number with mean 1 says, drawn
+    by hashing seed, row key and resample, so a rerun on other partitions gives the same band. One
+    pass adds every row to the five moments of every resample; each task sends ``n_boot`` rows on,
+    however many it read. Moments are taken about the means. Rows with a null x or y don't count;
+    a resample without two different x is left out; a constant x or an empty table gives null bands."""
+    src = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__k"), F.col(x).cast("double").alias("__x"),
+                    F.col(y).cast("double").alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    st = src.agg(F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"),
+                 F.regr_slope("__y", "__x").alias("__b"), F.regr_intercept("__y", "__x").alias("__a"))
+    rows = with_stats(src, st).select("__k", (F.col("__x") - F.col("__mx")).alias("__x"), (F.col("__y") - F.col("__my")).alias("__y"))
+    chunks = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // DRAWS) - 1))).alias("__chunk"))
+    text = F.md5(F.concat_ws("|", F.lit("boot"), F.lit(str(seed)), F.col("__k"), F.col("__chunk").cast("string")))
+    drawn = chunks.select("__x", "__y", "__chunk", text.alias("__t"))
+    numbers = F.array(*[F.conv(F.substring("__t", 8 * j + 1, 8), 16, 10).cast("double") / float(1 << 32) for j in range(DRAWS)])
+    each = drawn.select("__x", "__y", "__chunk", F.posexplode(numbers).alias("__j", "__u"))
+    weight = F.lit(len(poisson_ends()))
+    for k, end in reversed(list(enumerate(poisson_ends()))):
+        weight = F.when(F.col("__u") < end, F.lit(k)).otherwise(weight)
+    each = each.select("__x", "__y", (F.col("__chunk") * DRAWS + F.col("__j")).alias("__boot"), weight.cast("double").alias("__w"))
+    w, xx, yy = F.col("__w"), F.col("__x"), F.col("__y")
+    sums = each.where((w > 0) & (F.col("__boot") < n_boot)).groupBy("__boot").agg(
+        F.sum(w).alias("s"), F.sum(w * xx).alias("sx"), F.sum(w * yy).alias("sy"), F.sum(w * xx * xx).alias("sxx"), F.sum(w * xx * yy).alias("sxy"))
+    slope = F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    lines = sums.select(slope.alias("__slope"), F.try_divide(F.col("sy") - slope * F.col("sx"), F.col("s")).alias("__at")).where("__slope IS NOT NULL")
+    grid = st.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("point"))
+    grid = grid.withColumn("x", F.col("__lo") + F.col("point").cast("double") * (F.col("__hi") - F.col("__lo")) / (points - 1))
+    # points x n_boot values.
+    spread = grid.crossJoin(small(lines)).groupBy("point").agg(
+        F.percentile(F.col("__my") + F.col("__at") + F.col("__slope") * (F.col("x") - F.col("__mx")), [(1 - level) / 2, (1 + level) / 2]).alias("__q"))
+    out = grid.join(small(spread), "point", "left")
+    return out.select("point", "x", (F.col("__a") + F.col("__b") * F.col("x")).alias("fit"), F.col("__q")[0].alias("lower"), F.col("__q")[1].alias("upper"))
+
+
 # ------------------------------------------------------------------ grid counts
 def with_cells(src: DataFrame, dims: Sequence[str], bins: int) -> DataFrame:
     """Rows with all ``dims`` present, and per dim ``bin_<dim>``, its equal-width cell between least and largest value."""

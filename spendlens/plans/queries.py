@@ -507,12 +507,16 @@ def box_by_age_bin(spark, sf):
     return eda.box_stats(df, TARGET, by="age_bin_index")
 
 
-def _density_sql(view: str, col: str, by: str, gridsize: int = 100, cut: float = 2.0) -> str:
+def _density_sql(view: str, col: str, by: str, gridsize: int = 100, cut: float = 2.0, bins: int = 4096) -> str:
     return f""",
 src AS (SELECT {by} AS g, CAST({col} AS DOUBLE) AS x FROM {view} WHERE {col} IS NOT NULL AND {by} IS NOT NULL),
-vc AS (SELECT g, x, COUNT(*) AS c FROM src GROUP BY g, x),
 st0 AS (SELECT g, COUNT(x) AS n, STDDEV_SAMP(x) AS sd, MIN(x) AS mn, MAX(x) AS mx FROM src GROUP BY g),
-st AS (SELECT g, n, sd * POW(CAST(n AS DOUBLE), -0.2) AS h, mn, mx FROM st0),
+st AS (SELECT g, n, sd * POW(CAST(n AS DOUBLE), -0.2) AS h, mn, mx, (mx - mn) / {bins} AS w FROM st0),
+pl AS (SELECT src.g, CASE WHEN st.mx = st.mn THEN 0.0 ELSE (src.x - st.mn) / st.w END AS pos FROM src JOIN st ON st.g = src.g),
+ce AS (SELECT g, CAST(LEAST(FLOOR(pos), {bins - 1}) AS BIGINT) AS b, COUNT(*) AS c, SUM(pos - LEAST(FLOOR(pos), {bins - 1})) AS r
+       FROM pl GROUP BY 1, 2),
+nd AS (SELECT g, b, SUM(c) AS c FROM (SELECT g, b, c - r AS c FROM ce UNION ALL SELECT g, b + 1, r FROM ce) GROUP BY g, b),
+vc AS (SELECT nd.g, st.mn + CAST(nd.b AS DOUBLE) * st.w AS x, nd.c FROM nd JOIN st ON st.g = nd.g),
 st2 AS (SELECT g, n, h, mn - {cut!r} * h AS lo, (mx + {cut!r} * h - (mn - {cut!r} * h)) / {gridsize - 1} AS step FROM st),
 pts AS (SELECT CAST(range AS BIGINT) AS point FROM range({gridsize})),
 j AS (SELECT vc.g, p.point, st2.lo + CAST(p.point AS DOUBLE) * st2.step AS gx, vc.x, vc.c, st2.n, st2.h
@@ -562,6 +566,33 @@ def trend_band(spark, sf):
     return eda.trend_band(_customers(spark, sf), INCOME, TARGET)
 
 
+def _bootstrap_sql(n_boot: int = 200, points: int = 100, seed: int = 42) -> str:
+    ends = eda.poisson_ends()
+    weight = "CASE " + " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(ends)) + f" ELSE {len(ends)} END"
+    return S.with_customers(f"""
+src AS (SELECT customer_id AS k, CAST(annual_income_k AS DOUBLE) AS x, CAST(spending_score AS DOUBLE) AS y FROM customers
+        WHERE annual_income_k IS NOT NULL AND spending_score IS NOT NULL),
+st AS (SELECT AVG(x) AS mx, AVG(y) AS my, MIN(x) AS lo, MAX(x) AS hi, REGR_SLOPE(y, x) AS b, REGR_INTERCEPT(y, x) AS a FROM src),
+dr AS (SELECT x - mx AS x, y - my AS y, chunk, md5(concat_ws('|', 'boot', '{seed}', k::VARCHAR, chunk::VARCHAR)) AS t
+       FROM src CROSS JOIN st CROSS JOIN range({n_boot // eda.DRAWS}) AS c(chunk)),
+us AS (SELECT x, y, chunk * {eda.DRAWS} + j AS boot, ('0x' || substr(t, CAST(8 * j + 1 AS INT), 8))::BIGINT / 4294967296.0::DOUBLE AS u
+       FROM dr CROSS JOIN range({eda.DRAWS}) AS d(j)),
+ws AS (SELECT x, y, boot, CAST({weight} AS DOUBLE) AS w FROM us),
+sm AS (SELECT boot, SUM(w) AS s, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx, SUM(w * x * y) AS sxy FROM ws GROUP BY boot),
+ln AS (SELECT (s * sxy - sx * sy) / (s * sxx - sx * sx) AS slope, s, sx, sy FROM sm),
+gr AS (SELECT CAST(range AS BIGINT) AS point, lo + CAST(range AS DOUBLE) * (hi - lo) / {points - 1} AS x, st.* FROM range({points}) CROSS JOIN st),
+bd AS (SELECT point, QUANTILE_CONT(my + (sy - slope * sx) / s + slope * (gr.x - mx), 0.025) AS lower,
+              QUANTILE_CONT(my + (sy - slope * sx) / s + slope * (gr.x - mx), 0.975) AS upper FROM gr CROSS JOIN ln GROUP BY point)""") + f"""
+SELECT gr.point, {S.r6('gr.x')} AS x, {S.r6('a + b * gr.x')} AS fit, {S.r6('lower')} AS lower, {S.r6('upper')} AS upper
+FROM gr JOIN bd ON bd.point = gr.point"""
+
+
+@query("trend_band_bootstrap", _bootstrap_sql())
+def trend_band_bootstrap(spark, sf):
+    """AGG16: fitted line of the score on income with the 95 % band of 200 resamples."""
+    return eda.bootstrap_band(_customers(spark, sf), INCOME, TARGET, KEY, n_boot=200)
+
+
 def _grid_sql(view: str, dims, value: str, bins: int = 10) -> str:
     d = [f"CAST({c} AS DOUBLE)" for c in dims]
     st = ", ".join(f"MIN(d{i}) AS mn{i}, MAX(d{i}) AS mx{i}" for i in range(len(dims)))

@@ -92,15 +92,32 @@ def test_grid_counts_add_up(spark):
     assert got["bin_a"].between(0, 9).all() and got["bin_b"].between(0, 9).all()
 
 
-def test_binned_density_close_to_exact(spark):
+@pytest.mark.parametrize("method,bins,bound", [("linear", 4096, 1e-6), ("linear", 512, 1e-4), ("binned", 4096, 1e-3)])
+def test_binned_density_close_to_exact(spark, method, bins, bound):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(0, 1, 3000), rng.normal(5, 0.5, 1000)])
     df = spark.createDataFrame([(("a" if i % 4 else "b"), float(v)) for i, v in enumerate(vals)], "g string, x double")
-    exact = {(r["g"], r["point"]): r["density"] for r in eda.density(df, "x", by="g").collect()}
-    binned = {(r["g"], r["point"]): r["density"] for r in eda.density(df, "x", by="g", method="binned").collect()}
-    assert exact.keys() == binned.keys() and len(exact) == 200
-    peak = max(exact.values())
-    assert max(abs(exact[k] - binned[k]) for k in exact) < 1e-3 * peak
+    got = eda.density(df, "x", by="g", method=method, fine_bins=bins).collect()
+    assert len(got) == 200
+    for g in "ab":
+        own = np.array([v for i, v in enumerate(vals) if ("a" if i % 4 else "b") == g])
+        h = own.std(ddof=1) * len(own) ** -0.2
+        grid = np.linspace(own.min() - 2 * h, own.max() + 2 * h, 100)
+        exact = np.exp(-0.5 * ((grid[:, None] - own[None, :]) / h) ** 2).sum(1) / (len(own) * h * math.sqrt(2 * math.pi))
+        near = np.array([r["density"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["point"])])
+        assert np.abs(near - exact).max() < bound * exact.max()
+
+
+def test_density_rows_stay_in_generated_code(spark):
+    """The pass over the rows is one hash aggregate with two sums, inside whole-stage code generation."""
+    df = spark.range(1000).selectExpr("CAST(id % 7 AS STRING) AS g", "CAST(id AS DOUBLE) AS x")
+    out = eda.density(df, "x", by="g")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in final and "SortAggregate" not in final
+    aggregates = [line for line in final.splitlines() if "HashAggregate(keys" in line]
+    assert aggregates and all("* HashAggregate" in line or "*(" in line for line in aggregates)
 
 
 def test_binned_density_constant_column(spark):
@@ -142,3 +159,28 @@ def test_scatter_sample_sees_every_cell_and_is_independent_of_the_split(spark):
     assert sorted(r.k for r in got.collect()) == sorted(r.k for r in eda.scatter_sample(df, "k", ("x", "y"), 4, 6).collect())
     share = got.filter(split.fit_split(df, "k").is_test()).count() / got.count()
     assert 0.05 < share < 0.4
+
+
+def test_poisson_ends():
+    ends = eda.poisson_ends()
+    assert ends[0] == pytest.approx(math.exp(-1)) and ends[1] == pytest.approx(2 * math.exp(-1)) and 1 - ends[-1] < 1e-9 and 10 < len(ends) < 16
+
+
+def test_bootstrap_band_agrees_with_theory_and_partitioning(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 10, 400)
+    y = 2 * x + 1 + rng.normal(0, 3, 400)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k long, x double, y double")
+    got = eda.bootstrap_band(df.repartition(5), "x", "y", "k", points=5, n_boot=400).orderBy("point").collect()
+    again = eda.bootstrap_band(df.repartition(2), "x", "y", "k", points=5, n_boot=400).orderBy("point").collect()
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in again]
+    closed = eda.trend_band(df, "x", "y", points=5).orderBy("point").collect()
+    for b, c in zip(got, closed):
+        assert b.fit == pytest.approx(c.fit) and b.lower < b.fit < b.upper
+        assert (b.upper - b.lower) == pytest.approx(c.upper - c.lower, rel=0.25)
+
+
+def test_bootstrap_band_of_constant_and_empty_input(spark):
+    flat = spark.createDataFrame([(i, 1.0, float(i)) for i in range(10)] + [(None, None, 3.0)], "k long, x double, y double")
+    assert {r.lower for r in eda.bootstrap_band(flat, "x", "y", "k", points=3, n_boot=8).collect()} == {None}
+    assert {r.x for r in eda.bootstrap_band(flat.limit(0), "x", "y", "k", points=3, n_boot=8).collect()} == {None}
