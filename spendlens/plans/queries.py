@@ -16,7 +16,7 @@ from spendlens.functions.util import freeze, r6, reported
 from spendlens.operators import eda, encode, features, fill, profile, scale, split
 from spendlens.plans import sqltext as S
 from spendlens.schema import AGE, GENDER, INCOME, KEY, MODEL_FEATURES, TARGET
-from spendlens.sources import demo
+from spendlens.sources import demo, order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1265,6 +1265,39 @@ def events_density(spark, sf):
     return eda.density(_events(spark, sf), "value", by="event_type")
 
 
+_FILE_ROWS = "SELECT *, ROW_NUMBER() OVER () - 1 AS rn FROM events"
+
+
+@query("file_order_fill", f"""
+SELECT event_id,
+  COALESCE(LAST_VALUE(v IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           FIRST_VALUE(v IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS value,
+  COALESCE(LAST_VALUE(p IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           FIRST_VALUE(p IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS event_type
+FROM (SELECT event_id, rn, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v,
+             CASE WHEN user_id % 2 = 0 THEN event_type END AS p FROM ({_FILE_ROWS})) t""")
+def file_order_fill(spark, sf):
+    """FILL1 + FILL2 in file order, without a key: gaps in values and types of events filled from the rows around them."""
+    ev = order.read_ordered(spark, f"{sf}/events.parquet").select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+        F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("event_type"), order.ORDER)
+    return order.fill_in_file_order(ev, ["value", "event_type"]).drop(order.ORDER)
+
+
+@query("file_order_series", f"SELECT CAST(rn AS BIGINT) AS row_number, event_id, value FROM ({_FILE_ROWS}) t")
+def file_order_series(spark, sf):
+    """RES5 in file order: every event with its position in the file."""
+    return order.number_in_file_order(order.read_ordered(spark, f"{sf}/events.parquet").select("event_id", "value", order.ORDER))
+
+
+@query("file_order_head", """
+SELECT CAST(rn AS BIGINT) AS row_number, l_orderkey, l_linenumber, l_quantity
+FROM (SELECT *, ROW_NUMBER() OVER () - 1 AS rn FROM lineitem) t WHERE rn < 10""")
+def file_order_head(spark, sf):
+    """PRJ1 in file order: the first ten rows of the first file (the limit is the feature)."""
+    return order.head_in_file_order(spark, f"{sf}/lineitem.parquet", 10, columns=["l_orderkey", "l_linenumber", "l_quantity"])
+
+
 @query("events_fill", """
 SELECT event_id,
   COALESCE(LAST_VALUE(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
