@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from spendlens.functions.joins import bounded_rows, join_group_stats
 from spendlens.operators.fill import ordered_positions
 from spendlens.functions.util import small
+from spendlens.session import stable_copy
 
 NULL_TEXT = "nan"
 
@@ -52,6 +53,18 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str], max_levels: int = 10000)
     return ordered_positions(vals, "column", "value", "code")
 
 
+def frozen_codes(codes: DataFrame, max_levels: int = 10000) -> dict[str, dict[str, int]] | DataFrame:
+    """A fitted code table that no longer depends on its fit: literals up to ``max_levels`` levels, beyond
+    it a stored table, which ``apply_codes`` joins."""
+    rows = bounded_rows(codes, max_levels)
+    if rows is None:
+        return stable_copy(codes.select("column", "value", "code"))
+    out: dict[str, dict[str, int]] = {}
+    for r in rows:
+        out.setdefault(r["column"], {})[r["value"]] = int(r["code"])
+    return out
+
+
 def collect_codes(codes: DataFrame, max_levels: int = 10000) -> dict[str, dict[str, int]]:
     """Freeze a code table as {column: {value: code}}; refuses more than
     ``max_levels`` rows so that an id-like column cannot flood the driver."""

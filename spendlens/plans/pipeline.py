@@ -36,7 +36,7 @@ class FittedPipeline:
     feature_cols: list[str]
     income_min: float
     income_max: float
-    codes: dict
+    codes: dict | DataFrame    # literals, or a stored table (column, value, code) beyond 10,000 levels
     scaler: dict
     offsets: dict = field(default_factory=dict)   # label offset per model (boosting starts from the mean)
     models: dict = field(default_factory=dict)
@@ -46,7 +46,8 @@ class FittedPipeline:
     # ------------------------------------------------------------ persistence
     def state(self) -> dict:
         return {"key": self.key, "target": self.target, "feature_cols": self.feature_cols,
-                "income_min": self.income_min, "income_max": self.income_max, "codes": self.codes,
+                "income_min": self.income_min, "income_max": self.income_max,
+                "codes": self.codes if isinstance(self.codes, dict) else None,
                 "scaler": {k: list(v) for k, v in self.scaler.items()}, "offsets": self.offsets,
                 "best": self.best, "params": self.params,
                 "models": sorted(n for n, m in self.models.items() if not isinstance(m, models.OlsModel)),
@@ -56,6 +57,8 @@ class FittedPipeline:
         """State as one JSON line through Spark's writer (any shared file system), models beside it."""
         spark.createDataFrame([(json.dumps(self.state()),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/state")
+        if not isinstance(self.codes, dict):
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         for name, m in self.models.items():
             if not isinstance(m, models.OlsModel):
                 m.write().overwrite().save(f"{path}/models/{name}")
@@ -66,6 +69,8 @@ class FittedPipeline:
         ms = {n: _LOADERS[n].load(f"{path}/models/{n}") for n in st.pop("models")}
         ms.update({n: models.OlsModel.from_dict(d) for n, d in st.pop("ols", {}).items()})
         st["scaler"] = {k: tuple(v) for k, v in st["scaler"].items()}
+        if st["codes"] is None:
+            st["codes"] = spark.read.parquet(f"{path}/codes")
         return cls(models=ms, **st)
 
 
@@ -98,7 +103,7 @@ def fit(df: DataFrame, key: str = KEY, target: str = TARGET, which=MODEL_ORDER,
     stats = {"income_min": mm["lo"], "income_max": mm["hi"]}
     feat = features.derive_features(base, stats=stats)
     src_feat = feat.filter(F.col("split") == "train") if fit_on == "train" else feat
-    codes = encode.collect_codes(encode.fit_label_codes(src_feat, list(TEXT_FEATURES)))
+    codes = encode.frozen_codes(encode.fit_label_codes(src_feat, list(TEXT_FEATURES)))
     enc = encode.apply_codes(feat, codes, list(TEXT_FEATURES))
     feature_cols = list(MODEL_FEATURES)
     scaler = scale.collect_scaler(enc, feature_cols, where=F.col("split") == "train")
@@ -199,8 +204,13 @@ def score(df: DataFrame, fitted: FittedPipeline, model: str | None = None, segme
     feat = features.derive_features(work, bands_mode, stats, age=f"{pfx}{AGE}", income=f"{pfx}{INCOME}")
     from spendlens.schema import DERIVED
     feat = feat.withColumnsRenamed({d: f"{pfx}{d}" for d in DERIVED})
-    codes = {f"{pfx}{c}": v for c, v in fitted.codes.items()}
-    enc = encode.apply_codes(feat, codes, list(codes), unseen=unseen)
+    if isinstance(fitted.codes, dict):
+        codes = {f"{pfx}{c}": v for c, v in fitted.codes.items()}
+    else:
+        codes = fitted.codes.withColumn("column", F.concat(F.lit(pfx), "column"))
+    enc = encode.apply_codes(feat, codes, [f"{pfx}{c}" for c in TEXT_FEATURES], unseen=unseen)
+    # The caller's columns, and exactly the model's inputs in the order of the fit, a missing one as 0.
+    enc = projections.align_columns(enc, [*df.columns, *[f"{pfx}{c}" for c in fitted.feature_cols]])
     m = fitted.models[name]
     if isinstance(m, models.OlsModel):
         cols = [f"{pfx}{c}" for c in fitted.feature_cols]
@@ -219,7 +229,7 @@ def assembled(df: DataFrame, fitted: FittedPipeline) -> DataFrame:
     """Features, codes, scaling and the vector for a frame with the base columns
     (frozen statistics); adds ``label`` from the target when present."""
     feat = features.derive_features(df, stats={"income_min": fitted.income_min, "income_max": fitted.income_max})
-    enc = encode.apply_codes(feat, fitted.codes, list(fitted.codes))
+    enc = encode.apply_codes(feat, fitted.codes, list(TEXT_FEATURES))
     out = models.assemble(scale.standardise(enc, fitted.feature_cols, stats=fitted.scaler), fitted.feature_cols)
     if fitted.target in df.columns:
         out = out.withColumn("label", F.col(fitted.target).cast("double"))

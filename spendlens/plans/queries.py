@@ -6,6 +6,7 @@ its SQL restatement where SQL can state the result.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1030,6 +1031,20 @@ def prediction_table(spark, sf):
     return segments.prediction_table(s, "predicted", "customer_segment")
 
 
+@query("prediction_file", S.with_customers(*_ols_sql_ctes(), SCORED_CTE) + f"""
+SELECT ROW_NUMBER() OVER (ORDER BY ABS(actual - predicted), customer_id) - 1 AS row_number, customer_id AS CustomerID,
+       CAST(actual AS BIGINT) AS Actual_Spending_Score, {S.r6('predicted')} AS Predicted_Spending_Score
+FROM sc""")
+def prediction_file(spark, sf):
+    """SNK1: the prediction table written as one ordered result (smallest error first), read back in the order of its files."""
+    from spendlens.session import shared_folder
+    from spendlens.sources import io
+    path = f"{shared_folder(spark)}/prediction_file_{uuid.uuid4().hex}"
+    io.write_ordered(prediction_table(spark, sf), path, ["Prediction_Error", "CustomerID"], fmt="parquet", header_names=False)
+    back = order.in_file_order(io.read_written(spark, path, fmt="parquet").select("CustomerID", "Actual_Spending_Score", "Predicted_Spending_Score"))
+    return order.number_in_file_order(back)
+
+
 @query("gender_mean_prediction", scored_sql(f"""
 SELECT gender, {S.r6('AVG(predicted)')} AS mean_predicted FROM bp WHERE gender IS NOT NULL GROUP BY gender"""))
 def gender_mean_prediction(spark, sf):

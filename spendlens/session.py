@@ -48,13 +48,20 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return d
 
 
-def stable_copy(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's checkpoint folder and read from there: what was decided
-    on the way (the partition of each row) stays as it is, whoever reads it and whichever
-    executor is lost. Only Spark in one process on one machine may do without the setting."""
-    spark = df.sparkSession
-    if not checkpoint_dir(spark) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive a job: the cluster's checkpoint folder. Only Spark in one process on one
+    machine may do without the setting; it gets a temporary one."""
+    d = checkpoint_dir(spark)
+    if not d and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-"))
+    return d or spark.sparkContext.getCheckpointDir()
+
+
+def stable_copy(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder and read from there: what was decided
+    on the way (the partition of each row) stays as it is, whoever reads it and whichever
+    executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

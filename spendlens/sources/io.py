@@ -6,6 +6,9 @@ plain column names on read and restored on write.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,42 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", header_names: bo
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def write_ordered(df: DataFrame, path: str, keys: list[str], fmt: str = "csv", header_names: bool = True) -> str:
+    """SNK1 / SNK2 as one ordered result: rows sorted by ``keys`` (nulls last) over all part files, whose names follow
+    the order, and a manifest (position, file, rows, run, written) that is committed last.
+
+    The rows are dealt to ranges of the keys and sorted in each, so no task holds the whole table. Every call
+    writes a folder of its own and then adds its manifest; a job that dies on the way adds none,
+    so readers still see the result before. Returns the folder's name."""
+    spark = df.sparkSession
+    out = (to_header(df) if header_names else df).orderBy(*[F.col(f"`{COLUMN_TO_CSV.get(k, k) if header_names else k}`").asc_nulls_last() for k in keys])
+    run = f"data-{uuid.uuid4().hex}"
+    (out.write.option("header", True).csv if fmt == "csv" else out.write.parquet)(f"{path}/{run}")
+    parts = spark.read.schema(out.schema).option("header", True).format(fmt).load(f"{path}/{run}")
+    counts = parts.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # One row per part file.
+    listed = counts.agg(F.sort_array(F.collect_list(F.struct("file", "rows"))).alias("files")).select(F.posexplode_outer("files").alias("position", "f"))
+    manifest = listed.select(F.coalesce("position", F.lit(0)).alias("position"), F.col("f.file").alias("file"), F.coalesce("f.rows", F.lit(0)).alias("rows"),
+                             F.lit(run).alias("run"), F.lit(time.time()).alias("written"))
+    manifest.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return run
+
+
+_MANIFEST = "position int, file string, rows long, run string, written double"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The files of the last complete result, in order, with their rows."""
+    every = spark.read.schema(_MANIFEST).json(f"{path}/manifest")
+    last = every.agg(F.max_by("run", "written").alias("run"))
+    return every.join(F.broadcast(last), "run").orderBy("position")  # one row
+
+
+def read_written(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -> DataFrame:
+    """The last complete result of ``write_ordered``, header names mapped."""
+    run = read_manifest(spark, path).first()["run"]
+    reader = spark.read.option("header", True)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", fmt == "csv")
+    return reader.format(fmt).load(f"{path}/{run}")

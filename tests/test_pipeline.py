@@ -80,3 +80,32 @@ def test_csv_roundtrip_header_names(spark, fitted):
     assert "Annual Income (k$)" in back.columns and back.count() == scored.count()
     batch = io.read_batch(spark, path)
     assert "annual_income_k" in batch.columns
+
+
+def test_codes_above_the_literal_cap_save_load_and_score(spark):
+    """50,000 levels of a text column: the fitted codes are a stored table that scoring joins."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("customer_id"), F.concat(F.lit("g"), F.col("id") % 50_000).alias("gender"), (F.col("id") % 53 + 18).alias("age"),
+        (F.col("id") % 122 + 15).alias("annual_income_k"), (F.col("id") % 100).alias("spending_score"))
+    f, _, _ = pipeline.fit(df, which=("linear",), do_fill=False)
+    assert not isinstance(f.codes, dict) and f.codes.filter("column = 'gender'").count() == 50_000
+    path = tempfile.mkdtemp(prefix="fitted-", dir="/tmp") + "/p"
+    f.save(spark, path)
+    back = pipeline.FittedPipeline.load(spark, path)
+    new = spark.createDataFrame([(1, "g7", 30, 60), (2, "g49999", 30, 60), (3, "never seen", 30, 60), (4, None, 30, 60)],
+                                "customer_id long, gender string, age long, annual_income_k long")
+    a = {r.customer_id: r.Predicted_Spending_Score for r in pipeline.score(new, f, model="linear", do_fill=False).collect()}
+    b = {r.customer_id: r.Predicted_Spending_Score for r in pipeline.score(new, back, model="linear", do_fill=False).collect()}
+    assert a == pytest.approx(b) and len(a) == 4 and a[3] == pytest.approx(a[4])
+    codes = {r["value"]: r["code"] for r in back.codes.filter("column = 'gender' AND value IN ('g0', 'g7', 'g49999')").collect()}
+    assert codes["g0"] == 0 and a[1] - a[2] == pytest.approx((codes["g7"] - codes["g49999"]) * (a[1] - a[3]) / codes["g7"])
+
+
+def test_score_puts_columns_in_order(spark, fitted):
+    """Columns in another order, extra ones and a model input that the fit alone knew."""
+    f = fitted[0]
+    one = spark.createDataFrame([(60, "x", "Male", 30, 1)], "annual_income_k long, note string, gender string, age long, customer_id long")
+    out = pipeline.score(one, f, model="linear")
+    assert out.columns[:5] == one.columns
+    plain = spark.createDataFrame([(1, "Male", 30, 60)], "customer_id long, gender string, age long, annual_income_k long")
+    assert out.first()["Predicted_Spending_Score"] == pytest.approx(pipeline.score(plain, f, model="linear").first()["Predicted_Spending_Score"])

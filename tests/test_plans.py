@@ -20,7 +20,7 @@ NEEDS_ALL_LINEITEM = {"lineitem_missing", "lineitem_duplicates_all"}
 # Results that are the fitted model's own rows (coefficients): the fit reads the tables, the result does not.
 MODEL_OUTPUT = {"ols_full"}
 # Results in key order: the tables are read into a stored, range-partitioned copy while the query is built.
-STORED = {"file_order_fill", "file_order_series", "ordered_fill", "events_fill", "test_series", "label_encode", "batch_score", "encode_unseen", "standardise"}
+STORED = {"prediction_file", "file_order_fill", "file_order_series", "ordered_fill", "events_fill", "test_series", "label_encode", "batch_score", "encode_unseen", "standardise"}
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "CartesianProduct")
 WINDOW = re.compile(r"Window \[.*\], \[(.*?)\], \[(.*?)\]\s*$")
 

@@ -75,3 +75,30 @@ def test_open_bands_for_new_customers(spark):
     assert got[0][2] == pytest.approx((140 - 15) / (137 - 15))
     closed = features.derive_features(df, stats=st).select("age_group").collect()
     assert closed[0][0] == "Elderly" and bands.AGE_LABELS[0] == "Young"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_ordered_result_and_its_manifest(spark, fmt):
+    path = tempfile.mkdtemp(prefix="ordered-", dir="/tmp") + "/out"
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("customer_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("age"))
+    io.write_ordered(df.repartition(6), path, ["age", "customer_id"], fmt)
+    files = io.read_manifest(spark, path).collect()
+    assert sum(f["rows"] for f in files) == 1000 and [f["file"] for f in files] == sorted(f["file"] for f in files)
+    from spendlens.sources import order
+    back = order.number_in_file_order(order.in_file_order(io.to_columns(io.read_written(spark, path, fmt=fmt)), fmt)).orderBy("row_number").collect()
+    want = sorted(((r.age, r.customer_id) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [(r.age, r.customer_id) for r in back] == want
+
+
+def test_a_killed_write_leaves_the_result_before(spark):
+    path = tempfile.mkdtemp(prefix="killed-", dir="/tmp") + "/out"
+    df = spark.range(50).select(F.col("id").alias("customer_id"))
+    first = io.write_ordered(df, path, ["customer_id"])
+    broken = df.withColumn("customer_id", F.when(F.col("customer_id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("customer_id")))
+    with pytest.raises(Exception, match="lost"):
+        io.write_ordered(broken, path, ["customer_id"])
+    assert {r["run"] for r in io.read_manifest(spark, path).collect()} == {first}
+    assert io.read_written(spark, path).count() == 50
+    second = io.write_ordered(df.limit(0), path, ["customer_id"], "parquet")
+    assert {r["run"] for r in io.read_manifest(spark, path).collect()} == {second}
+    assert io.read_written(spark, path, fmt="parquet").count() == 0
