@@ -243,6 +243,8 @@ def settle(units: DataFrame, sliced: bool = False) -> tuple[DataFrame, DataFrame
     """(repeated, open) units as (rid, at): the repeated ones have an equal unit before them; an open one is the
     first of its name, but its core also occurs in another name. ``sliced``: equal units of one text may both be
     unmarked, so that the first is found by its place too."""
+    # Counted and joined: the units are cut from the texts once and read twice.
+    units = stored(units)
     shared = (units.where(~F.col("again")).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
               .select("core", F.lit(True).alias("met")))
     met = stored(units.join(shared, "core", "left").where(F.col("again") | F.col("met")).drop("met"))
@@ -253,6 +255,9 @@ def settle(units: DataFrame, sliced: bool = False) -> tuple[DataFrame, DataFrame
     names = names.join(mixed, "core")
     judged = stored(met.join(names, ["core", "span"], "left").select(
         "rid", "at", (F.col("again") | (own != F.col("first"))).alias("repeated"), "mixed"))
+    # What the verdicts were made from has served.
+    forget(units)
+    forget(met)
     release(judged.sparkSession)
     return judged.where("repeated").select("rid", "at"), judged.where("NOT repeated AND mixed").select("rid", "at")
 
@@ -265,6 +270,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def forget(copy: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    spark, files = copy.sparkSession, copy.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text): ``rid`` orders the rows as doc_id does. Where ids repeat or are missing, rows are
     numbered by a distributed sort of (doc_id, hash of the text), null ids last; equal rows share a number."""
