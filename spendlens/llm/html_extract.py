@@ -5,11 +5,14 @@ with their classes). Per path the text length and the number of punctuation mark
 taken, both ratios are smoothed along the nodes of the page, fused by their product, and the
 nodes at or above the threshold (the mean of the fused scores times ``factor``) mark content.
 Elements whose tag, role, class or id names page furniture (menus, notices, adverts, forms,
-reader comments and the like) never enter. Inside an article a header, a formula and a label are text, and an element
-of an ambiguous name (legal, form, notice and the like) stays if it holds marked text. The article is the smallest element that holds at
-least ``share`` of the marked text; all its remaining blocks are the result, so headings and
-one-word paragraphs stay. If only the page body itself holds that much, the marked paths and
-the headings are the result.
+reader comments and the like) never enter. Inside an article a name counts only as a whole: ``related`` or
+``related-posts`` is furniture, ``related-work`` a section; a header, a formula and a label are text there, and an
+element of an ambiguous name (legal, form, notice and the like) stays if it holds marked text.
+
+The article is the whole ``article`` element (every outermost one that holds marked text), else the whole ``main``
+element, else the smallest element that holds all marked text; all its remaining blocks are the result, so
+headings and one-word paragraphs stay. If only the page body itself holds all of it, the marked
+paths and the headings are the result. Work is linear in the length of a page.
 """
 
 from __future__ import annotations
@@ -38,12 +41,22 @@ _DOUBTFUL_NAMES = (r"banner|consent|notice|overlay|promotion|share|subscription|
 _TEXT_NAMES = r"side|header|masthead"
 
 
+#: What may follow or lead a furniture name in a compound one.
+_PARTS = (r"box|bar|list|slot|container|block|wrap|wrapper|section|area|buttons?|links?|posts?|articles?|stories|unit|inner|panel|icons?|items?|"
+          r"threads?|top|bottom|left|right|main|site|page|global|js|module|group|text|content|icon|title|heading|media|google|inline")
+
+
 def _named(names: str) -> re.Pattern:
     return re.compile(rf"(?:^|[\s_-])(?:{names})(?=$|[\s_-]|\d)", re.I)
 
 
+def _wholly_named(names: str) -> re.Pattern:
+    """A whole class name made of furniture names, with parts that only say what kind of box it is."""
+    return re.compile(rf"(?:^|\s)(?:(?:{_PARTS})[_-]+)*(?:{names})\d*(?:[_-]+(?:{names}|{_PARTS}|\d+))*(?=$|\s)", re.I)
+
+
 _FURNITURE = _named(f"{_NAMES}|{_DOUBTFUL_NAMES}|{_TEXT_NAMES}")
-_CERTAIN, _DOUBTFUL = _named(_NAMES), _named(_DOUBTFUL_NAMES)
+_CERTAIN, _DOUBTFUL = _wholly_named(_NAMES), _named(_DOUBTFUL_NAMES)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 _DROPPED = {"nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog", "head", "object", "canvas",
             "audio", "video", "fieldset", "input", "label", "math", "annotation", "annotation-xml"}
@@ -65,12 +78,13 @@ _PUNCT = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "up", "dropped", "mass", "in_article", "doubtful")
+    __slots__ = ("tag", "path", "up", "dropped", "mass", "in_article", "doubtful", "depth", "chosen")
 
-    def __init__(self, tag: str, path: str, up: _Element | None, dropped: bool, in_article: bool):
+    def __init__(self, tag: str, path: int, up: _Element | None, dropped: bool, in_article: bool):
         self.tag, self.path, self.up, self.dropped, self.in_article = tag, path, up, dropped, in_article
+        self.depth = up.depth + 1 if up else 0
         self.mass = 0.0
-        self.doubtful = False
+        self.doubtful = self.chosen = False
 
 
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
@@ -82,11 +96,14 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     return bool(names and (_CERTAIN if in_article else _FURNITURE).search(names)), names
 
 
-def text_blocks(html: str) -> list[tuple[_Element, str]]:
-    """(block-level element, raw text) of the page in order, furniture left out."""
-    root = _Element("", "", None, False, False)
-    at, inline, blocks, parts = root, [], [], []  # inline: open inline elements
-    pos = 0
+def text_blocks(html: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
+    """All block-level elements of the page, parents first, and (element, text) of its blocks in order, furniture left out."""
+    root = _Element("", 0, None, False, False)
+    elements, blocks, parts = [root], [], []
+    # Paths by number; open elements by tag; open inline elements and how many of them are dropped.
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = {}
+    at, inline, hidden, pos = root, [], 0, 0
 
     def flush() -> None:
         if parts:
@@ -97,9 +114,18 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
             parts.clear()
 
     def text(upto: int) -> None:
-        if upto > pos and not at.dropped and not any(inline):
+        if upto > pos and not at.dropped and not hidden:
             parts.append(unescape(html[pos:upto]))
 
+    def leave(upto: _Element) -> _Element:
+        """Close the open elements from the current one up to and including ``upto``."""
+        el = at
+        while True:
+            opened[el.tag] -= 1
+            if el is upto:
+                return el.up
+            el = el.up
+
     while True:
         m = _TOKEN.search(html, pos)
         if m is None:
@@ -115,14 +141,14 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
         if m[1]:
             if flows:
                 if inline:
-                    inline.pop()
+                    hidden -= inline.pop()
                 continue
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.up
-            if up is not root:
+            if opened.get(tag):
+                up = at
+                while up.tag != tag:
+                    up = up.up
                 flush()
-                at, inline = up.up, []
+                at, inline, hidden = leave(up), [], 0
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
@@ -135,32 +161,36 @@ def text_blocks(html: str) -> list[tuple[_Element, str]]:
         if flows:
             if tag not in _VOID and not m[3].endswith("/"):
                 inline.append(_is_furniture(tag, m[3], at.in_article)[0])
+                hidden += inline[-1]
             continue
         flush()
-        inline = []
+        inline, hidden = [], 0
         if tag in _VOID:
             continue
         if tag in _CLOSES_P:
             up = at
-            while up is not root and up.tag not in _BARRIER and up.tag != "p":
+            while opened.get("p") and up is not root and up.tag not in _BARRIER and up.tag != "p":
                 up = up.up
             if up.tag == "p":
-                at = up.up
+                at = leave(up)
         elif tag in _SIBLINGS:
             up = at
-            while up is not root and up.tag not in _SIBLINGS[tag] and up.tag not in _BARRIER - _SIBLINGS[tag]:
+            some = any(opened.get(t) for t in _SIBLINGS[tag])
+            while some and up is not root and up.tag not in _SIBLINGS[tag] and up.tag not in _BARRIER - _SIBLINGS[tag]:
                 up = up.up
             if up.tag in _SIBLINGS[tag]:
-                at = up.up
+                at = leave(up)
                 if tag == "tr" and at.tag == "tr":
-                    at = at.up
+                    at = leave(at)
         furniture, names = _is_furniture(tag, m[3], at.in_article)
         label = f"{tag}.{names}" if names else tag
         doubtful = at.in_article and bool(names and _DOUBTFUL.search(names))
-        at = _Element(tag, f"{at.path}/{label}", at, at.dropped or furniture, at.in_article or tag in ("article", "main"))
+        at = _Element(tag, paths.setdefault((at.path, label), len(paths) + 1), at, at.dropped or furniture, at.in_article or tag in ("article", "main"))
         at.doubtful = doubtful and tag not in ("article", "main")
+        opened[tag] = opened.get(tag, 0) + 1
+        elements.append(at)
     flush()
-    return blocks
+    return elements, blocks
 
 
 def _smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -176,21 +206,28 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def _unmarked(el: _Element | None) -> bool:
-    """Whether the element lies in one of doubtful name that holds no marked text."""
-    while el is not None:
-        if el.doubtful and not el.mass:
-            return True
-        el = el.up
-    return False
+def _choose(elements: list[_Element], total: float) -> None:
+    """Mark the elements that make up the article; none if only the page itself holds all marked text."""
+    for kind in ("article", "main"):
+        found = [el for el in elements if el.tag == kind and el.mass and not el.dropped]
+        # Parents come first: an element inside a chosen one belongs to it.
+        inside: dict[int, bool] = {}
+        for el in elements:
+            inside[id(el)] = bool(el.up) and (inside[id(el.up)] or (el.up.tag == kind and el.up.mass > 0))
+        if found:
+            for el in found:
+                el.chosen = not inside[id(el)]
+            return
+    holder = max((el for el in elements if el.mass >= total and el.tag not in ("p", *_HEADING)), key=lambda el: el.depth)
+    holder.chosen = holder.tag not in ("", "html", "body")
 
 
-def main_text(html: str, factor: float = 0.5, share: float = 0.8) -> str:
+def main_text(html: str, factor: float = 0.5) -> str:
     """The main text of one page; empty if it has none."""
-    blocks = text_blocks(html)
+    elements, blocks = text_blocks(html)
     if not blocks:
         return ""
-    paths: dict[str, list[int]] = {}
+    paths: dict[int, list[int]] = {}
     for el, text in blocks:
         p = paths.setdefault(el.path, [0, 0, 0])
         p[0] += len(text)
@@ -200,36 +237,30 @@ def main_text(html: str, factor: float = 0.5, share: float = 0.8) -> str:
     punct = _smooth([(1 + paths[el.path][1]) / paths[el.path][2] for el, _ in blocks])
     fused = [r * p for r, p in zip(ratio, punct, strict=True)]
     cut = factor * sum(fused) / len(fused)
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for (el, _), f in zip(blocks, fused, strict=True):
         best[el.path] = max(best.get(el.path, 0.0), f)
     marked = {p for p, f in best.items() if f >= cut}
-    total, holders = 0, {}
+    total = 0
     for el, text in blocks:
         if el.path in marked:
+            el.mass += len(text)
             total += len(text)
-            up = el
-            while up is not None:
-                up.mass += len(text)
-                holders[id(up)] = up
-                up = up.up
-    blocks = [(el, text) for el, text in blocks if not _unmarked(el)]
-    article = min((el for el in holders.values() if el.mass >= share * total and el.tag not in ("p", *_HEADING)),
-                  key=lambda el: -el.path.count("/"))
-    if article.tag in ("", "html", "body"):
-        named = [el for el in holders.values() if el.tag in ("article", "main")]
-        if not named:
-            return "\n".join(t for el, t in blocks if el.path in marked or el.tag in _HEADING)
-    kept = []
-    for el, text in blocks:
-        up = el
-        while up is not None and up is not article and up.tag not in ("article", "main"):
-            up = up.up
-        if up is not None and (up is article or up.tag in ("article", "main")) and (
-                article.tag not in ("", "html", "body") or up is not article):
-            kept.append((up, text))
-    inside = [t for up, t in kept if up is article]
-    return "\n".join(inside or [t for _, t in kept])
+    for el in reversed(elements[1:]):
+        el.up.mass += el.mass
+    _choose(elements, total)
+    some = any(el.chosen for el in elements)
+    # Downwards: what lies in the article, and not in a part of ambiguous name without marked text.
+    kept, left_out = set(), set()
+    for el in elements:
+        if el.chosen or (el.up and id(el.up) in kept):
+            kept.add(id(el))
+        if (el.doubtful and not el.mass) or (el.up and id(el.up) in left_out):
+            left_out.add(id(el))
+    # A headline of the main element that stands before its article.
+    mains = {id(el) for el in elements if el.tag == "main" and el.mass}
+    return "\n".join(text for el, text in blocks if id(el) not in left_out and (
+        id(el) in kept if some and not (el.tag == "h1" and el.up and id(el.up) in mains) else some or el.path in marked or el.tag in _HEADING))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -240,11 +240,32 @@ def test_main_text_of_the_pages(spark):
     ("<article><header><h1>T</h1></header><p>Long, long text here.</p><aside>no</aside><ul><li>one<li>two</ul></article><footer>f</footer>",
      "T\nLong, long text here.\none\ntwo"),
     ("<html><script>var a='<p>x</p>'</script><style>p{}</style><!-- <p>no</p> --><main><p>yes, it is.</p></main>", "yes, it is."),
-    ("<nav>only a menu</nav>", "")])
+    ("<nav>only a menu</nav>", ""),
+    # An article is taken whole: headline, lead, body and what follows it.
+    ("<body><article><h1>Head</h1><p class='lead'>Lead.</p><div class='body'><p>" + "Long text, indeed. " * 30 + "</p></div><p>End.</p></article></body>",
+     "Head\nLead.\n" + ("Long text, indeed. " * 30).strip() + "\nEnd."),
+    ("<main><h1>Head</h1><section>" + "Long text, indeed. " * 30 + "</section><section>Short.</section></main>",
+     "Head\n" + ("Long text, indeed. " * 30).strip() + "\nShort."),
+    # Names count as a whole inside an article.
+    ("<article><p>Text, one.</p><section class='related-work'><p>Work, done.</p></section><div class='social-history'>Past, told.</div>"
+     "<p class='ad-hoc'>For, this.</p><div class='related-posts'><p>Other, page.</p></div><div class='ad'>Buy, now.</div>"
+     "<section id='comments'><p>Nice, post.</p></section></article>", "Text, one.\nWork, done.\nPast, told.\nFor, this."),
+    ("<main><h1>Title</h1><article><p>Text, one. Text, two.</p></article><div class='more'><a>x</a></div></main>", "Title\nText, one. Text, two."),
+    ("<div id='page'><div class='nav-bar'>x</div><div class='text'><h2>T</h2><p>Long, long, text. And more, of it.</p><p>x</p></div></div>",
+     "T\nLong, long, text. And more, of it.\nx")])
 def test_main_text_leaves_furniture_out(html, want):
     assert html_extract.main_text(html) == want
 
 
+@pytest.mark.parametrize("html", ["<b>x" * 30_000, "<div class='a'>x." * 30_000, "<p>x</i>" * 30_000, "<div>" * 30_000 + "</section>" * 30_000 + "x",
+                                  "<article>" + "<x>y" * 30_000 + "</article>", "<ul>" + "<li>x, y." * 30_000])
+def test_main_text_is_linear_in_the_page(html):
+    import time
+    t = time.time()
+    assert html_extract.main_text(html)
+    assert time.time() - t < 5
+
+
 # ---- toxicity
 
 def _distance(a, b):
