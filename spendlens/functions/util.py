@@ -53,3 +53,11 @@ def freeze(one_row: DataFrame) -> dict:
     aggregate inside every plan that uses them."""
     r = one_row.first()
     return r.asDict() if r is not None else {}
+
+
+def with_position(df: DataFrame, keys: Sequence[Column], name: str = "position") -> DataFrame:
+    """The rows of a small result (a top-k, one row per column or model) with their place (from 0) in ascending
+    order of ``keys``, then of the rows themselves. Order is data then, not the accident of a fetch."""
+    row = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    each = df.agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.posexplode("rows").alias(name, "r"))
+    return each.select(F.col(name).cast("long").alias(name), *[F.col("r.row")[c].alias(c) for c in df.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import bands
-from spendlens.functions.util import freeze, r6, reported
+from spendlens.functions.util import freeze, r6, reported, with_position
 from spendlens.operators import eda, encode, features, fill, profile, scale, split
 from spendlens.plans import sqltext as S
 from spendlens.schema import AGE, GENDER, INCOME, KEY, MODEL_FEATURES, TARGET
@@ -381,10 +381,12 @@ def _corr_target_sql(rounded: bool = True) -> str:
     return "\n UNION ALL ".join(f"SELECT {S.q(c)} AS \"column\", {value(c)} AS corr FROM customers" for c in NUMERIC)
 
 
-@query("corr_target", S.with_customers() + "\n" + _corr_target_sql())
+@query("corr_target", S.with_customers(f"r AS ({_corr_target_sql(rounded=False)})") + """
+SELECT ROW_NUMBER() OVER (ORDER BY corr DESC NULLS LAST, "column") - 1 AS position, "column", ROUND(corr, 6) + 0.0 AS corr FROM r""")
 def corr_target(spark, sf):
-    """AGG2: correlation with the score, descending."""
-    return eda.corr_with_target(_customers(spark, sf), NUMERIC, TARGET)
+    """AGG2 / SRT1: correlation with the score, descending, with the place in that order."""
+    r = eda.corr_with_target(_customers(spark, sf), NUMERIC, TARGET)
+    return with_position(r, [F.col("corr").isNull(), -F.col("corr"), F.col("column")])
 
 
 @query("corr_labels", S.with_customers(f"r AS ({_corr_target_sql(rounded=False)})") + """
@@ -813,6 +815,16 @@ def model_comparison(spark, sf):
     return models.model_comparison(models.regression_metrics(pred))
 
 
+@query("models_ranked", ols_sql(f"""
+SELECT ROW_NUMBER() OVER (ORDER BY test_r2 DESC NULLS LAST, model_order) - 1 AS position, model, {S.r6('test_r2')} AS test_r2 FROM cmp"""))
+def models_ranked(spark, sf):
+    """SRT4 / SRT5: the models by test R2, the first of equals first, with their place."""
+    from spendlens.operators import models
+    _, pred = _ols(spark, sf)
+    cmp = models.model_comparison(models.regression_metrics(pred))
+    return with_position(cmp, [F.col("test_r2").isNull(), -F.col("test_r2"), F.col("model_order")]).select("position", "model", "test_r2")
+
+
 @query("best_model", ols_sql(f"""
 SELECT model, {S.r6('test_r2')} AS test_r2, {S.r6('test_rmse')} AS test_rmse, {S.r6('test_mae')} AS test_mae,
        CASE WHEN test_r2 > 0.7 THEN 'Excellent' WHEN test_r2 > 0.5 THEN 'Good' WHEN test_r2 > 0.3 THEN 'Moderate' ELSE 'Poor' END AS performance,
@@ -898,13 +910,15 @@ def test_series(spark, sf):
 
 
 @query("topk_abs", ols_sql(f"""
-SELECT customer_id, {S.r6('actual - predicted')} AS residual FROM bp WHERE split = 'test' AND actual IS NOT NULL
-ORDER BY ABS(actual - predicted) DESC, customer_id LIMIT 5"""))
+SELECT ROW_NUMBER() OVER (ORDER BY ABS(actual - predicted) DESC, customer_id) - 1 AS position, customer_id,
+       {S.r6('actual - predicted')} AS residual FROM bp WHERE split = 'test' AND actual IS NOT NULL
+ORDER BY position LIMIT 5"""))
 def topk_abs(spark, sf):
     """SRT2 / SRT3: the five largest absolute test residuals (top-k is the feature)."""
     t = _best_pred(spark, sf).filter((F.col("split") == "test") & F.col("actual").isNotNull())
     e = F.col("actual") - F.col("predicted")
-    return t.orderBy(F.abs(e).desc(), KEY).limit(5).select(KEY, r6(e).alias("residual"))
+    top = t.orderBy(F.abs(e).desc(), KEY).limit(5).select(KEY, e.alias("residual"))
+    return with_position(top, [-F.abs(F.col("residual")), F.col(KEY)])
 
 
 # ------------------------------------------------------------ scoring and segments

@@ -184,3 +184,12 @@ def test_bootstrap_band_of_constant_and_empty_input(spark):
     flat = spark.createDataFrame([(i, 1.0, float(i)) for i in range(10)] + [(None, None, 3.0)], "k long, x double, y double")
     assert {r.lower for r in eda.bootstrap_band(flat, "x", "y", "k", points=3, n_boot=8).collect()} == {None}
     assert {r.x for r in eda.bootstrap_band(flat.limit(0), "x", "y", "k", points=3, n_boot=8).collect()} == {None}
+
+
+def test_positions_of_a_small_result(spark):
+    from pyspark.sql import functions as F
+    from spendlens.functions.util import with_position
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0), ("d", 3.0)], "n string, v double")
+    got = with_position(df.repartition(3), [F.col("v").isNull(), -F.col("v"), F.col("n")]).collect()
+    assert [(r.position, r.n) for r in sorted(got)] == [(0, "c"), (1, "d"), (2, "a"), (3, "b")]
+    assert with_position(df.limit(0), [F.col("v")]).count() == 0
