@@ -215,28 +215,21 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def text_runs(column: pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``limit`` bytes, with the position of the first; only one run at a time is turned
     into Python strings."""
-    sizes = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
+    for first, last in _runs(limit, column):
+        yield first, column.slice(first, last - first).to_pylist()
+
+
+def _runs(limit: int, *columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts in all columns together have about ``limit`` bytes."""
+    sizes = np.cumsum(sum(pa.compute.binary_length(c).to_numpy(zero_copy_only=False) for c in columns))
     first = 0
-    while first < len(column):
+    while first < len(columns[0]):
         done = sizes[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(sizes, done + limit, side="right")))
-        yield first, column.slice(first, last - first).to_pylist()
+        yield first, last
         first = last
 
 
-def _slices(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts with about ``limit`` characters, with the position of the first."""
-    first, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield first, run
-            first, run, size = i + 1, [], 0
-    if run:
-        yield first, run
-
-
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, node, total, bands: ``node`` is a 64-bit hash of the word sequence, null for a text
     without words, ``total`` the number of its shingles, ``bands`` the keys of its signature's bands."""
@@ -272,12 +265,14 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for first, run in _slices([x + " " + y for x, y in zip(a, b, strict=True)]):
-                n = len(run)
-                sets = shingle_sets(a[first:first + n] + b[first:first + n], shingle)
-                keep += [weighted_jaccard(sets[i][:2], sets[n + i][:2]) >= threshold for i in range(n)]
+            for first, last in _runs(BATCH_CHARS, batch.column(2), batch.column(3)):
+                n = last - first
+                a, b = (batch.column(k).slice(first, n).to_pylist() for k in (2, 3))
+                # A text that several pairs of a run share is hashed once.
+                own = {t: i for i, t in enumerate(dict.fromkeys(a + b))}
+                sets = shingle_sets(list(own), shingle)
+                keep += [weighted_jaccard(sets[own[x]][:2], sets[own[y]][:2]) >= threshold for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def check(pairs: DataFrame) -> DataFrame:
