@@ -326,7 +326,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of every class of ``near_duplicates``; of rows equal in id and text one stays."""
+    """``docs`` with one row of every class of ``near_duplicates``; of rows equal in id and text one stays. Rows with a null
+    or empty text are in no class with others and stay, one per id; a row without an id stays only if no copy has one; an
+    empty table gives an empty result; other columns are kept."""
     kept = (near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     rows = docs.withColumn("__text_hash", F.xxhash64(text_of()))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))

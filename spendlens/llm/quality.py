@@ -175,7 +175,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns. The verdicts come from stored
-    counts: a filter on them then has no text functions that the optimiser would copy into it."""
+    counts: a filter on them then has no text functions that the optimiser would copy into it.
+
+    A null or empty text has no words and is rejected by the base rules; null ids are rows like others; repeated rows share
+    their verdict and stay together; an empty table gives an empty result; other columns are kept."""
     features = materialise(text_features(docs).withColumn("base_failed", base_failed()))
     kept = (judge(features, fit_cutoffs(features, labels, alpha, delta)).where("kept")
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
