@@ -8,8 +8,11 @@ classes are checked; a centre has then met everything in its bucket and leaves i
 found are contracted to classes. A bucket whose members are all of one class is done, so a
 group of copies takes one round whatever its size, and no link between different classes is lost.
 
-The first round takes four centres (every member where there are at most ``SMALL``), later
-ones sixteen times as many each. Nothing passes through the driver but row counts.
+The first round takes four centres (every member where there are at most ``SMALL``). Large buckets
+that still hold several classes then hold mostly members that aren't linked, such as texts around a
+common passage; further rounds would end by checking all their pairs. With ``refine`` given, their
+members get new, narrower buckets after the first round. Later rounds take sixteen times as many
+centres each. Nothing passes through the driver but row counts (and what ``refine`` states).
 """
 
 from __future__ import annotations
@@ -62,15 +65,16 @@ def connect(links: DataFrame) -> DataFrame:
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """bucket, node, size of the distinct members of buckets with at least two nodes."""
-    sizes = (members.distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1))
-    return materialise(members.distinct().join(sizes.hint(JOIN), "bucket"))
+    return materialise(_sizes(members.distinct()))
 
 
-def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame],
+                  refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """(node, label) for every node that has a link; None if there is no shared bucket.
 
     ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
-    pairs (a, b) and returns those that are linked."""
+    pairs (a, b) and returns those that are linked. ``refine`` takes the nodes (node) that are left in
+    large buckets and returns other members (bucket, node, each once): any two nodes that ``check`` links must share one."""
     live, rows = _sized(shared.withColumn("class", F.col("node")))
     links, labels, tried, n = None, None, None, 4
     while rows:
@@ -86,14 +90,35 @@ def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame]) ->
         labels = connect(links)
         done = centres.select("bucket", F.col("centre").alias("node"))
         left = live.join(done.hint(JOIN), ["bucket", "node"], "left_anti").drop("class")
-        named = left.join(labels.hint(JOIN), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
-        mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-                 .where(F.col("lo") != F.col("hi")).select("bucket"))
-        live, rows = _sized(materialise(named.join(mixed.hint(JOIN), "bucket")))
+        named = _mixed(_named(left, labels))
         n *= 16
+        if refine is not None:
+            named = materialise(named)
+            nodes = named.select("node").distinct()
+            named = _mixed(_named(_sizes(materialise(refine(nodes))), labels)) if named.limit(1).count() else named
+            refine, n = None, 4
+        live, rows = _sized(materialise(named))
     return labels
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    """bucket, node, size of buckets with at least two of the ``members``."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return members.join(sizes.hint(JOIN), "bucket")
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the class of their node."""
+    return members.join(labels.hint(JOIN), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The members of buckets with more than one class."""
+    mixed = (named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("bucket"))
+    return named.join(mixed.hint(JOIN), "bucket")
+
+
 def _centres(live: DataFrame, n: int) -> DataFrame:
     """Up to ``n`` centres (bucket, centre, centre_class) per bucket, members of its smallest classes first; all
     members of a small bucket in the first round. The order of classes and nodes is the same in all

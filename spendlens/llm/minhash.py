@@ -37,6 +37,8 @@ FIRST_RANK = 1.0 / 64
 BATCH_CHARS = 2_000_000
 #: Most candidate documents whose ids (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Counters of hashed shingles by which ``rare_shingles`` orders them (8 MB).
+CELLS = 1 << 20
 
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -288,6 +290,52 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
     return check
 
 
+def rare_shingles(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
+    """A ``refine`` of ``group_buckets``: the nodes' rarest shingles as buckets (a prefix filter).
+
+    With all shingles in one order, a node keeps the first of them until the rest weighs less than ``threshold`` of
+    its total. Two texts at ``threshold`` or more have at least that share of either's total in common, so their kept
+    parts meet: the least shingle that both have is kept by both, or else all that they have in common lies in what one of
+    them left out. That holds in any order; rare shingles first makes the buckets small, and a passage that
+    thousands of texts share is a bucket only of the texts that hold little else. Rare is read from CELLS
+    counters of hashed shingles, whose size doesn't depend on the corpus."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for _, run in text_runs(batch.column(1)):
+                for items, _, _ in shingle_sets(run, shingle):
+                    np.add.at(cells, (items % _U(CELLS)).astype(np.int64), 1)
+        used = np.flatnonzero(cells)
+        for at in range(0, len(used), 100_000):
+            part = used[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        left = materialise(texts.join(nodes.hint(JOIN), "node", "left_semi").select("node", "text"))
+        # At most CELLS rows.
+        found = left.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        often = np.zeros(CELLS, dtype=np.int64)
+        often[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, run in text_runs(batch.column(1)):
+                    parts = []
+                    for items, weights, _ in shingle_sets(run, shingle):
+                        count = often[(items % _U(CELLS)).astype(np.int64)]
+                        order = np.lexsort((items, count))
+                        rest = weights.sum() - np.cumsum(weights[order])
+                        end = int(np.argmax(rest < threshold * weights.sum() * (1 - 1e-9))) + 1 if len(items) else 0
+                        parts.append(items[order[:end]][count[order[:end]] > 1])     # a count of one has no partner
+                    node = np.repeat(batch.column(0).slice(first, len(run)).to_numpy(), [len(p) for p in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], names=["bucket", "node"])
+
+        return left.mapInArrow(kept, "bucket long, node long")
+
+    return refine
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
                     shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, kept, text_hash of every row of ``docs``.
@@ -311,7 +359,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     rows_ = source_rows(docs)
     mine = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))
     texts = materialise(rows_.join(wanted, mine).select("node", "text", "total").dropDuplicates(["node"]))
-    labels = group_buckets(shared, check_pairs(texts, threshold, shingle))
+    labels = group_buckets(shared, check_pairs(texts, threshold, shingle), rare_shingles(texts, threshold, shingle))
     if labels is None:
         labelled = signed.withColumn("label", F.col("node"))
     else:
