@@ -11,7 +11,7 @@ group of copies takes one round whatever its size, and no link between different
 The first round takes four centres (every member where there are at most ``SMALL``). Large buckets
 that still hold several classes then hold mostly members that aren't linked, such as texts around a
 common passage; further rounds would end by checking all their pairs. With ``refine`` given, their
-members get new, narrower buckets after the first round. Later rounds take sixteen times as many
+members get new, narrower buckets after the first round, in which a bound rules out pairs before they are formed. Later rounds take sixteen times as many
 centres each. Nothing passes through the driver but row counts (and what ``refine`` states).
 """
 
@@ -69,17 +69,20 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def group_buckets(shared: DataFrame, check: Callable[[DataFrame], DataFrame],
-                  refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+                  refine: Callable[[DataFrame], DataFrame] | None = None, share: float = 0.0) -> DataFrame | None:
     """(node, label) for every node that has a link; None if there is no shared bucket.
 
     ``shared`` comes from ``shared_buckets`` (bucket and node are long). ``check`` takes distinct
     pairs (a, b) and returns those that are linked. ``refine`` takes the nodes (node) that are left in
-    large buckets and returns other members (bucket, node, each once): any two nodes that ``check`` links must share one."""
-    live, rows = _sized(shared.withColumn("class", F.col("node")))
+    large buckets and returns other members (bucket, node, each once, total, rest): any two nodes that ``check`` links must
+    share one in which either's ``rest``, what it can have in common with others there, is at least ``share`` of both totals."""
+    blank = F.lit(None).cast("double")
+    live, rows = _sized(shared.select("bucket", "node", "size", blank.alias("total"), blank.alias("rest"), F.col("node").alias("class")))
+    able = F.least("rest", "centre_rest") >= F.lit(share) * (F.col("total") + F.col("centre_total"))
     links, labels, tried, n = None, None, None, 4
     while rows:
         centres = materialise(_centres(live, n))
-        pairs = (live.join(centres.hint(JOIN), "bucket").where(F.col("class") != F.col("centre_class"))
+        pairs = (live.join(centres.hint(JOIN), "bucket").where((F.col("class") != F.col("centre_class")) & F.coalesce(able, F.lit(True)))
                  .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried.hint(JOIN), ["a", "b"], "left_anti")
@@ -109,7 +112,8 @@ def _sizes(members: DataFrame) -> DataFrame:
 
 def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``members`` with the class of their node."""
-    return members.join(labels.hint(JOIN), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("class"))
+    return members.join(labels.hint(JOIN), "node", "left").select(
+        "bucket", "node", "size", "total", "rest", F.coalesce("label", "node").alias("class"))
 
 
 def _mixed(named: DataFrame) -> DataFrame:
@@ -129,4 +133,5 @@ def _centres(live: DataFrame, n: int) -> DataFrame:
     most = F.when(F.col("size") <= SMALL, F.lit(max(n, SMALL))).otherwise(F.lit(n))
     return (live.join(classes.hint(JOIN), ["bucket", "class"]).withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= max(n, SMALL)).where(F.col("rank") <= most)
-            .select("bucket", F.col("node").alias("centre"), F.col("class").alias("centre_class")))
+            .select("bucket", F.col("node").alias("centre"), F.col("class").alias("centre_class"),
+                    F.col("total").alias("centre_total"), F.col("rest").alias("centre_rest")))

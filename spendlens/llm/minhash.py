@@ -290,6 +290,12 @@ def check_pairs(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
     return check
 
 
+def common_share(threshold: float) -> float:
+    """The share of the sum of two totals that is common at a weighted Jaccard similarity of ``threshold``, a little less
+    against rounding."""
+    return threshold / (1 + threshold) * (1 - 1e-9)
+
+
 def rare_shingles(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
     """A ``refine`` of ``group_buckets``: the nodes' rarest shingles as buckets (a prefix filter).
 
@@ -298,7 +304,11 @@ def rare_shingles(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
     parts meet: the least shingle that both have is kept by both, or else all that they have in common lies in what one of
     them left out. That holds in any order; rare shingles first makes the buckets small, and a passage that
     thousands of texts share is a bucket only of the texts that hold little else. Rare is read from CELLS
-    counters of hashed shingles, whose size doesn't depend on the corpus."""
+    counters of hashed shingles, whose size doesn't depend on the corpus.
+
+    ``rest`` is the weight of a node's shingles from the bucket's on. In the bucket of their least common shingle, two texts
+    have nothing in common but what is in both rests, and at ``threshold`` that is ``common_share`` of both totals. Own words
+    come first, so the rest of a text in a large bucket is little more than what it shares."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.int64)
@@ -321,17 +331,23 @@ def rare_shingles(texts: DataFrame, threshold: float, shingle: int = SHINGLE):
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, run in text_runs(batch.column(1)):
-                    parts = []
+                    parts, rests, totals = [], [], []
                     for items, weights, _ in shingle_sets(run, shingle):
                         count = often[(items % _U(CELLS)).astype(np.int64)]
                         order = np.lexsort((items, count))
-                        rest = weights.sum() - np.cumsum(weights[order])
-                        end = int(np.argmax(rest < threshold * weights.sum() * (1 - 1e-9))) + 1 if len(items) else 0
-                        parts.append(items[order[:end]][count[order[:end]] > 1])     # a count of one has no partner
-                    node = np.repeat(batch.column(0).slice(first, len(run)).to_numpy(), [len(p) for p in parts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], names=["bucket", "node"])
-
-        return left.mapInArrow(kept, "bucket long, node long")
+                        total = weights.sum()
+                        after = total - np.cumsum(weights[order])
+                        end = int(np.argmax(after < threshold * total * (1 - 1e-9))) + 1 if len(items) else 0
+                        met = np.flatnonzero(count[order[:end]] > 1)     # a count of one has no partner
+                        parts.append(items[order[met]])
+                        rests.append(after[met] + weights[order[met]])
+                        totals.append(total)
+                    sizes = [len(p) for p in parts]
+                    node = np.repeat(batch.column(0).slice(first, len(run)).to_numpy(), sizes)
+                    columns = [np.concatenate(parts).view(np.int64), node, np.repeat(totals, sizes), np.concatenate(rests)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "total", "rest"])
+
+        return left.mapInArrow(kept, "bucket long, node long, total double, rest double")
 
     return refine
 
@@ -359,7 +375,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     rows_ = source_rows(docs)
     mine = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))
     texts = materialise(rows_.join(wanted, mine).select("node", "text", "total").dropDuplicates(["node"]))
-    labels = group_buckets(shared, check_pairs(texts, threshold, shingle), rare_shingles(texts, threshold, shingle))
+    labels = group_buckets(shared, check_pairs(texts, threshold, shingle), rare_shingles(texts, threshold, shingle),
+                           common_share(threshold))
     if labels is None:
         labelled = signed.withColumn("label", F.col("node"))
     else:

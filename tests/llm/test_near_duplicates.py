@@ -109,24 +109,25 @@ def test_group_buckets_loses_no_link(spark):
     assert got == want
 
 
-def _around_a_passage(m, rng):
-    """m texts of a common passage and own words, each tenth with a near copy; the passage is 60 % of a text."""
-    passage = [f"p{i}" for i in range(60)]
+def _around_a_passage(m, rng, common):
+    """m texts of a common passage and own words, each tenth with a near copy; the passage is ``common`` % of a text."""
+    passage = [f"p{i}" for i in range(common)]
     rows = []
     for i in range(m):
-        words = passage + [f"w{rng.randrange(10 ** 9)}" for _ in range(40)]
+        words = passage + [f"w{rng.randrange(10 ** 9)}" for _ in range(100 - common)]
         rows.append((len(rows), " ".join(words)))
         if i % 10 == 0:
-            words[70 + i % 20] = "x"
+            words[86 + i % 10] = "x"
             rows.append((len(rows), " ".join(words)))
     return rows
 
 
-def test_unlinked_members_of_a_bucket_are_not_paired(spark):
+@pytest.mark.parametrize("common", [60, 86])
+def test_unlinked_members_of_a_bucket_are_not_paired(spark, common):
     """All texts in one bucket: the pairs checked grow with its members, not with their square, and no link is lost."""
     checked = {}
     for m in (200, 800):
-        rows = _around_a_passage(m, random.Random(m))
+        rows = _around_a_passage(m, random.Random(m), common)
         texts = spark.createDataFrame([(d, t, len(t.split()) - 4) for d, t in rows], "node long, text string, total long").repartition(4)
         shared = shared_buckets(texts.selectExpr("1L AS bucket", "node"))
         seen = []
@@ -135,7 +136,7 @@ def test_unlinked_members_of_a_bucket_are_not_paired(spark):
             seen.append(pairs.count())
             return minhash.check_pairs(texts, 0.8)(pairs)
 
-        got = {r.node: r.label for r in group_buckets(shared, check, minhash.rare_shingles(texts, 0.8)).collect()}
+        got = {r.node: r.label for r in group_buckets(shared, check, minhash.rare_shingles(texts, 0.8), minhash.common_share(0.8)).collect()}
         sets = {d: _shingles(t) for d, t in rows}
         copies = [(a, a + 1) for a in range(len(rows) - 1) if sum((sets[a] & sets[a + 1]).values()) / sum((sets[a] | sets[a + 1]).values()) >= 0.8]
         assert len(copies) == m // 10 and got == {x: a for a, b in copies for x in (a, b)}
@@ -148,11 +149,15 @@ def test_rare_shingles_are_shared_by_every_link(spark, docs, corpus, threshold):
     texts = docs.selectExpr("doc_id AS node", "text")
     kept = {}
     for r in minhash.rare_shingles(texts, threshold)(texts.select("node")).collect():
-        kept.setdefault(r.node, set()).add(r.bucket)
+        kept.setdefault(r.node, {})[r.bucket] = (r.rest, r.total)
     sets = {d: _shingles(t) for d, t in corpus}
     links = [(a, b) for a in sets for b in range(a) if sets[a] | sets[b]
              and sum((sets[a] & sets[b]).values()) / sum((sets[a] | sets[b]).values()) >= threshold]
-    assert len(links) > 40 and all(kept[a] & kept[b] for a, b in links)
+    share = minhash.common_share(threshold)
+    assert len(links) > 40
+    for a, b in links:
+        met = [(kept[a][k], kept[b][k]) for k in kept[a].keys() & kept[b].keys()]
+        assert any(min(x[0], y[0]) >= share * (x[1] + y[1]) for x, y in met)
 
 
 def test_fingerprints(docs, corpus):
