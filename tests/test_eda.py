@@ -108,6 +108,31 @@ def test_binned_density_close_to_exact(spark, method, bins, bound):
         assert np.abs(near - exact).max() < bound * exact.max()
 
 
+def test_density_query_is_exact(spark):
+    """Every value's whole kernel counts where the value lies: no bins, no cut-off."""
+    from spendlens.plans import queries
+    from spendlens.sources import demo
+
+    sf = "/root/testdata/sf0.001"
+    rows = demo.customers(spark, sf).where("spending_score IS NOT NULL").collect()
+    got = queries.density(spark, sf).collect()
+    assert len(got) == 100 * len({r["gender"] for r in rows})
+    for g in {r["gender"] for r in rows}:
+        own = np.array([r["spending_score"] for r in rows if r["gender"] == g], dtype=float)
+        h = own.std(ddof=1) * len(own) ** -0.2
+        grid = np.linspace(own.min() - 2 * h, own.max() + 2 * h, 100)
+        want = np.exp(-0.5 * ((grid[:, None] - own[None, :]) / h) ** 2).sum(1) / (len(own) * h * math.sqrt(2 * math.pi))
+        assert [r["density"] for r in sorted((r for r in got if r["gender"] == g), key=lambda r: r["point"])] == pytest.approx(want.tolist(), rel=1e-11)
+
+
+def test_exact_density_of_gaps_constants_and_far_values(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 1, 2, 1e6)] + [("b", 3.0)] * 3 + [("c", None), (None, 1.0)], "g string, x double")
+    got = eda.density(df, "x", by="g", method="exact").collect()
+    assert {r["g"] for r in got} == {"a", "b"} and {r["density"] for r in got if r["g"] == "b"} == {None}
+    assert all(r["density"] > 0 for r in got if r["g"] == "a")
+    assert eda.density(df.limit(0), "x", by="g", method="exact").count() == 0
+
+
 def test_density_rows_stay_in_generated_code(spark):
     """The pass over the rows is one hash aggregate with two sums, inside whole-stage code generation."""
     df = spark.range(1000).selectExpr("CAST(id % 7 AS STRING) AS g", "CAST(id AS DOUBLE) AS x")
