@@ -7,13 +7,14 @@ malformed addresses, mixed strings of letters and digits. Boosted trees score ea
 format (lengths, character classes, groups, entropy) and its context (neighbouring characters and
 words). They learn from the corpus itself: validated spans and strings introduced as a key or token
 are positive, short numbers, version numbers, invalid addresses and plain long words negative,
-and what neither rule decides is left to the trees. Thresholds are calibrated per kind on a part of
-the sample that the trees don't see: the smallest score at which the share of positives is at least
+and what neither rule decides is left to the trees. Thresholds are calibrated per kind on a quarter of
+the labelled candidates that the trees don't see: the smallest score at which the share of positives is at least
 ``precision``; a kind for which none is found adds nothing. Where selected candidates
 overlap, the highest score wins, and none may touch a base span.
 
-The sample is bounded (``sample`` candidates, the smallest by hash), everything else covers all
-texts: candidates are found and scored in a second pass that needs no shuffle.
+Trees and thresholds rest on all labelled candidates of all texts. Features take few levels, so that
+candidates that look alike are one weighted row; these rows are trained on by Spark. Candidates are found and scored
+in a second pass that needs no shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +34,12 @@ from spendlens.llm.common import materialise, text_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-SAMPLE = 20_000
+#: Scores are counted in so many steps when thresholds are set.
+SCORE_STEPS = 1 << 16
+#: Weighted training rows of a partition, at least.
+TASK_ROWS = 20_000
+#: Levels of the features that count something: a count falls to the nearest one below.
+LEVELS = (*range(17), 20, 24, 28, 32, 40, 48, 64, 80, 96, 128, 192, 256, 384, 512)
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -137,8 +144,12 @@ FEATURES = ("length", "digits", "letters", "upper", "separators", "groups", "lon
             "after_quote", "after_letter", "key", "call", "pay", "version", *(f"is_{k}" for k in KINDS))
 
 
+def level(count: int) -> int:
+    return LEVELS[bisect_right(LEVELS, count) - 1]
+
+
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context features of a candidate."""
+    """Format and context features of a candidate, each of a few levels."""
     g, n = text[start:end], end - start
     before, after = text[max(0, start - 32):start], text[end:end + 2]
     groups = _DIGITS.findall(g)
@@ -146,10 +157,10 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     kinds = ["9" if c.isdigit() else "a" if c.isalpha() else "." for c in g]
     last, tail = before[-1:], before.rstrip("=:\"' ")
     return [float(x) for x in (
-        n, kinds.count("9"), kinds.count("a"), sum(c.isupper() for c in g), kinds.count("."), len(groups),
-        max(map(len, groups), default=0), g.count("."), g.count("@"), g.startswith("+"),
-        -sum(c / n * math.log2(c / n) for c in counts), all(c in "0123456789abcdefABCDEF" for c in g), len(counts) / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:])), last.isspace() or not last, last in "\"'" and bool(last),
+        level(n), level(kinds.count("9")), level(kinds.count("a")), level(sum(c.isupper() for c in g)), level(kinds.count(".")),
+        level(len(groups)), level(max(map(len, groups), default=0)), level(g.count(".")), level(g.count("@")), g.startswith("+"),
+        round(-4 * sum(c / n * math.log2(c / n) for c in counts)) / 4, all(c in "0123456789abcdefABCDEF" for c in g),
+        round(16 * len(counts) / n) / 16, level(sum(a != b for a, b in zip(kinds, kinds[1:]))), last.isspace() or not last, last in "\"'" and bool(last),
         before.rstrip("\"' ").endswith(("=", ":")), last.isalpha(), after[:1].isspace() or not after, after[:1] in "\"'" and bool(after),
         after[:1].isalpha(), bool(_KEY.search(tail)), bool(_CALL.search(before)), bool(_PAY.search(before)), bool(_VERSION.search(before)),
         *(kind == k for k in KINDS))]
@@ -178,8 +189,9 @@ def _tree(node) -> object:
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """label, kind, features of at most ``sample`` candidates that a rule labels, the smallest by hash."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """held, kind, label, features, n: all candidates of all texts that a rule labels, counted by what the trees see of
+    them. Those ``held`` (a quarter, by hash of text, kind and place) are for the thresholds."""
 
     def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,33 +204,47 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     rows = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("h")).mapInArrow(
         proposed, "label int, kind string, start long, h long, features array<double>")
-    return rows.orderBy(F.xxhash64("h", "kind", "start"), "h", "kind", "start").limit(sample)
+    held = F.pmod(F.xxhash64("h", "start", "kind"), F.lit(4)) == 0
+    return rows.groupBy(held.alias("held"), "kind", "label", "features").agg(F.count(F.lit(1)).alias("n"))
+
+
+def thresholds(rows: DataFrame, forest: Forest, precision: float) -> dict[str, float]:
+    """By kind the smallest cut, a whole number of SCORE_STEPS from 0.5 on, at which the share of positives among all
+    ``rows`` (kind, label, features, n) with that score or more is at least ``precision``; none for a kind without one."""
+
+    @F.pandas_udf("long")
+    def cell(features: pd.Series) -> pd.Series:
+        return pd.Series([math.floor(forest.score(f) * SCORE_STEPS) for f in features], dtype="int64")
+
+    # At most SCORE_STEPS / 2 + 1 rows for each kind, however many candidates there are.
+    counts = (rows.withColumn("cell", cell("features")).where(F.col("cell") >= SCORE_STEPS // 2).groupBy("kind", "cell")
+              .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hit")).collect())
+    out: dict[str, float] = {}
+    hit, n = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
+    for r in sorted(counts, key=lambda r: -r.cell):
+        hit[r.kind] += r.hit
+        n[r.kind] += r.n
+        if hit[r.kind] >= precision * n[r.kind]:
+            out[r.kind] = r.cell / SCORE_STEPS
+    return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = 12, depth: int = 3, precision: float = 0.99) -> Forest | None:
-    """Boosted trees and thresholds; None if the sample lacks positives or negatives."""
+def train(docs: DataFrame, rounds: int = 12, depth: int = 3, precision: float = 0.99) -> Forest | None:
+    """Boosted trees and thresholds; None if the texts lack positives or negatives."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = materialise(training_sample(docs, sample))
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("h", "start", "kind"), F.lit(4)))
-    fit = rows.where(F.col("fold") > 0)
-    if fit.agg(F.count_distinct("label")).first()[0] < 2:
+    rows = materialise(training_rows(docs))
+    fit = rows.where(~F.col("held"))
+    found, labels = fit.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if labels < 2:
         return None
-    vectors = fit.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(vectors.coalesce(1))
-    trees = [(w, _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    forest = Forest(trees, {})
-    # The held-out quarter of a bounded sample.
-    held: dict[str, list[tuple[float, int]]] = {k: [] for k in KINDS}
-    for r in rows.where(F.col("fold") == 0).select("kind", "label", "features").collect():
-        held[r.kind].append((forest.score(r.features), r.label))
-    for kind, scored in held.items():
-        for cut in sorted({s for s, _ in scored}):
-            hit = [y for s, y in scored if s >= cut]
-            if cut >= 0.5 and sum(hit) >= precision * len(hit):
-                forest.thresholds[kind] = cut
-                break
+    vectors = fit.select(F.col("label").cast("double").alias("label"), F.col("n").cast("double").alias("n"), array_to_vector("features").alias("features"))
+    # Features have few levels, and so have their bins; maxBins is high because Spark looks for split values in its square of rows.
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False, weightCol="n", maxBins=4096).fit(
+        vectors.coalesce(max(1, -(-found // TASK_ROWS))))
+    forest = Forest([(w, _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
+    forest.thresholds = thresholds(rows.where("held"), forest, precision)
     return forest
 
 
@@ -290,11 +316,11 @@ def redact(docs: DataFrame, forest: Forest | None) -> DataFrame:
     return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = 0.99) -> DataFrame:
+def personal_data(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """Personal data of every document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Counts and hash are of the base spans, ``spans`` holds all. One row per input row; a null text
     is empty; repeated rows stay and count in training like others; with too few examples of
     either label only base spans are found; an empty table gives an empty result; other columns
     are ignored."""
-    return find_spans(docs, train(docs, sample, precision=precision))
+    return find_spans(docs, train(docs, precision=precision))

@@ -319,3 +319,34 @@ def test_scores(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
         wrong += r.held_out and r.predicted != int(r.doc_id % 6 == 0)
     assert wrong <= 3
+
+
+def test_personal_data_learns_from_all_candidates(spark):
+    """More labelled candidates than any bounded sample of earlier rounds (20,000): all of them count, in the rows
+    that the trees learn from and in the thresholds."""
+    text = "mail a@b.org, no 12 and 345 or 6.7, at 10.1.2.3 it, 4111 1111 1111 1111 and incomprehensibilitiesandmore "
+    texts = [text * (1 + i % 3) + str(i) for i in range(2500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter((k, y) for t in texts for k, _, _, y in pii.candidates(t, pii.base_spans(t)) if y is not None)
+    assert sum(want.values()) > 25_000
+    rows = pii.training_rows(docs).collect()
+    got = Counter()
+    for r in rows:
+        got[r.kind, r.label] += r.n
+    assert got == want and 0.15 < sum(r.n for r in rows if r.held) / sum(want.values()) < 0.35
+    assert len(rows) < 1000     # rows that look alike are one
+
+
+def test_personal_data_thresholds_are_exact(spark):
+    class Given:
+        def score(self, f):
+            return f[0]
+
+    rng = random.Random(5)
+    rows = [(k, int(rng.random() < s), [s], rng.randint(1, 9)) for k in ("email", "ip", "secret") for s in (rng.random() for _ in range(400))]
+    rows += [("phone", 0, [0.9], 3), ("card", 1, [0.2], 3)]
+    got = pii.thresholds(spark.createDataFrame(rows, "kind string, label int, features array<double>, n long"), Given(), 0.9)
+    for kind in pii.KINDS:
+        own = [(math.floor(f[0] * pii.SCORE_STEPS) / pii.SCORE_STEPS, y, n) for k, y, f, n in rows if k == kind]
+        cuts = [c for c, _, _ in own if c >= 0.5 and sum(y * n for s, y, n in own if s >= c) >= 0.9 * sum(n for s, _, n in own if s >= c)]
+        assert got.get(kind) == min(cuts, default=None)
