@@ -144,6 +144,46 @@ def test_unlinked_members_of_a_bucket_are_not_paired(spark, common):
     assert checked[200] < 200 * 8 and checked[800] < 5 * checked[200]
 
 
+def test_pairs_of_unlike_sizes_are_not_formed(spark):
+    """A total below ``share`` of both rules a pair out before it is made, and loses no link."""
+    totals = {n: 10 * 2 ** (n % 8) for n in range(120)}
+    links = sorted((a, b) for a in totals for b in totals if a < b and a % 8 == b % 8 and (b - a) % 16 == 0)
+    table = spark.createDataFrame(links, "a long, b long")
+    shared = shared_buckets(spark.createDataFrame([(1, n, t) for n, t in totals.items()], "bucket long, node long, total long"))
+    seen = []
+
+    def check(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.join(table, ["a", "b"])
+
+    got = {r.node: r.label for r in group_buckets(shared, check, share=minhash.common_share(0.8)).collect()}
+    assert got == {n: n % 16 for n in totals}
+    assert seen and all(min(totals[a], totals[b]) >= 0.8 * max(totals[a], totals[b]) for a, b in seen)
+
+
+def test_no_task_joins_many_partitions_of_a_bucket_round(spark, monkeypatch):
+    """Spent centres leave the buckets by an anti-join that no coalesce stands above, made once a round."""
+    from spendlens.llm import grouping
+
+    plans = []
+    whole = grouping.materialise
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return whole(df)
+
+    monkeypatch.setattr(grouping, "materialise", watched)
+    shared = shared_buckets(spark.createDataFrame([(1, n) for n in range(40)], "bucket long, node long"))
+    table = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    grouping.group_buckets(shared, lambda pairs: pairs.join(table, ["a", "b"])).collect()
+    spent = [p for p in plans if "LeftAnti" in p and "bucket" in p.split("LeftAnti")[1].splitlines()[0]]
+    assert spent
+    for p in spent:
+        assert p.count("LeftAnti") == 1
+        above = p[:p.index("LeftAnti")]
+        assert "Repartition" not in above
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_rare_shingles_are_shared_by_every_link(spark, docs, corpus, threshold):
     texts = docs.selectExpr("doc_id AS node", "text")
