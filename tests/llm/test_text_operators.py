@@ -166,6 +166,39 @@ def test_token_counts(documents, texts):
             assert token_counts.count_tokens(counter, t, chunk) == len(sp.encode(t)), t
 
 
+def test_transducer_states_take_little_memory():
+    """What a Python worker remembers of the states: under 600 bytes each (874 as tuples of strings)."""
+    import tracemalloc
+
+    pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 12))) for _ in range(6000)]
+    transducer = token_counts.Transducer(token_counts.read_model(path))
+    tracemalloc.start()
+    for w in words:
+        transducer.run(token_counts.SPACE + w)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(transducer.states) > 2000
+    assert held / len(transducer.states) < 600
+
+
+def test_an_idle_worker_lets_go_of_its_counter(monkeypatch):
+    import time
+
+    monkeypatch.setattr(token_counts, "IDLE_S", 0.2)
+    pieces = {token_counts.SPACE: 0.0}
+    counter = token_counts._counter("m", pieces)
+    token_counts._rest()
+    assert token_counts._counter("m", pieces) is counter  # the next task in time keeps it
+    time.sleep(0.5)
+    assert token_counts._COUNTERS
+    token_counts._rest()
+    time.sleep(0.5)
+    assert not token_counts._COUNTERS
+
+
 def test_chunk_maps_compose_in_any_order():
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     counter = token_counts.Counter(token_counts.read_model(path))
