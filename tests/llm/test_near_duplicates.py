@@ -184,6 +184,40 @@ def test_no_task_joins_many_partitions_of_a_bucket_round(spark, monkeypatch):
         assert "Repartition" not in above
 
 
+def test_links_of_earlier_rounds_are_not_joined_again(spark, monkeypatch):
+    """A round connects classes by its new links only: a copy group's links come once, however many rounds follow."""
+    from spendlens.llm import grouping
+
+    copies = [(0, i) for i in range(1, 200)]
+    chain = [(i, i + 1) for i in range(300, 330)]
+    table = spark.createDataFrame(copies + chain, "a long, b long")
+    rows = [(1, n) for n in range(200)] + [(2, n) for n in [*range(150, 200), *range(300, 331)]]
+    given = []
+    whole = grouping.connect
+
+    def watched(links):
+        given.append(links.count())
+        return whole(links)
+
+    monkeypatch.setattr(grouping, "connect", watched)
+    shared = shared_buckets(spark.createDataFrame(rows, "bucket long, node long"))
+    got = {r.node: r.label for r in grouping.group_buckets(shared, lambda pairs: pairs.join(table, ["a", "b"])).collect()}
+    assert got == {n: 0 for n in range(200)} | {n: 300 for n in range(300, 331)}
+    assert len(given) > 1 and sum(given) <= len(copies) + len(chain)
+
+
+def test_connect_names_components_by_their_smallest_node(spark):
+    """Stars with a large and a small hub, a sorted chain, a ring, repeated links and loops; edges shrink from pass to pass."""
+    from spendlens.llm.grouping import connect
+
+    links = ([(500, i) for i in range(50)] + [(600, i) for i in range(601, 650)] + [(i, i + 1) for i in range(1000, 1100)]
+             + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(50, 7), (7, 50), (3000, 3001), (3001, 3001)])
+    nodes = sorted({n for link in links for n in link})
+    near = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+    got = {r.node: r.label for r in connect(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == _classes(nodes, lambda a, b: (a, b) in near)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_rare_shingles_are_shared_by_every_link(spark, docs, corpus, threshold):
     texts = docs.selectExpr("doc_id AS node", "text")
