@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from spendlens.llm import minhash, simhash
 from spendlens.llm.grouping import group_buckets, shared_buckets
@@ -81,6 +82,13 @@ def test_signature_does_not_depend_on_the_batch():
         assert np.array_equal(minhash.dart_signatures([s], 60)[0], together[i])
 
 
+def test_signatures_stay_the_same():
+    """The digest was taken before the darts of a slot were compared without sorting them all."""
+    texts = ["a b c d e f g", "z " * 500, "one", "", " ".join(f"w{i % 97} v{i}" for i in range(2000))]
+    signed = minhash.dart_signatures([s[:2] for s in minhash.shingle_sets(texts)], 320)
+    assert xxhash.xxh3_64_hexdigest(signed.tobytes()) == "1a7a308602d0bd65"
+
+
 def test_classes(docs, corpus):
     sets = {d: _shingles(t) for d, t in corpus}
 

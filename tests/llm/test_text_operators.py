@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from spendlens.llm import html_extract, pii, quality, substring_dedup, token_counts, toxicity
@@ -166,6 +167,42 @@ def test_token_counts(documents, texts):
             assert token_counts.count_tokens(counter, t, chunk) == len(sp.encode(t)), t
 
 
+def test_new_words_are_read_at_once(monkeypatch):
+    """A text's new words up to MAX_SEGMENT characters go through the transducer side by side, none by itself; counts are the
+    library's, also when the words of one run are more than are remembered."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("etaoinshrdluĂé☃😀中日本\n\tx=(") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 80)))
+             for _ in range(150)]
+    counter = token_counts.Counter(token_counts.read_model(path))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.Transducer, "run", None)
+        assert token_counts.count_all(counter, texts) == [len(sp.encode(t)) for t in texts]
+    texts += ["", " ", "  ", " a", "a ", "a  b", "▁a ▁", "x" * 63, "x" * 64, "a " * 40_000, " " * 64 + "b", "\U0001f600" * 70]
+    want = [len(sp.encode(t)) for t in texts]
+    assert token_counts.count_all(counter, texts) == want
+    monkeypatch.setattr(token_counts, "MAX_WORDS", 50)
+    monkeypatch.setattr(token_counts, "RUN_CHARS", 2000)
+    counter = token_counts.Counter(token_counts.read_model(path))
+    for _ in range(2):
+        assert token_counts.count_all(counter, texts) == want
+        assert len(counter) <= 50 and len(counter.older) <= 50
+
+
+def test_numbers_map():
+    rng = random.Random(3)
+    want = {rng.randrange(1 << 38): rng.randrange(1 << 20) for _ in range(30_000)}
+    keys, numbers = list(want), token_counts.Numbers()
+    for i in range(0, len(keys), 7000):
+        part = np.array(keys[i:i + 7000])
+        numbers.put(part, np.array([want[k] for k in part.tolist()]))
+    assert numbers.get(np.array(keys)).tolist() == list(want.values())
+    others = [k + 1 for k in keys if k + 1 not in want]
+    assert set(numbers.get(np.array(others)).tolist()) == {-1}
+
+
 def test_transducer_states_take_little_memory():
     """What a Python worker remembers of the states: under 600 bytes each (874 as tuples of strings)."""
     import tracemalloc
