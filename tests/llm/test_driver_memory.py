@@ -55,3 +55,16 @@ def test_likely_members(spark, monkeypatch, pages, most):
 def test_likely_members_of_nothing(spark):
     ids = common.materialise(spark.createDataFrame([], "id long"))
     assert common.likely_members(spark.range(100), ["id"], ids, ["id"]).count() == 0
+
+
+def test_cell_counts_take_eight_bytes(spark, monkeypatch):
+    """The counts of hashed shingles are collected as two numbers of four bytes."""
+    sent = []
+    frame = type(spark.range(0))
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: (sent.append(collect(self)), sent[-1])[1])
+    texts = spark.createDataFrame([(i, t) for i, t in _pairs(20)], "node long, text string")
+    refined = minhash.rare_shingles(texts, 0.8)(texts.select("node")).collect()
+    assert {r["node"] for r in refined} == set(range(40))
+    (table,) = sent
+    assert 0 < table.nbytes <= 8.5 * table.num_rows + 64
